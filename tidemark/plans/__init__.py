@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality",)
+AREAS = ("quality", "relational")
 
 
 def load_all() -> None:
