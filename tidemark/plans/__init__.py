@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality", "relational")
+AREAS = ("quality", "relational", "features")
 
 
 def load_all() -> None:
