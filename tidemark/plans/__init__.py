@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality", "relational", "features")
+AREAS = ("quality", "relational", "features", "geospatial")
 
 
 def load_all() -> None:
