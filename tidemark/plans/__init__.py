@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality", "relational", "features", "geospatial")
+AREAS = ("quality", "relational", "features", "geospatial", "sky_text")
 
 
 def load_all() -> None:
