@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality", "relational", "features", "geospatial", "sky_text")
+AREAS = ("quality", "relational", "features", "geospatial", "sky_text", "vector_graph")
 
 
 def load_all() -> None:
