@@ -156,15 +156,16 @@ GATES = {"staging": 0.85, "production": 0.90}
 
 
 def promotion(metrics: DataFrame, gates: DataFrame) -> DataFrame:
-    """Per model: a stage is open when every gated metric reaches its minimum; a metric not measured fails.
+    """Per model and stage: open when every gated metric was measured and reaches its minimum.
 
     ``metrics`` has ``model, metric, value``; ``gates`` has ``stage, metric, minimum``.
     """
-    wanted = F.broadcast(gates)  # a handful of configured rows
-    models = metrics.select("model").distinct().select("model", F.explode(F.array(F.lit(1))).alias("__one"))
-    pairs = models.join(wanted.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    judged = pairs.join(metrics, ["model", "metric"], "left").withColumn("ok", F.coalesce(F.col("value") >= F.col("minimum"), F.lit(False)))
-    return judged.groupBy("model", "stage").agg(F.bool_and("ok").alias("passed"), F.min(F.col("value") - F.col("minimum")).alias("margin"))
+    needed = gates.withColumn("needed", F.count(F.lit(1)).over(Window.partitionBy("stage")))
+    judged = metrics.join(F.broadcast(needed), "metric")  # gates are a handful of configured rows
+    return judged.groupBy("model", "stage").agg(
+        (F.bool_and(F.coalesce(F.col("value") >= F.col("minimum"), F.lit(False))) & (F.count(F.lit(1)) == F.max("needed"))).alias("passed"),
+        F.min(F.col("value") - F.col("minimum")).alias("margin"),
+    )
 
 
 def choose_best(metrics: DataFrame, metric: str = "f1") -> DataFrame:
