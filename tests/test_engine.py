@@ -194,5 +194,7 @@ def test_late_rows_are_dropped(spark):
 
 
 def test_registry_refuses_a_second_name():
+    import __spark_entry__  # noqa: F401  loads all queries
+
     with pytest.raises(ValueError):
         registry.query("validate_report", "A8")(lambda t: None)

@@ -44,10 +44,22 @@ def test_neighbour_and_running_sum(rows, target):
 
 
 def test_buckets_are_balanced(rows):
-    sizes = [r["count"] for r in windows.with_order_buckets(rows, "ts", 50).groupBy(windows.BUCKET).count().collect()]
+    sizes = [r["count"] for r in windows.with_order_buckets(rows, ["ts", "id"], 50).groupBy(windows.BUCKET).count().collect()]
     assert len(sizes) == 12 and max(sizes) <= 60
 
 
+def test_one_instant_with_a_third_of_the_rows(spark):
+    data = [(i, 1, 500 if i % 3 == 0 else i, None if i % 4 else float(i)) for i in range(900)]
+    df = spark.createDataFrame(data, "id long, k int, ts long, v double")
+    sizes = [r["count"] for r in windows.with_order_buckets(df, ["ts", "id"], 50).groupBy(windows.BUCKET).count().collect()]
+    assert max(sizes) <= 110
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = as_map(df.select("id", F.lag("id").over(w).alias("p")), "p")
+    assert as_map(windows.neighbour(df, ["k"], ["ts", "id"], {"id": "p"}, target_rows=50), "p") == want
+    want = as_map(df.withColumn("v", F.last("v", True).over(w)), "v")
+    assert as_map(windows.fill(df, ["k"], ["ts", "id"], ["v"], True, 50), "v") == want
+
+
 def test_global_index(rows):
     got = as_map(windows.global_index(rows.repartition(5), ["v", "id"], "pos"), "pos")
     order = sorted(rows.collect(), key=lambda r: ((0, 0.0) if r["v"] is None else (1, r["v"]), r["id"]))

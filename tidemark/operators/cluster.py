@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import planar_distance
 from tidemark.operators.components import connected_components
+from tidemark.operators.skew import salted_join
 from tidemark.operators.windows import global_index
 from tidemark.session import cut_lineage
 
@@ -77,7 +78,7 @@ def _near_pairs(some: DataFrame, others: DataFrame, eps: float, keep: list[str]
     a = a.select("site", "a_lat", "a_lon", (F.col("ci") + F.col("s.di")).alias("ci"), (F.col("cj") + F.col("s.dj")).alias("cj"))
     b = others.select("ci", "cj", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), F.col("w").alias("other_w"), *(keep or []))
     close = planar_distance(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= eps
-    return a.join(b, ["ci", "cj"]).filter(close).select("site", "other_w", *(keep or []))
+    return salted_join(b, a, ["ci", "cj"], "b_lat").filter(close).select("site", "other_w", *(keep or []))
 
 
 def _core_edges(core: DataFrame, cells: DataFrame, eps: float) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.profile import pearson
 from tidemark.operators.windows import neighbour, order_value
+from tidemark.session import cut_lineage
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 3, edge_types: list[str] | None = None) -> DataFrame:
-    """``(seed, node, hop)``: nodes reached from each seed and the smallest number of hops."""
+    """``(seed, node, hop)``: nodes reached from each seed and the smallest number of hops.
+
+    Every hop is written before the next one starts, so no hop is worked out twice.
+    """
     steps = edges if edge_types is None else edges.filter(F.col("edge_type").isin(edge_types))
     steps = steps.select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop")).distinct()
@@ -24,6 +28,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 3, edge_types: list[str]
             .distinct()
             .join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         )
+        frontier = cut_lineage(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

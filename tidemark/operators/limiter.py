@@ -57,9 +57,10 @@ def _runs(rows: DataFrame, calm_limit: int | None) -> DataFrame:
 def _fold(rows: DataFrame, runs: DataFrame, step, out_schema: str) -> DataFrame:
     """Stream the rows of each run in time order through ``step(state, us, warm) -> (allowed, remaining)``."""
     placed = rows.join(runs, ["key", "cell"])
-    own = placed.select("key", "event", "us", "run", F.lit(False).alias("warm"))
-    history = placed.filter("feeds IS NOT NULL").select("key", "event", "us", F.col("feeds").alias("run"), F.lit(True).alias("warm"))
-    both = own.unionByName(history)
+    own = F.struct(F.col("run"), F.lit(False).alias("warm"))
+    history = F.struct(F.col("feeds").alias("run"), F.lit(True).alias("warm"))
+    uses = F.when(F.col("feeds").isNull(), F.array(own)).otherwise(F.array(own, history))
+    both = placed.select("key", "event", "us", F.inline(uses))
     ordered = both.repartition("key", "run").sortWithinPartitions("key", "run", "us", "event")
     make_state, decide = step
 

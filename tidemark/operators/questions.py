@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, text
 from tidemark.operators.vector import topk_cosine
+from tidemark.session import cut_lineage
 
 
 def retrieve(questions: DataFrame, documents: DataFrame, k: int = 5, min_similarity: float = 0.3) -> DataFrame:
@@ -33,6 +34,7 @@ def answer(questions: DataFrame, documents: DataFrame, predict: Callable[[DataFr
     map ``attributions``.
     """
     routed = questions.withColumn("domain", text.domain(F.col("query"))).withColumn("vector_table", text.lookup(F.col("domain"), text.DOMAIN_TABLE))
+    routed = cut_lineage(routed)  # read once per vector table and again for the answers
     found = retrieve(routed, documents, k, min_similarity)
     records = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("records"), F.round(F.max("similarity"), 3).alias("best_similarity"))
     rows = predict(routed.drop("embedding").join(records, "query_id", "left").withColumn("records", F.coalesce("records", F.lit(0))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geo
 from tidemark.operators.skew import salted_join
 from tidemark.operators.windows import neighbour, running_sum
+from tidemark.session import cut_lineage
 
 MAX_RADIUS_KM = 10_000.0
 
@@ -118,7 +119,7 @@ def nearest(
     else:
         w = Window.partitionBy("latitude", "longitude").orderBy("id")
         sites = sites.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
-    sites = sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
+    sites = cut_lineage(sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude"))))
     last = _leaf_bits(sites, leaf_sites)
     levels = list(range(START_BITS, last + 1, LEVEL_STEP))
     for v in "xyz":
@@ -130,7 +131,7 @@ def nearest(
     boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
     merge = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
     # finest occupancy first, the coarser ones from it
-    fine = sites.groupBy("__ix", "__iy", "__iz").agg(F.count(F.lit(1)).alias("n"), *boxes)
+    fine = cut_lineage(sites.groupBy("__ix", "__iy", "__iz").agg(F.count(F.lit(1)).alias("n"), *boxes))
     occupancy = {last: fine}
     for bits in reversed(levels[:-1]):
         key = [F.shiftright(f"__i{v}", last - bits).alias(f"k{v}") for v in "xyz"]
@@ -170,14 +171,12 @@ def _leaf_bits(sites: DataFrame, leaf_sites: int) -> int:
     top = options[-1]
     keyed = sites.select(*[geo.axis_index(F.col(v), top).alias(f"i{v}") for v in "xyz"])
     fine = keyed.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"))
-    best = top
-    for bits in options:
-        key = [F.shiftright(f"i{v}", top - bits) for v in "xyz"]
-        most = fine.groupBy(*key).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-        if most is None or most <= leaf_sites:
-            best = bits
-            break
-    return best
+    per_level = F.array(
+        *[F.struct(F.lit(bits).alias("bits"), geo.pack(*[F.shiftright(f"i{v}", top - bits) for v in "xyz"]).alias("cell")) for bits in options]
+    )
+    cells = fine.select("n", F.inline(per_level)).groupBy("bits", "cell").agg(F.sum("n").alias("n"))
+    fits = cells.groupBy("bits").agg(F.max("n").alias("most")).filter(F.col("most") <= leaf_sites)
+    return fits.agg(F.coalesce(F.min("bits"), F.lit(top))).first()[0]
 
 
 def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import monitor
 from tidemark.operators.relational import feature_vector
+from tidemark.session import cut_lineage
+
+BROADCAST_CLASSES = 100_000
 
 # Configured forest and boosting parameters, in Spark ML's names.
 FOREST = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 42}
@@ -40,6 +43,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, see
     cut = cut.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))).select(
         F.col(label).alias("__class"), F.col("__bucket").alias("__cut"), (F.col("want") - (F.col("upto") - F.col("n"))).alias("__need")
     )
+    cut = cut_lineage(cut)  # one row per class
+    if cut.count() <= BROADCAST_CLASSES:
+        cut = F.broadcast(cut)
     placed = rows.join(cut, F.col(label).eqNullSafe(F.col("__class")), "left")
     at_cut = placed.filter(F.col("__bucket") == F.col("__cut"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("__digest", key))

@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors
 from tidemark.session import cut_lineage
 
-BLOCK_VALUES = 8_000_000  # numbers of one query block (64 MB as doubles)
+BLOCK_VALUES = 4_000_000  # numbers of one query block (32 MB as doubles)
+BLOCK_QUERIES = 8_192  # rows of one query block
+SLICE_VALUES = 4_000_000  # scores held at once by a task
 
 
 def _blocks(queries: DataFrame, key: str, width: int, block_values: int):
     """Query blocks of bounded size; one block when the table is small."""
     n = queries.count()
-    per = max(1, block_values // max(1, width))
+    per = max(1, min(BLOCK_QUERIES, block_values // max(1, width)))
     parts = max(1, math.ceil(n / per))
     if parts == 1:
         yield queries
@@ -69,6 +71,22 @@ def topk_cosine(
     return _top(out, k, "similarity", F.desc)
 
 
+def _merge(kept: tuple, found: tuple, k: int, queries: int) -> tuple[tuple, np.ndarray]:
+    """The k best of both per query, highest score first, then smallest id; and each query's k-th score.
+
+    Rows are flat arrays ``(query position, score, id, ...)``.
+    """
+    cols = [np.concatenate([a, b]) for a, b in zip(kept, found)]
+    order = np.lexsort((cols[2], -cols[1], cols[0]))
+    cols = [c[order] for c in cols]
+    starts = np.searchsorted(cols[0], np.arange(queries))
+    rank = np.arange(len(cols[0])) - starts[cols[0]]
+    kth = np.full(queries, -np.inf)
+    last = rank == k - 1
+    kth[cols[0][last]] = cols[1][last]
+    return tuple(c[rank < k] for c in cols), kth
+
+
 def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, floor: float, digits: int, probes: np.ndarray | None = None) -> DataFrame:
     """Partial winners per task. ``probes`` (query x list, bool) limits a row to the queries that probe its list."""
     lengths = np.linalg.norm(matrix, axis=1)
@@ -79,26 +97,29 @@ def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, floor:
 
     def search(batches):
         qids, q, probe = shared.value
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_i = np.zeros((len(qids), 0), dtype=np.int64)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        floors = np.full(len(qids), floor)  # rises to a query's k-th best score once it has k hits
+        step = max(1, SLICE_VALUES // max(1, len(qids)))
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not len(qids):
                 continue
             v = np.array(pdf["embedding"].tolist(), dtype=np.float64)
             size = np.linalg.norm(v, axis=1)
             ok = size > 0
             v, row_ids = v[ok] / size[ok, None], pdf["id"].to_numpy()[ok]
-            s = np.round(q @ v.T, digits)
-            s[s <= floor] = -np.inf
-            if probe is not None:
-                s[~probe[:, pdf["list"].to_numpy()[ok]]] = -np.inf
-            s = np.concatenate([best_s, s], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(row_ids, (len(qids), len(row_ids)))], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        hit = np.isfinite(best_s)
-        rows, _ = np.nonzero(hit)
-        yield pd.DataFrame({"query_id": qids[rows], "id": best_i[hit], "similarity": best_s[hit]})
+            lists = None if probe is None else pdf["list"].to_numpy()[ok]
+            for lo in range(0, len(v), step):
+                s = np.round(q @ v[lo : lo + step].T, digits)
+                if probe is not None:
+                    s[~probe[:, lists[lo : lo + step]]] = -np.inf
+                # equal scores still compete by id, so the raised floor keeps them
+                hit = (s > floor) & (s >= floors[:, None])
+                if s.shape[1] > k:
+                    hit &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
+                qi, ci = np.nonzero(hit)
+                best, kth = _merge(best, (qi, s[qi, ci], row_ids[lo + ci]), k, len(qids))
+                floors = np.maximum(floors, kth)
+        yield pd.DataFrame({"query_id": qids[best[0]], "id": best[2], "similarity": best[1]})
 
     cols = ["id", "embedding"] + (["list"] if probes is not None else [])
     return corpus.select(*cols).mapInPandas(search, "query_id long, id long, similarity double")
@@ -188,37 +209,38 @@ def _donors(pool: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> Dat
         known = ~np.isnan(q)
         filled = np.where(known, q, 0.0)
         targets = [np.nonzero(~known[:, c])[0] for c in range(width)]
-        best = [(np.full((len(t), 0), np.inf), np.zeros((len(t), 0), dtype=np.int64), np.zeros((len(t), 0))) for t in targets]
+        empty = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+        best = [empty] * width
+        floors = [np.full(len(t), -np.inf) for t in targets]
+        step = max(1, SLICE_VALUES // max(1, len(qids)))
         for pdf in batches:
             if not len(pdf):
                 continue
             v = np.array([[np.nan if x is None else x for x in row] for row in pdf["embedding"].tolist()], dtype=np.float64)
             row_ids = pdf["id"].to_numpy()
-            # rows in slices keep the distance matrix small
-            for lo in range(0, len(v), 1024):
-                part, part_ids = v[lo : lo + 1024], row_ids[lo : lo + 1024]
+            for lo in range(0, len(v), step):
+                part, part_ids = v[lo : lo + step], row_ids[lo : lo + step]
                 kv = ~np.isnan(part)
                 fv = np.where(kv, part, 0.0)
                 both = known.astype(float) @ kv.T.astype(float)
                 sq = (filled**2) @ kv.T + known @ (fv**2).T - 2 * filled @ fv.T
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.sqrt(np.maximum(np.round(sq, 9), 0.0) * width / both)
-                d[both == 0] = np.inf
-                d[qids[:, None] == part_ids[None, :]] = np.inf
+                    near = -np.sqrt(np.maximum(np.round(sq, 9), 0.0) * width / both)
+                near[both == 0] = -np.inf
+                near[qids[:, None] == part_ids[None, :]] = -np.inf
                 for c in range(width):
-                    use = kv[:, c]
-                    if not len(targets[c]) or not use.any():
+                    use = np.nonzero(kv[:, c])[0]
+                    if not len(targets[c]) or not len(use):
                         continue
-                    bd, bi, bv = best[c]
-                    nd = np.concatenate([bd, d[np.ix_(targets[c], use)]], axis=1)
-                    ni = np.concatenate([bi, np.broadcast_to(part_ids[use], (len(targets[c]), use.sum()))], axis=1)
-                    nv = np.concatenate([bv, np.broadcast_to(part[use, c], (len(targets[c]), use.sum()))], axis=1)
-                    order = np.lexsort((ni, nd), axis=1)[:, :k]
-                    best[c] = tuple(np.take_along_axis(x, order, 1) for x in (nd, ni, nv))
+                    s = near[np.ix_(targets[c], use)]
+                    hit = np.isfinite(s) & (s >= floors[c][:, None])
+                    if s.shape[1] > k:
+                        hit &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
+                    qi, ci = np.nonzero(hit)
+                    best[c], kth = _merge(best[c], (qi, s[qi, ci], part_ids[use[ci]], part[use[ci], c]), k, len(targets[c]))
+                    floors[c] = np.maximum(floors[c], kth)
         for c in range(width):
-            bd, bi, bv = best[c]
-            hit = np.isfinite(bd)
-            rows, _ = np.nonzero(hit)
-            yield pd.DataFrame({"query_id": qids[targets[c][rows]], "col": np.int32(c), "id": bi[hit], "distance": bd[hit], "value": bv[hit]})
+            at, score, ids_, value = best[c]
+            yield pd.DataFrame({"query_id": qids[targets[c][at]], "col": np.int32(c), "id": ids_, "distance": -score, "value": value})
 
     return pool.mapInPandas(search, "query_id long, col int, id long, distance double, value double")

@@ -1,7 +1,7 @@
 """Ordered operators whose groups may be far larger than one task.
 
-A plain window holds a whole key group in one task. Here the order column is first cut into buckets at
-its global quantiles, so a bucket holds about ``target_rows`` rows whatever the keys do. Each (key,
+A plain window holds a whole key group in one task. Here the order is first cut into buckets at its
+global quantiles, so a bucket holds about ``target_rows`` rows whatever the keys do. Each (key,
 bucket) is reduced to one small summary row; the summaries are chained per key; the chained value enters
 the bucket as one leading row, and the window then runs per (key, bucket). The rows shuffle once.
 """
@@ -9,6 +9,7 @@ the bucket as one leading row, and the window then runs per (key, bucket). The r
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,18 +34,39 @@ def order_value(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def with_order_buckets(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Add the bucket number of the order column; bucket borders are bounded-size global quantiles."""
-    value = order_value(df, order)
-    n = df.count()
-    buckets = min(MAX_BUCKETS, math.ceil(n / target_rows)) if n else 1
+def with_order_buckets(df: DataFrame, order: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Add an order-preserving bucket number of about ``target_rows`` rows.
+
+    One bounded sketch of the first order column gives the borders. A value so frequent that it fills
+    several buckets shows up as a repeated border; its rows are split again by the next order column.
+    """
+    first = order_value(df, order[0])
+    buckets = min(MAX_BUCKETS, math.ceil(df.count() / target_rows))
     if buckets <= 1:
         return df.withColumn(BUCKET, F.lit(0.0))
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(F.percentile_approx(value, probs, 5 * buckets)).first()[0]
-    edges = [-math.inf, *sorted(set(splits)), math.inf]
+    borders = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 5 * buckets)).first()[0]
+    edges = [-math.inf, *sorted(set(borders)), math.inf]
     cut = Bucketizer(splits=edges, inputCol="__order_value", outputCol=BUCKET, handleInvalid="keep")
-    return cut.transform(df.withColumn("__order_value", value)).drop("__order_value")
+    out = cut.transform(df.withColumn("__order_value", first))
+    heavy = {v: k for v, k in Counter(borders).items() if k > 1}
+    if heavy and len(order) > 1:
+        out = _split_heavy(out, order[1], heavy)
+    return out.drop("__order_value")
+
+
+def _split_heavy(df: DataFrame, second: str, heavy: dict[float, int]) -> DataFrame:
+    """Rows of a frequent first value take fractions below one half, the rest of their bucket comes after."""
+    value = order_value(df, second)
+    aggs = [
+        F.percentile_approx(F.when(F.col("__order_value") == F.lit(v), value), [i / (k + 1) for i in range(1, k + 1)], 5 * MAX_BUCKETS)
+        for v, k in heavy.items()
+    ]
+    splits = df.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first()
+    place = F.lit(0.75)
+    for i, (v, k) in enumerate(heavy.items()):
+        below = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(splits[i]))]), lambda s: s < value))
+        place = F.when(F.col("__order_value") == F.lit(v), below / F.lit(2.0 * (k + 1))).otherwise(place)
+    return df.withColumn(BUCKET, F.col(BUCKET) + place)
 
 
 def _join_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
@@ -57,7 +79,7 @@ def _body(df: DataFrame) -> DataFrame:
 
 def fill(df: DataFrame, keys: list[str], order: list[str], cols: list[str], forward: bool = True, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Forward (or backward) fill of the named columns within keys, in the given total order."""
-    rows = with_order_buckets(df, order[0], target_rows)
+    rows = with_order_buckets(df, order, target_rows)
     direction = F.asc if forward else F.desc
     pick = F.max_by if forward else F.min_by
     at = F.struct(*order)
@@ -77,7 +99,7 @@ def neighbour(
     df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], following: bool = False, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """``lag`` (or ``lead``) by one row: ``cols`` maps source columns to the names of the neighbour's values."""
-    rows = with_order_buckets(df, order[0], target_rows)
+    rows = with_order_buckets(df, order, target_rows)
     direction = F.desc if following else F.asc
     pick = F.min_by if following else F.max_by
     edge = rows.groupBy(*keys, BUCKET).agg(pick(F.struct(*cols), F.struct(*order)).alias("__edge"))
@@ -89,7 +111,7 @@ def neighbour(
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Running total of ``value`` within keys."""
-    rows = with_order_buckets(df, order[0], target_rows)
+    rows = with_order_buckets(df, order, target_rows)
     totals = rows.groupBy(*keys, BUCKET).agg(F.sum(value).alias(value))
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, BUCKET, F.sum(value).over(before).alias(value))

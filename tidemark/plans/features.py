@@ -63,13 +63,13 @@ def encode_label(t):
 @query(
     "encode_ordinal_unseen",
     "M5",
-    """WITH d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT c_name AS v FROM customer WHERE c_custkey % 3 <> 0))
+    """WITH d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT c_name AS v FROM customer WHERE c_acctbal > 0))
     SELECT c_custkey, coalesce(d.i, -1) AS c_name FROM customer LEFT JOIN d ON c_name = d.v""",
 )
 def encode_ordinal_unseen(t):
-    """A dictionary fitted on part of the names, replayed on all; unknown names get -1."""
-    df = t.customer.select("c_custkey", "c_name")
-    return stages.LabelEncode(["c_name"], unseen=-1).fit(df.filter("c_custkey % 3 <> 0")).transform(df)
+    """A dictionary fitted on the solvent customers, replayed on all; unknown names get -1."""
+    known = t.customer.filter("c_acctbal > 0")
+    return stages.LabelEncode(["c_name"], unseen=-1).fit(known).transform(t.customer.select("c_custkey", "c_name"))
 
 
 @query(
@@ -88,12 +88,12 @@ def encode_onehot(t):
 @query(
     "encode_target",
     "M7",
-    """WITH tr AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), m AS (SELECT o_custkey, avg(floor(o_totalprice)) AS v FROM tr GROUP BY o_custkey)
+    """WITH tr AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), m AS (SELECT o_custkey, avg(floor(o_totalprice)) AS v FROM tr GROUP BY o_custkey)
     SELECT o.o_orderkey, round(coalesce(m.v, (SELECT avg(floor(o_totalprice)) FROM tr)), 7) AS o_custkey_target FROM orders o LEFT JOIN m ON o.o_custkey = m.o_custkey""",
 )
 def encode_target(t):
-    """Mean order price per customer, fitted on four fifths of the orders."""
-    train = t.orders.filter("o_orderkey % 5 <> 0").select("o_custkey", F.floor("o_totalprice").cast("double").alias("price"))
+    """Mean order price per customer, fitted on the orders before 1998."""
+    train = t.orders.filter("o_orderdate < TIMESTAMP_NTZ '1998-01-01'").select("o_custkey", F.floor("o_totalprice").cast("double").alias("price"))
     stage = stages.TargetEncode("o_custkey", "price").fit(train)
     out = stage.transform(t.orders.select("o_orderkey", "o_custkey"))
     return out.select("o_orderkey", F.round("o_custkey_target", 7).alias("o_custkey_target"))
@@ -282,7 +282,7 @@ def transform_ops(t):
 @query(
     "preprocess_replay",
     "M16 M17",
-    """WITH tr AS (SELECT * FROM customer_dirty WHERE c_custkey % 4 <> 0),
+    """WITH tr AS (SELECT * FROM customer_dirty WHERE c_nationkey IS NULL OR c_nationkey < 18),
     md AS (SELECT quantile_cont(CAST(c_nationkey AS DOUBLE), 0.5) AS mn, quantile_cont(c_acctbal, 0.5) AS ma FROM tr),
     fl AS (SELECT coalesce(c_nationkey, mn) AS n, coalesce(c_acctbal, ma) AS a FROM tr, md),
     s AS (SELECT avg(n) AS an, stddev_pop(n) AS sn, avg(a) AS aa, stddev_pop(a) AS sa FROM fl),
@@ -294,7 +294,7 @@ def transform_ops(t):
 def preprocess_replay(t):
     """Preprocessor fitted on a train part and replayed on all rows; an unseen segment becomes -1."""
     df = t.customer_dirty.select("c_nationkey", "c_acctbal", "c_mktsegment", "c_custkey")
-    train = df.filter("c_custkey % 4 <> 0")
+    train = df.filter("c_nationkey IS NULL OR c_nationkey < 18")
     prep = stages.Preprocess()
     known = train.filter("c_mktsegment IS NULL OR c_mktsegment <> 'BUILDING'").drop("c_custkey")
     prep.fit(train.drop("c_custkey"))

@@ -99,7 +99,8 @@ def drought_regression(t):
     """Forest regression of drought severity: error on the test part."""
     rows = synth.drought_rows(t.part.select(F.col("p_partkey").alias("id")))
     rows = rows.select("id", F.array(*[F.col(c).cast("double") for c in DROUGHT]).alias("features"), F.col("target").alias("label"))
-    train, test = rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0")
+    fold = training.fold_of("id", 5)
+    train, test = rows.filter(fold != 0), rows.filter(fold == 0)
     model = training.train_regressor(train, numTrees=20, maxDepth=8, seed=42)
     return monitor.regression_metrics(training.predict(model, test), "label", "prediction")
 

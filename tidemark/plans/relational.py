@@ -88,8 +88,8 @@ def _merge_inputs(t):
         F.col("o_orderkey").alias("ref"),
         F.col("o_totalprice").alias("amount"),
     )
-    cust = t.customer.filter("c_custkey % 3 <> 1").select(
-        F.expr("CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey END").alias("custkey"),
+    cust = t.customer.select(
+        F.expr("CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey + 100 END").alias("custkey"),
         F.col("c_nationkey").alias("ref"),
         F.col("c_acctbal").alias("balance"),
     )
@@ -97,7 +97,7 @@ def _merge_inputs(t):
 
 
 _MERGE_CTES = """WITH l AS (SELECT CASE WHEN o_custkey % 20 = 0 THEN NULL ELSE o_custkey END AS custkey, o_orderkey AS ref, o_totalprice AS amount FROM orders),
-  r AS (SELECT CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey END AS custkey, c_nationkey AS ref, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 1)"""
+  r AS (SELECT CASE WHEN c_custkey = 0 THEN NULL ELSE c_custkey + 100 END AS custkey, c_nationkey AS ref, c_acctbal AS balance FROM customer)"""
 
 
 def _merge_sql(how, key):
@@ -200,14 +200,11 @@ def execution_tree(t):
     return rel.execution_tree(t.agent_executions)
 
 
-_UPDATES = "SELECT id, latitude + 1 AS latitude, CASE WHEN id % 2 = 0 THEN name || '!' END AS name FROM locations WHERE id % 6 = 0"
-
-
 def _updates(t):
-    return t.locations.filter("id % 6 = 0").select(
+    return rel.filter_by(t.locations, location_type="city").select(
         "id",
         (F.col("latitude") + 1).alias("latitude"),
-        F.expr("CASE WHEN id % 2 = 0 THEN concat(name, '!') END").alias("name"),
+        F.expr("CASE WHEN latitude > 0 THEN concat(name, '!') END").alias("name"),
         F.lit(1).alias("not_a_column"),
     )
 
@@ -215,7 +212,7 @@ def _updates(t):
 @query(
     "keyed_update",
     "D1",
-    "SELECT id, CASE WHEN id % 6 = 0 THEN latitude + 1 ELSE latitude END AS latitude, CASE WHEN id % 6 = 0 THEN name || '!' ELSE name END AS name FROM locations",
+    "SELECT id, CASE WHEN location_type = 'city' THEN latitude + 1 ELSE latitude END AS latitude, CASE WHEN location_type <> 'city' THEN name WHEN latitude > 0 THEN name || '!' END AS name FROM locations",
     ("locations",),
 )
 def keyed_update(t):
@@ -226,16 +223,16 @@ def keyed_update(t):
 @query(
     "update_keep_nulls",
     "D2 D7",
-    "SELECT id, name, CASE WHEN id % 5 = 0 THEN TRUE ELSE is_deleted END AS is_deleted FROM locations",
+    "SELECT id, name, CASE WHEN location_type = 'poi' THEN TRUE ELSE is_deleted END AS is_deleted FROM locations",
     ("locations",),
 )
 def update_keep_nulls(t):
     """Flag change in which null fields of the update keep the stored value."""
-    new = t.locations.filter("id % 5 = 0").select("id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("is_deleted"))
+    new = rel.filter_by(t.locations, location_type="poi").select("id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("is_deleted"))
     return rel.update_by_key(t.locations, new, "id", keep_on_null=True).select("id", "name", "is_deleted")
 
 
-@query("update_count", "D1", "SELECT count(*) AS matched FROM locations WHERE id % 6 = 0", ("locations",))
+@query("update_count", "D1", "SELECT count(*) AS matched FROM locations WHERE location_type = 'city'", ("locations",))
 def update_count(t):
     """How many rows a keyed update touches."""
     return rel.matched_count(t.locations, _updates(t), "id")
@@ -443,13 +440,13 @@ def geojson_features(t):
 @query(
     "geojson_collection",
     "A30",
-    f"""SELECT '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY id) || '],"count":' || count(*) || ',"limit":100,"offset":200}}' AS collection
-    FROM (SELECT id, {_FEATURE} AS feature FROM locations WHERE NOT is_deleted ORDER BY id LIMIT 100 OFFSET 200)""",
+    f"""SELECT '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY id) || '],"count":' || count(*) || ',"limit":100,"offset":30}}' AS collection
+    FROM (SELECT id, {_FEATURE} AS feature FROM locations WHERE NOT is_deleted ORDER BY id LIMIT 100 OFFSET 30)""",
     ("locations",),
 )
 def geojson_collection(t):
     """One page of locations as a feature collection."""
-    return geojson.collection(rel.live(t.locations), ["id", "name", "location_type"], "id", 100, 200)
+    return geojson.collection(rel.live(t.locations), ["id", "name", "location_type"], "id", 100, 30)
 
 
 @query(

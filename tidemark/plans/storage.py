@@ -89,9 +89,9 @@ def ingest_report(t):
 def bulk_append(t):
     """Two appends with a rule; broken rows are not stored."""
     path = scratch_path(t.spark, "customers") + ".parquet"
-    even, odd = t.customer.filter("c_custkey % 2 = 0"), t.customer.filter("c_custkey % 2 = 1")
+    low, high = t.customer.filter("c_nationkey < 12"), t.customer.filter("c_nationkey >= 12")
     bad = F.col("c_acctbal") < 0
-    rejected = files.append_checked(even, path, bad).unionByName(files.append_checked(odd, path, bad))
+    rejected = files.append_checked(low, path, bad).unionByName(files.append_checked(high, path, bad))
     stored = files.read_table(t.spark, path).withColumn("state", F.lit("stored"))
     both = stored.unionByName(rejected.withColumn("state", F.lit("rejected")))
     return both.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
@@ -210,13 +210,13 @@ def stream_validate(t):
 @query(
     "stream_score",
     "ST5 M16",
-    """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM events WHERE event_id % 2 = 0),
-    d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT event_type AS v FROM events WHERE event_id % 2 = 0))
+    """WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+    d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT event_type AS v FROM events WHERE ts < TIMESTAMP '2024-01-16'))
     SELECT event_id, round(0.3 * (value - m) / d + 0.1 * i, 6) AS score FROM events, s JOIN d ON event_type = d.v""",
 )
 def stream_score(t):
     """A stage chain fitted on a table and replayed on the stream, then a linear score."""
-    train = t.events.filter("event_id % 2 = 0").select("event_type", "value")
+    train = t.events.filter("ts < TIMESTAMP_NTZ '2024-01-16'").select("event_type", "value")
     chain = stages.Chain(stages.Scale("standard", ["value"]), stages.LabelEncode(["event_type"], unseen=-1)).fit(train)
     out = st.scored(_event_stream(t).select("event_id", "event_type", "value"), chain, F.round(0.3 * F.col("value") + 0.1 * F.col("event_type"), 6))
     return st.run_available(out.select("event_id", "score"), "scored")

@@ -112,13 +112,13 @@ def graph_neighbours(t):
 @query(
     "edges_confirmed",
     "G2 J9",
-    """SELECT id AS source_id, user_id AS target_id, 'CONFIRMED_BY' AS edge_type FROM predictions WHERE predicted_value = actual_value AND id % 10 <> 0""",
+    """SELECT id AS source_id, user_id AS target_id, 'CONFIRMED_BY' AS edge_type FROM predictions WHERE predicted_value = actual_value AND confidence >= 0.1""",
     ("predictions",),
 )
 def edges_confirmed(t):
     """CONFIRMED_BY edges of correct predictions that are not stored yet."""
     rows = t.predictions.withColumnRenamed("user_id", "outcome_id")
-    stored = rows.filter("id % 10 = 0").select(F.col("id").alias("source_id"), F.col("outcome_id").alias("target_id"), F.lit("CONFIRMED_BY").alias("edge_type"))
+    stored = rows.filter("confidence < 0.1").select(F.col("id").alias("source_id"), F.col("outcome_id").alias("target_id"), F.lit("CONFIRMED_BY").alias("edge_type"))
     return graph.confirmed_by(rows, stored)
 
 
