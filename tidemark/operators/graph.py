@@ -63,13 +63,15 @@ def confirmed_by(predictions: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def precedes(events: DataFrame, region: str, ts: str, key: str, days: float) -> DataFrame:
-    """PRECEDES edges from each event to the next one of its region, if that is at most ``days`` later.
+    """PRECEDES edges from each event to the next one of its region, if that is later by at most ``days``.
+
+    ``ts`` is an instant column.
 
     One edge per event: the transitive pairs follow from the chain by traversal.
     """
-    rows = events.select(F.col(region).alias("region"), F.col(key).alias("key"), (order_value(events, ts) / 1e6).alias("at"))
+    rows = events.select(F.col(region).alias("region"), F.col(key).alias("key"), order_value(events, ts).alias("at"))
     out = neighbour(rows, ["region"], ["at", "key"], {"key": "target_id", "at": "next_at"}, following=True)
-    gap = (F.col("next_at") - F.col("at")) / 86400.0
+    gap = (F.col("next_at") - F.col("at")) / 86400000000.0
     return out.filter(F.col("target_id").isNotNull() & (gap <= days) & (gap > 0)).select(
         F.col("key").alias("source_id"), "target_id", F.lit("PRECEDES").alias("edge_type"), gap.alias("gap_days")
     )

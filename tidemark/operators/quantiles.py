@@ -1,11 +1,12 @@
 """Exact quantiles of many columns, without holding a column in one task.
 
-Small inputs use the built-in ``percentile`` in one aggregate. Above ``direct_limit`` rows the
+Small inputs use the built-in ``percentile`` in one aggregate. Above ``direct_limit`` values the
 built-in would keep every distinct value in a single buffer, so the order statistics are selected
-instead: each round takes a bounded sketch of the open interval that still holds the wanted rank,
+instead: each round takes a bounded sketch of the open interval that still holds the wanted ranks,
 counts the rows below, at and between the sketch's two bracket values, and keeps the sub-interval
-that holds the rank. A round shrinks an interval about 2000-fold; all columns and ranks share one
-scan per round. The last, counted, interval (at most ``gather_limit`` values) is sorted exactly.
+that holds the rank. A round shrinks an interval about 1000-fold; all columns and ranks share one
+scan per round, and ranks close to each other share a bracket. The last, counted, intervals (at most
+``gather_limit`` values each) are sorted exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.columns import as_double
 
-DIRECT_LIMIT = 2_000_000
+DIRECT_LIMIT = 4_000_000
 GATHER_LIMIT = 20_000
 ACCURACY = 4000
 
@@ -35,7 +36,7 @@ def exact_quantiles(
     exprs = {c: as_double(df, c) for c in cols}
     counts = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first()
     n = {c: counts[i] for i, c in enumerate(cols)}
-    if max(n.values()) <= direct_limit:
+    if sum(n.values()) <= direct_limit:
         row = df.agg(*[F.percentile(e, F.lit([float(p) for p in probs])).alias(f"q{i}") for i, e in enumerate(exprs.values())]).first()
         return {c: (list(row[i]) if n[c] else [None] * len(probs)) for i, c in enumerate(cols)}
     ranks = {c: sorted({r for p in probs for r in _bounds(p, n[c])}) for c in cols if n[c]}
@@ -74,58 +75,83 @@ def _select(df, exprs, n, ranks, gather_limit):
     state = {(c, r): (None, None, 0, n[c]) for c in ranks for r in ranks[c]}
     found: dict[tuple[str, int], float] = {}
     while True:
-        wide = [t for t in state if t not in found and state[t][3] > gather_limit]
-        if not wide:
+        clusters = _clusters({t: v for t, v in state.items() if t not in found and v[3] > gather_limit})
+        if not clusters:
             break
-        sketch = []
-        for i, (c, r) in enumerate(wide):
-            lo, hi, below, inside = state[c, r]
-            mid = (r - below + 0.5) / inside
-            ps = [max(0.0, mid - 2.0 / ACCURACY), min(1.0, mid + 2.0 / ACCURACY)]
-            sketch.append(F.percentile_approx(F.when(_inside(exprs[c], lo, hi), exprs[c]), ps, ACCURACY).alias(f"s{i}"))
-        brackets = df.agg(*sketch).first()
+        brackets = _brackets(df, exprs, clusters)
         counts = []
-        for i, (c, r) in enumerate(wide):
-            lo, hi, _, _ = state[c, r]
-            a, b = brackets[i]
-            e = exprs[c]
-            counts += [
-                F.count_if(_inside(e, lo, a)).alias(f"u{i}"),
-                F.count_if(e == F.lit(a)).alias(f"a{i}"),
-                F.count_if(_inside(e, a, b)).alias(f"m{i}"),
-                F.count_if(e == F.lit(b)).alias(f"b{i}"),
-            ]
+        for i, ((c, lo, hi, _, _), _) in enumerate(clusters):
+            (a, b), e = brackets[i], exprs[c]
+            parts = {"u": _inside(e, lo, a), "a": e == F.lit(a), "m": _inside(e, a, b), "b": e == F.lit(b)}
+            counts += [F.count_if(cond).alias(f"{k}{i}") for k, cond in parts.items()]
         row = df.agg(*counts).first()
-        for i, (c, r) in enumerate(wide):
-            lo, hi, below, inside = state[c, r]
+        for i, ((c, lo, hi, below, inside), wanted) in enumerate(clusters):
             a, b = brackets[i]
             under, at_a, mid, at_b = (row[f"{k}{i}"] for k in "uamb")
             if a == b:
                 mid, at_b = 0, 0
-            k = r - below
-            if k < under:
-                state[c, r] = (lo, a, below, under)
-            elif k < under + at_a:
-                found[c, r] = a
-            elif k < under + at_a + mid:
-                state[c, r] = (a, b, below + under + at_a, mid)
-            elif k < under + at_a + mid + at_b:
-                found[c, r] = b
-            else:
-                taken = under + at_a + mid + at_b
-                state[c, r] = (b, hi, below + taken, inside - taken)
+            for r in wanted:
+                k = r - below
+                if k < under:
+                    state[c, r] = (lo, a, below, under)
+                elif k < under + at_a:
+                    found[c, r] = a
+                elif k < under + at_a + mid:
+                    state[c, r] = (a, b, below + under + at_a, mid)
+                elif k < under + at_a + mid + at_b:
+                    found[c, r] = b
+                else:
+                    taken = under + at_a + mid + at_b
+                    state[c, r] = (b, hi, below + taken, inside - taken)
     rest = [t for t in state if t not in found]
     if rest:
-        picks = []
-        for i, (c, r) in enumerate(rest):
-            lo, hi, below, _ = state[c, r]
-            values = F.sort_array(F.collect_list(F.when(_inside(exprs[c], lo, hi), exprs[c])))
-            picks.append(F.element_at(values, r - below + 1).alias(f"v{i}"))
-        row = df.agg(*picks).first()
+        spans = sorted({(c, *state[c, r][:2]) for c, r in rest}, key=str)
+        sorts = [F.sort_array(F.collect_list(F.when(_inside(exprs[c], lo, hi), exprs[c]))) for c, lo, hi in spans]
+        place = {span: i for i, span in enumerate(spans)}
+        held = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(sorts)])
+        picks = [F.element_at(f"v{place[(c, *state[c, r][:2])]}", r - state[c, r][2] + 1) for c, r in rest]
+        row = held.select(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
         found.update({t: row[i] for i, t in enumerate(rest)})
     return found
 
 
+def _clusters(wide):
+    """Targets grouped by interval and, inside one, by closeness: ``[((column, lo, hi, below, inside), [rank, ...])]``."""
+    by_interval: dict[tuple, list[int]] = {}
+    for (c, r), interval in wide.items():
+        by_interval.setdefault((c, *interval), []).append(r)
+    out = []
+    for key, wanted in by_interval.items():
+        group: list[int] = []
+        for r in sorted(wanted):
+            if group and (r - group[0]) * ACCURACY > key[4]:
+                out.append((key, group))
+                group = []
+            group.append(r)
+        out.append((key, group))
+    return out
+
+
+def _brackets(df, exprs, clusters):
+    """Two values around the ranks of each cluster; one sketch per interval serves all its clusters."""
+    probs: dict[tuple, list[float]] = {}
+    for key, wanted in clusters:
+        below, inside = key[3], key[4]
+        lo, hi = (wanted[0] - below + 0.5) / inside, (wanted[-1] - below + 0.5) / inside
+        probs.setdefault(key, []).extend([max(0.0, lo - 2.0 / ACCURACY), min(1.0, hi + 2.0 / ACCURACY)])
+    sketches = [
+        F.percentile_approx(F.when(_inside(exprs[c], lo, hi), exprs[c]), ps, ACCURACY).alias(f"s{i}")
+        for i, ((c, lo, hi, _, _), ps) in enumerate(probs.items())
+    ]
+    values = dict(zip(probs, df.agg(*sketches).first()))
+    out, used = [], dict.fromkeys(probs, 0)
+    for key, _ in clusters:
+        at = used[key]
+        out.append((values[key][at], values[key][at + 1]))
+        used[key] = at + 2
+    return out
+
+
 def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5) -> dict[str, tuple[float, float] | None]:
     """Inclusive inlier range ``(q1 - k*iqr, q3 + k*iqr)`` per column."""
     out: dict[str, tuple[float, float] | None] = {}
