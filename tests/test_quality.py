@@ -88,6 +88,8 @@ def test_selected_quantiles_equal_direct_ones(spark, shape):
     df = spark.createDataFrame([(make(i), None if i % 5 == 0 else float(i)) for i in range(20000)], "x double, y double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     direct = quantiles.exact_quantiles(df, ["x", "y"], probs)
+    builtin = df.agg(*[F.percentile(c, F.lit(probs)) for c in ("x", "y")]).first()
+    assert direct["x"] == pytest.approx(builtin[0], rel=1e-12) and direct["y"] == pytest.approx(builtin[1], rel=1e-12)
     picked = quantiles.exact_quantiles(df, ["x", "y"], probs, direct_limit=0, gather_limit=10)
     for c in ("x", "y"):
         assert picked[c] == pytest.approx(direct[c], rel=1e-12)

@@ -38,8 +38,9 @@ def remove_outliers(df: DataFrame, sequential: bool = True) -> DataFrame:
         for c in cols:
             df = df.filter(_within(df, c, fences[c]))
         return df
+    rows = df.count()
     for c in cols:
-        df = df.filter(_within(df, c, iqr_fences(df, [c])[c]))
+        df = df.filter(_within(df, c, iqr_fences(df, [c], at_most=rows)[c]))
     return df
 
 

@@ -1,8 +1,7 @@
 """Exact quantiles of many columns, without holding a column in one task.
 
-Small inputs use the built-in ``percentile`` in one aggregate. Above ``direct_limit`` values the
-built-in would keep every distinct value in a single buffer, so the order statistics are selected
-instead: each round takes a bounded sketch of the open interval that still holds the wanted ranks,
+Up to ``direct_limit`` values in all are sorted in one aggregate. Beyond that no task may hold a column,
+so the order statistics are selected: each round takes a bounded sketch of the open interval that still holds the wanted ranks,
 counts the rows below, at and between the sketch's two bracket values, and keeps the sub-interval
 that holds the rank. A round shrinks an interval about 1000-fold; all columns and ranks share one
 scan per round, and ranks close to each other share a bracket. The last, counted, intervals (at most
@@ -29,32 +28,50 @@ def exact_quantiles(
     probs: list[float],
     direct_limit: int = DIRECT_LIMIT,
     gather_limit: int = GATHER_LIMIT,
+    at_most: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}`` with linear interpolation; ``None`` for a column without values."""
+    """``{column: [quantile per prob]}`` with linear interpolation; ``None`` for a column without values.
+
+    ``at_most`` is a known bound of the row count, which saves counting first.
+    """
     if not cols:
         return {}
     exprs = {c: as_double(df, c) for c in cols}
+    if at_most is not None and at_most * len(cols) <= direct_limit:
+        return _sorted_quantiles(df, exprs, probs)
     counts = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first()
     n = {c: counts[i] for i, c in enumerate(cols)}
     if sum(n.values()) <= direct_limit:
-        row = df.agg(*[F.percentile(e, F.lit([float(p) for p in probs])).alias(f"q{i}") for i, e in enumerate(exprs.values())]).first()
-        return {c: (list(row[i]) if n[c] else [None] * len(probs)) for i, c in enumerate(cols)}
+        return _sorted_quantiles(df, exprs, probs)
     ranks = {c: sorted({r for p in probs for r in _bounds(p, n[c])}) for c in cols if n[c]}
     found = _select(df, exprs, n, ranks, gather_limit)
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        if not n[c]:
-            out[c] = [None] * len(probs)
-            continue
-        out[c] = []
-        for p in probs:
+        out[c] = [None] * len(probs)
+        for i, p in enumerate(probs if n[c] else []):
             lo, hi = _bounds(p, n[c])
-            frac = p * (n[c] - 1) - lo
-            a, b = found[c, lo], found[c, hi]
-            out[c].append(a if a == b else (1.0 - frac) * a + frac * b)
+            out[c][i] = _between(found[c, lo], found[c, hi], p * (n[c] - 1) - lo)
     return out
 
 
+def _sorted_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles from the sorted values of a small input, the picking done before anything reaches the driver."""
+    held = df.agg(*[F.sort_array(F.collect_list(e)).alias(f"v{i}") for i, e in enumerate(exprs.values())])
+    picks = []
+    for i in range(len(exprs)):
+        values, n = F.col(f"v{i}"), F.size(f"v{i}")
+        pos = [(n - 1) * F.lit(float(p)) for p in probs]
+        ends = [F.struct(F.get(values, F.floor(x).cast("int")), F.get(values, F.ceil(x).cast("int")), x - F.floor(x)) for x in pos]
+        picks.append(F.array(*ends).alias(f"q{i}"))
+    row = held.select(*picks).first()
+    return {c: [None if a is None else _between(a, b, t) for a, b, t in row[i]] for i, c in enumerate(exprs)}
+
+
+def _between(a: float, b: float, t: float) -> float:
+    """Linear interpolation from the nearer end."""
+    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1.0 - t)
+
+
 def _bounds(p: float, n: int) -> tuple[int, int]:
     pos = p * (n - 1)
     return math.floor(pos), math.ceil(pos)
@@ -152,9 +169,9 @@ def _brackets(df, exprs, clusters):
     return out
 
 
-def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5) -> dict[str, tuple[float, float] | None]:
+def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5, at_most: int | None = None) -> dict[str, tuple[float, float] | None]:
     """Inclusive inlier range ``(q1 - k*iqr, q3 + k*iqr)`` per column."""
     out: dict[str, tuple[float, float] | None] = {}
-    for c, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75]).items():
+    for c, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75], at_most=at_most).items():
         out[c] = None if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
