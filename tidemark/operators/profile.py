@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,9 @@ from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.validate import duplicate_count, pct
 
 
+PAIRS_AT_ONCE = 200  # wider aggregates fall out of code generation
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column; every statistic but the quantiles comes from one aggregate."""
     cols = cols or numeric_columns(df)
@@ -88,9 +92,16 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Column pairs with |r| above the threshold, all pairs in one aggregate."""
+    """Column pairs with |r| above the threshold; one aggregate per ``PAIRS_AT_ONCE`` pairs."""
     cols = cols or numeric_columns(df)
-    pairs = list(combinations(cols, 2))
+    every = list(combinations(cols, 2))
+    if not every:
+        return df.sparkSession.createDataFrame([], "left_column string, right_column string, correlation double")
+    parts = [_correlated(df, every[i : i + PAIRS_AT_ONCE], threshold) for i in range(0, len(every), PAIRS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _correlated(df: DataFrame, pairs: list[tuple[str, str]], threshold: float) -> DataFrame:
     one = df.agg(*[pearson(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"r{i}").alias("correlation"))

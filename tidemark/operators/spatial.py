@@ -139,7 +139,9 @@ def nearest(
             *[F.shiftleft(f"k{v}", last - bits).alias(f"__i{v}") for v in "xyz"], "n", *[f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
         )
     reach = 2.0 if radius_km is None else geo.chord(radius_km) * (1 + 1e-9)
-    q = queries.select("query_id", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    # queries at the same place walk together and part again at the end
+    asked = queries.select("query_id", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    q = asked.filter("q_lat IS NOT NULL AND q_lon IS NOT NULL").groupBy("q_lat", "q_lon").agg(F.min("query_id").alias("query_id"))
     q = q.withColumns({f"q{v}": e for v, e in geo.unit_vector(F.col("q_lat"), F.col("q_lon")).items()})
     box_cols = ["n", *[f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]]
     q_cols = ["query_id", "q_lat", "q_lon", "qx", "qy", "qz"]
@@ -159,10 +161,12 @@ def nearest(
     if radius_km is not None:
         pairs = pairs.filter(F.col("distance_km") <= radius_km)
     if k == 1:
-        best = pairs.groupBy("query_id").agg(F.min(F.struct("distance_km", "id")).alias("best"))
-        return best.select("query_id", "best.id", F.lit(1).alias("rank"), "best.distance_km")
-    w = Window.partitionBy("query_id").orderBy("distance_km", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "distance_km")
+        best = pairs.groupBy("q_lat", "q_lon").agg(F.min(F.struct("distance_km", "id")).alias("best"))
+        won = best.select("q_lat", "q_lon", "best.id", F.lit(1).alias("rank"), "best.distance_km")
+    else:
+        w = Window.partitionBy("q_lat", "q_lon").orderBy("distance_km", "id")
+        won = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_lat", "q_lon", "id", "rank", "distance_km")
+    return asked.join(won, ["q_lat", "q_lon"]).select("query_id", "id", "rank", "distance_km")
 
 
 def _leaf_bits(sites: DataFrame, leaf_sites: int) -> int:

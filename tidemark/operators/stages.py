@@ -15,6 +15,8 @@ from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.columns import as_double, categorical_columns, family, missing, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.windows import global_index
+from tidemark.session import cut_lineage
 
 INLINE_VALUES = 200  # dictionaries up to this size become an expression
 BROADCAST_VALUES = 200_000  # counted dictionaries up to this size are broadcast, larger ones joined by shuffle
@@ -178,6 +180,12 @@ class FillMissing(Impute):
         return self
 
 
+def distinct_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``(__column, __value)`` of all distinct non-null texts, written once."""
+    cells = F.array(*[F.struct(F.lit(c).alias("__column"), v.cast("string").alias("__value")) for c, v in values.items()])
+    return cut_lineage(df.select(F.inline(cells)).filter("__value IS NOT NULL").distinct())
+
+
 class Dictionary:
     """Sorted distinct values of a text column with their index.
 
@@ -185,18 +193,22 @@ class Dictionary:
     limit and joined by shuffle beyond it.
     """
 
-    def __init__(self, df: DataFrame, value: Column):
-        distinct = df.select(value.alias("__value")).filter("__value IS NOT NULL").distinct()
-        self.size = distinct.count()
+    def __init__(self, distinct: DataFrame, size: int):
+        self.size = size
         self.values: list[str] | None = None
         self.table: DataFrame | None = None
-        if self.size <= INLINE_VALUES:
+        if size <= INLINE_VALUES:
             self.values = [r[0] for r in distinct.orderBy("__value").collect()]
         else:
-            from tidemark.operators.windows import global_index
-
             self.table = global_index(distinct, ["__value"], "__index").withColumn("__index", F.col("__index").cast("int"))
 
+    @classmethod
+    def fit_all(cls, df: DataFrame, values: dict[str, Column]) -> dict[str, "Dictionary"]:
+        """Dictionaries of several columns from one pass over the table."""
+        found = distinct_values(df, values)
+        sizes = {r["__column"]: r["n"] for r in found.groupBy("__column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {c: cls(found.filter(F.col("__column") == c).select("__value"), sizes.get(c, 0)) for c in values}
+
     def index(self, df: DataFrame, value: Column, name: str) -> DataFrame:
         """Add the index of ``value`` as ``name``; null where the value is not in the dictionary."""
         if self.values is not None:
@@ -233,7 +245,7 @@ class LabelEncode(Stage):
 
     def fit(self, df: DataFrame) -> "LabelEncode":
         cols = [c for c in (self.columns or categorical_columns(df)) if c in df.columns]
-        self.dictionaries = {c: Dictionary(df, self._text(c)) for c in cols}
+        self.dictionaries = Dictionary.fit_all(df, {c: self._text(c) for c in cols}) if cols else {}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -258,12 +270,15 @@ class OneHot(Stage):
         self.categories: dict[str, list[str]] = {}
 
     def fit(self, df: DataFrame) -> "OneHot":
-        for c in self.columns or categorical_columns(df):
-            distinct = df.select(F.col(c).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-            found = sorted(r[0] for r in distinct.limit(self.max_values + 1).collect())
-            if len(found) > self.max_values:
-                raise ValueError(f"{c} has more than {self.max_values} values; use an index or target encoding")
-            self.categories[c] = found
+        cols = self.columns or categorical_columns(df)
+        found = distinct_values(df, {c: F.col(c) for c in cols})
+        sizes = {r["__column"]: r["n"] for r in found.groupBy("__column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wide = [c for c in cols if sizes.get(c, 0) > self.max_values]
+        if wide:
+            raise ValueError(f"{wide} have more than {self.max_values} values; use an index or target encoding")
+        self.categories = {c: [] for c in cols}
+        for r in found.orderBy("__column", "__value").collect():
+            self.categories[r["__column"]].append(r["__value"])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -284,8 +299,6 @@ class TargetEncode(Stage):
         self.default: float | None = None
 
     def fit(self, df: DataFrame) -> "TargetEncode":
-        from tidemark.session import cut_lineage
-
         self.means = cut_lineage(df.groupBy(F.col(self.column).alias("__value")).agg(F.avg(self.target).alias("__mean"), F.count(F.lit(1)).alias("__n")))
         self.size = self.means.count()
         row = self.means.agg(F.sum(F.col("__mean") * F.col("__n")) / F.sum("__n")).first()
@@ -356,7 +369,7 @@ class Preprocess(Stage):
         self.numbers = Chain(filled, Scale("standard", self.numeric).fit(filled.transform(df)))
         self.labels = LabelEncode(self.categorical, unseen=-1).fit(df) if self.categorical else Chain()
         if self.target and family(df.schema[self.target].dataType) == "string":
-            self.target_words = Dictionary(df, F.col(self.target))
+            self.target_words = Dictionary.fit_all(df, {self.target: F.col(self.target)})[self.target]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
