@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,8 +97,9 @@ def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, metho
     return joined.withColumn("distance_km", km).filter(F.col("distance_km") <= radius_km).drop("__cell", "center_lat", "center_lon")
 
 
-LEVEL_STEP = 3
+LEVEL_STEP = 2
 START_BITS = 2
+FINEST = 20  # slices per axis as a power of two: about 12 m
 LEAF_SITES = 64
 
 
@@ -119,82 +122,84 @@ def nearest(
     else:
         w = Window.partitionBy("latitude", "longitude").orderBy("id")
         sites = sites.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
-    sites = cut_lineage(sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude"))))
-    last = _leaf_bits(sites, leaf_sites)
+    sites = sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
+    sites = cut_lineage(sites.withColumns({f"i{v}": geo.axis_index(F.col(v), FINEST) for v in "xyz"}))
+    sides = [f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
+    boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
+    merged = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
+    # the finest occupancy is written once, every level is grouped from it
+    finest = cut_lineage(sites.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), *boxes))
+    last = _leaf_bits(finest, leaf_sites)
     levels = list(range(START_BITS, last + 1, LEVEL_STEP))
-    for v in "xyz":
-        sites = sites.withColumn(f"__i{v}", geo.axis_index(F.col(v), last))
 
-    def cell(bits: int) -> Column:
-        return geo.pack(*[F.shiftright(f"__i{v}", last - bits) for v in "xyz"])
+    def occupancy(bits: int) -> DataFrame:
+        return finest.groupBy(_cell(bits).alias("cell")).agg(F.min(_cell(max(START_BITS, bits - LEVEL_STEP))).alias("parent"), F.sum("n").alias("n"), *merged)
 
-    boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
-    merge = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
-    # finest occupancy first, the coarser ones from it
-    fine = cut_lineage(sites.groupBy("__ix", "__iy", "__iz").agg(F.count(F.lit(1)).alias("n"), *boxes))
-    occupancy = {last: fine}
-    for bits in reversed(levels[:-1]):
-        key = [F.shiftright(f"__i{v}", last - bits).alias(f"k{v}") for v in "xyz"]
-        occupancy[bits] = fine.groupBy(*key).agg(F.sum("n").alias("n"), *merge).select(
-            *[F.shiftleft(f"k{v}", last - bits).alias(f"__i{v}") for v in "xyz"], "n", *[f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
-        )
     reach = 2.0 if radius_km is None else geo.chord(radius_km) * (1 + 1e-9)
     # queries at the same place walk together and part again at the end
     asked = queries.select("query_id", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
     q = asked.filter("q_lat IS NOT NULL AND q_lon IS NOT NULL").groupBy("q_lat", "q_lon").agg(F.min("query_id").alias("query_id"))
     q = q.withColumns({f"q{v}": e for v, e in geo.unit_vector(F.col("q_lat"), F.col("q_lon")).items()})
-    box_cols = ["n", *[f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]]
     q_cols = ["query_id", "q_lat", "q_lon", "qx", "qy", "qz"]
-    # the first level has at most 64 cells, so it travels as one array literal
-    first = occupancy[levels[0]].select(F.struct(cell(levels[0]).alias("cell"), *box_cols).alias("c")).collect()
+    # the first level has at most 64 cells, so it travels as one literal
+    first = [r.asDict() for r in occupancy(START_BITS).drop("parent").collect()]
+    shape = ",".join(["cell:bigint", "n:bigint", *[f"{c}:double" for c in sides]])
+    start = F.from_json(F.lit(json.dumps(first)), f"array<struct<{shape}>>")
     if not first:
         return q.select("query_id", F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance_km")).limit(0)
-    start = F.array(*[F.struct(*[F.lit(r["c"][f]).alias(f) for f in ("cell", *box_cols)]) for r in first])
-    cand = _keep(q.withColumn("c", F.explode(start)).select(*q_cols, "c.*"), q_cols, k, reach)
-    for parent, bits in zip(levels, levels[1:]):
-        children = occupancy[bits].select(cell(parent).alias("cell"), cell(bits).alias("child"), *box_cols)
-        step = cand.select(*q_cols, "cell").join(children, "cell").drop("cell").withColumnRenamed("child", "cell")
-        cand = _keep(step, q_cols, k, reach)
-    leaf = sites.select(cell(last).alias("cell"), "id", "latitude", "longitude")
-    km = geo.haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("latitude"), F.col("longitude"))
-    pairs = cand.select(*q_cols, "cell").join(leaf, "cell").withColumn("distance_km", km)
-    if radius_km is not None:
-        pairs = pairs.filter(F.col("distance_km") <= radius_km)
+    cand = _keep(q.select(*q_cols, F.lit(2.0).alias("__bound"), F.inline(start)), q_cols, k, reach)
+    for bits in levels[1:]:
+        children = occupancy(bits).withColumnsRenamed({"cell": "child", "parent": "cell"})
+        cand = _keep(cand.join(children, "cell").drop("cell").withColumnRenamed("child", "cell"), q_cols, k, reach)
+    # straight-line distance ranks like surface distance and is cheaper; the latter is worked out for the winners
+    gaps = [(F.col(v) - F.col(f"q{v}")) * (F.col(v) - F.col(f"q{v}")) for v in "xyz"]
+    pairs = cand.select(*q_cols, "cell").join(sites.select(_cell(last).alias("cell"), "id", "latitude", "longitude", *"xyz"), "cell")
+    pairs = pairs.withColumn("__gap", F.round(gaps[0] + gaps[1] + gaps[2], 18))
     if k == 1:
-        best = pairs.groupBy("q_lat", "q_lon").agg(F.min(F.struct("distance_km", "id")).alias("best"))
-        won = best.select("q_lat", "q_lon", "best.id", F.lit(1).alias("rank"), "best.distance_km")
+        best = pairs.groupBy("q_lat", "q_lon").agg(F.min(F.struct("__gap", "id", "latitude", "longitude")).alias("best"))
+        won = best.select("q_lat", "q_lon", "best.id", F.lit(1).alias("rank"), "best.latitude", "best.longitude")
     else:
-        w = Window.partitionBy("q_lat", "q_lon").orderBy("distance_km", "id")
-        won = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q_lat", "q_lon", "id", "rank", "distance_km")
-    return asked.join(won, ["q_lat", "q_lon"]).select("query_id", "id", "rank", "distance_km")
+        w = Window.partitionBy("q_lat", "q_lon").orderBy("__gap", "id")
+        won = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    won = won.withColumn("distance_km", geo.haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("latitude"), F.col("longitude")))
+    if radius_km is not None:
+        won = won.filter(F.col("distance_km") <= radius_km)
+    return asked.join(won.select("q_lat", "q_lon", "id", "rank", "distance_km"), ["q_lat", "q_lon"]).select("query_id", "id", "rank", "distance_km")
+
+
+def _cell(bits: int) -> Column:
+    """Packed grid cell of a finest-level position."""
+    return geo.pack(*[F.shiftright(f"i{v}", FINEST - bits) for v in "xyz"])
 
 
-def _leaf_bits(sites: DataFrame, leaf_sites: int) -> int:
+def _leaf_bits(finest: DataFrame, leaf_sites: int) -> int:
     """The coarsest grid level at which no cell holds more than ``leaf_sites`` sites."""
-    options = list(range(START_BITS, geo.CELL_BITS - 1, LEVEL_STEP))
-    top = options[-1]
-    keyed = sites.select(*[geo.axis_index(F.col(v), top).alias(f"i{v}") for v in "xyz"])
-    fine = keyed.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"))
-    per_level = F.array(
-        *[F.struct(F.lit(bits).alias("bits"), geo.pack(*[F.shiftright(f"i{v}", top - bits) for v in "xyz"]).alias("cell")) for bits in options]
-    )
-    cells = fine.select("n", F.inline(per_level)).groupBy("bits", "cell").agg(F.sum("n").alias("n"))
+    options = list(range(START_BITS, FINEST + 1, LEVEL_STEP))
+    per_level = F.array(*[F.struct(F.lit(bits).alias("bits"), _cell(bits).alias("cell")) for bits in options])
+    cells = finest.select("n", F.inline(per_level)).groupBy("bits", "cell").agg(F.sum("n").alias("n"))
     fits = cells.groupBy("bits").agg(F.max("n").alias("most")).filter(F.col("most") <= leaf_sites)
-    return fits.agg(F.coalesce(F.min("bits"), F.lit(top))).first()[0]
+    return fits.agg(F.coalesce(F.min("bits"), F.lit(FINEST))).first()[0]
 
 
-def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame:
-    """Cells that may still hold one of the k nearest: lower bound not above the k-th upper bound."""
+def _bounds(box: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Least and greatest straight-line distance from the query to a box."""
+    lows, highs = [], []
+    for v in "xyz":
+        below, above = box(f"lo_{v}") - F.col(f"q{v}"), F.col(f"q{v}") - box(f"hi_{v}")
+        lows.append(F.greatest(F.lit(0.0), below, above))
+        highs.append(F.greatest(F.abs(below), F.abs(above)))
+    return tuple(F.sqrt(x * x + y * y + z * z) for x, y, z in (lows, highs))
 
-    def low(v: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"lo_{v}") - F.col(f"q{v}"), F.col(f"q{v}") - F.col(f"hi_{v}"))
 
-    def high(v: str) -> Column:
-        return F.greatest(F.abs(F.col(f"lo_{v}") - F.col(f"q{v}")), F.abs(F.col(f"hi_{v}") - F.col(f"q{v}")))
+# covers rounding between chord and great-circle arithmetic
+SLACK = 1e-9
 
-    lb = F.sqrt(low("x") * low("x") + low("y") * low("y") + low("z") * low("z"))
-    ub = F.sqrt(high("x") * high("x") + high("y") * high("y") + high("z") * high("z"))
-    rows = cand.select(*q_cols, "cell", "n", lb.alias("__lb"), ub.alias("__ub")).filter(F.col("__lb") <= reach)
+
+def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame:
+    """Cells that may still hold one of the k nearest: lower bound not above the k-th upper bound."""
+    lb, ub = _bounds(F.col)
+    rows = cand.select(*q_cols, "cell", "n", "__bound", lb.alias("__lb"), ub.alias("__ub"))
+    rows = rows.filter(F.col("__lb") <= F.least(F.col("__bound"), F.lit(reach)) + SLACK)
     per_query = Window.partitionBy("query_id")
     if k == 1:
         bound = F.min("__ub").over(per_query)
@@ -202,8 +207,8 @@ def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame
         seen = F.sum("n").over(per_query.orderBy("__ub", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = rows.withColumn("__seen", seen)
         bound = F.min(F.when(F.col("__seen") >= k, F.col("__ub"))).over(per_query)
-    # the margin covers rounding between chord and great-circle arithmetic
-    return rows.withColumn("__bound", bound).filter(F.col("__bound").isNull() | (F.col("__lb") <= F.col("__bound") + 1e-9)).select(*q_cols, "cell")
+    rows = rows.withColumn("__bound", F.least("__bound", bound))
+    return rows.filter(F.col("__lb") <= F.col("__bound") + SLACK).select(*q_cols, "__bound", "cell")
 
 
 # --- polygons and boxes ---------------------------------------------------------------------------
