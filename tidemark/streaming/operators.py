@@ -16,11 +16,18 @@ from tidemark.session import scratch_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, path: str, schema, ts: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files as a stream; a zone-less instant column becomes a timestamp so that it can carry a watermark."""
+def read_stream(
+    spark: SparkSession, path: str, schema, ts: str | None = None, files_per_trigger: int | None = None, bytes_per_trigger: int = 1 << 30
+) -> DataFrame:
+    """Parquet files as a stream; a zone-less instant column becomes a timestamp so that it can carry a watermark.
+
+    A micro-batch is bounded by bytes (or by files), so a backlog is worked off in pieces.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     df = reader.parquet(path)
     return df.withColumn(ts, F.col(ts).cast("timestamp")) if ts else df
 
