@@ -198,3 +198,52 @@ def test_registry_refuses_a_second_name():
 
     with pytest.raises(ValueError):
         registry.query("validate_report", "A8")(lambda t: None)
+
+
+def test_pages_by_key_and_box(spark):
+    df = spark.range(50).withColumnRenamed("id", "id")
+    first = [r["id"] for r in relational.page_after(df, "id", None, 20).collect()]
+    second = [r["id"] for r in relational.page_after(df, "id", first[-1], 20).collect()]
+    assert first + second == list(range(40))
+    with pytest.raises(ValueError):
+        relational.in_box("latitude", "longitude", 10.0, 0.0, -10.0, 5.0)
+    pts = spark.createDataFrame([(0.0, 179.0), (0.0, -179.0), (0.0, 0.0)], "latitude double, longitude double")
+    assert pts.filter(relational.in_box("latitude", "longitude", -1.0, 178.0, 1.0, -178.0)).count() == 2
+
+
+def test_search_wildcards_and_missing_fields(spark):
+    df = spark.createDataFrame([(1, "alpha"), (2, "ALP"), (3, "beta")], "id int, name string")
+    assert [r["id"] for r in relational.search_text(df, "a_h").collect()] == []
+    assert [r["id"] for r in relational.search_text(df, "l_h").collect()] == [1]
+    assert [r["id"] for r in relational.search_text(df, "alp").collect()] == [1, 2]
+    assert relational.search_text(df, "x", ["nope"]).count() == 0
+
+
+def test_task_rollup_and_metrics_on_nothing(spark):
+    runs = spark.createDataFrame([], "agent_type string, status string, execution_time_ms double, created_at timestamp_ntz")
+    assert relational.agent_metrics(runs, "2024-01-01 00:00:00").count() == 0
+    done = spark.createDataFrame([(1, "success"), (1, "failed"), (2, "success")], "task_id int, status string")
+    rows = {r["task_id"]: r for r in relational.task_rollup(done).collect()}
+    assert rows[1]["success_rate"] == 0.5 and rows[1]["summary"].startswith("Task partially completed. 1/2")
+    assert rows[2]["summary"] == "Task completed successfully with 1 agents. All operations executed without errors."
+
+
+def test_unsupported_model_type():
+    from tidemark.operators import training
+
+    with pytest.raises(ValueError, match="unknown model type"):
+        training.estimator("oracle")
+
+
+def test_latest_keeps_one_row_of_a_hot_key(spark):
+    df = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 7) END AS name", "id AS created_seq", "'production' AS status")
+    got = {r["name"]: r["created_seq"] for r in relational.latest(df, ["name"], ["created_seq"]).collect()}
+    assert got["hot"] == 1998 and len(got) == 8
+
+
+def test_feature_vectors_and_rejects(spark):
+    df = spark.createDataFrame([(1, {"a": 1.0, "b": 2.0}), (2, {"a": 1.0}), (3, None)], "id int, f map<string,double>")
+    rows = {r["id"]: r for r in relational.feature_vector(df, "f", ["b", "a"]).collect()}
+    assert rows[1]["vector"] == [2.0, 1.0]
+    assert rows[2]["missing_features"] == ["b"] and rows[2]["vector"] is None
+    assert sorted(rows[3]["missing_features"]) == ["a", "b"]

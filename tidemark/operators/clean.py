@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.columns import as_double, categorical_columns, datetime_columns, numeric_columns
+from tidemark.operators.columns import as_double, datetime_columns, numeric_columns
 from tidemark.operators.profile import clean_score
 from tidemark.operators.quantiles import iqr_fences
 from tidemark.operators.stages import FillMissing, LabelEncode, Scale

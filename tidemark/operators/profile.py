@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.columns import as_double, categorical_columns, datetime_columns, missing, numeric_columns
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.operators.validate import duplicate_count, pct
+from tidemark.operators.validate import pct
 
 
 PAIRS_AT_ONCE = 200  # wider aggregates fall out of code generation

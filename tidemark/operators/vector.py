@@ -128,15 +128,13 @@ def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, floor:
 class CoarseIndex:
     """Vectors sorted into lists around centres; a search visits only the nearest lists (approximate)."""
 
-    def __init__(self, corpus: DataFrame, lists: int = 50, seed: int = 42, sample_rows: int = 500_000):
+    def __init__(self, corpus: DataFrame, lists: int = 50, seed: int = 42):
         size = vectors.norm(F.col("embedding"))
         unit = corpus.withColumn("__size", size).filter("__size > 0").withColumn(
             "features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
         )
-        n = unit.count()
-        # centres may be learned from a part; every vector is assigned to a list
-        learn = unit if n <= sample_rows else unit.sample(sample_rows / n, seed)
-        model = KMeans(k=min(lists, max(1, n)), seed=seed, distanceMeasure="cosine", predictionCol="list", maxIter=10).fit(learn.select("features"))
+        few = unit.limit(lists).count()
+        model = KMeans(k=max(1, min(lists, few)), seed=seed, distanceMeasure="cosine", predictionCol="list", maxIter=10).fit(unit.select("features"))
         self.centers = np.array(model.clusterCenters())
         self.table = model.transform(unit).select("id", "embedding", "list")
 

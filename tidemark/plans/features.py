@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
-from tidemark.operators import clean, profile, stages, windows
+from tidemark.operators import clean, stages, windows
 from tidemark.plans.registry import query
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount")
