@@ -154,7 +154,8 @@ def nearest(
     # straight-line distance ranks like surface distance and is cheaper; the latter is worked out for the winners
     gaps = [(F.col(v) - F.col(f"q{v}")) * (F.col(v) - F.col(f"q{v}")) for v in "xyz"]
     pairs = cand.select(*q_cols, "cell").join(sites.select(_cell(last).alias("cell"), "id", "latitude", "longitude", *"xyz"), "cell")
-    pairs = pairs.withColumn("__gap", F.round(gaps[0] + gaps[1] + gaps[2], 18))
+    # positions less than a hundredth of a millimetre apart count as one; the smaller id wins
+    pairs = pairs.withColumn("__gap", F.round(F.sqrt(gaps[0] + gaps[1] + gaps[2]), 12))
     if k == 1:
         best = pairs.groupBy("q_lat", "q_lon").agg(F.min(F.struct("__gap", "id", "latitude", "longitude")).alias("best"))
         won = best.select("q_lat", "q_lon", "best.id", F.lit(1).alias("rank"), "best.latitude", "best.longitude")
