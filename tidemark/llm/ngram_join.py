@@ -12,8 +12,8 @@ token union bounds its overlap with every member, and only groups that pass the
    into blocks of about ``BLOCK`` sets, so no group has to fit a task.
 3. Bound. Head tokens are joined with the matrix rows ``(token, block)``; a set visits the blocks of lower number
    in whose union it finds enough of its tokens. Every pair of similar sets is met exactly once.
-4. Open. Inside a block (and between visitors and members) a last bound on whole sets, then exact intersections
-   by products of 0/1 matrices over the shared tokens.
+4. Open. Members of a block meet each other and its visitors, a block's worth at a time: a last bound on whole sets,
+   then exact intersections by products of 0/1 matrices over the shared tokens.
 
 No pairs of documents are emitted: a task returns one row per set with its number of links and enough edges to connect what
 is linked. Memory of a task: two blocks. Tokens are 64-bit hashes; a collision could shift an overlap by one.
@@ -40,6 +40,7 @@ WIDTH = 4
 PERCENT = 85
 NARROW, WIDE = 20, 3  # r = 1/20 and 1/3
 BLOCK = 512
+VISITORS = 8192
 COLUMNS = 2048
 CACHE_WORDS = 500_000
 
@@ -179,32 +180,50 @@ def compare(found: list[np.ndarray], side: np.ndarray, weight: np.ndarray, perce
     return linked @ weight, _labels(linked)
 
 
-def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Compare the sets of each task; ``node, links, other``: its number of linked rows there and a set it is connected with."""
-    rows = tasks.join(texts, "node").select("task", "side", "node", "copies", "k1", "text")
-    rows = rows.repartition("task").sortWithinPartitions("task")
+def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Compare the members (side 0) of each task with each other and with its visitors (side 1), some at a time.
+
+    ``node, links, other``: a node's number of linked rows there and a node it is connected with. Only part 0 of a
+    group's tasks compares its members with each other.
+    """
+    rows = tasks.join(texts, "node").select("task", "part", "side", "node", "copies", "k1", "text")
+    rows = rows.repartition("task", "part").sortWithinPartitions("task", "part", "side")
 
     def work(batches):
         hashes = _Hashes()
-        task, held = None, {}
+        place, members, guests = None, {}, {}
 
-        def close():
+        def results(held, side):
             if len(held) > 1:
-                nodes, side, copies, found = list(held), *zip(*held.values())
-                links, label = compare(list(found), np.array(side), np.array(copies), percent)
+                nodes, copies, found = list(held), *zip(*held.values())
+                links, label = compare(list(found), side, np.array(copies), percent)
                 out = np.flatnonzero(links)
                 yield pd.DataFrame({"node": [nodes[i] for i in out], "links": links[out].astype(np.int64), "other": [nodes[label[i]] for i in out]})
 
+        def meet():
+            if guests:
+                yield from results({**members, **guests}, np.repeat([0, 1], [len(members), len(guests)]))
+                guests.clear()
+
+        def leave():
+            yield from meet()
+            if place is not None and place[1] == 0:
+                yield from results(members, np.zeros(len(members), np.int64))
+            members.clear()
+
         for pdf in batches:
-            for t, side, node, copies, k1, text in zip(*(pdf[c].tolist() for c in ("task", "side", "node", "copies", "k1", "text"))):
-                if t != task:
-                    yield from close()
-                    task, held = t, {}
+            for task, part, side, node, copies, k1, text in zip(*(pdf[c].tolist() for c in ("task", "part", "side", "node", "copies", "k1", "text"))):
+                if (task, part) != place:
+                    yield from leave()
+                    place = task, part
+                held = guests if side else members
                 if node not in held:
                     s = shingles(text, width, hashes)
                     if _key(s) == k1:
-                        held[node] = side, copies, s
-        yield from close()
+                        held[node] = copies, s
+                if len(guests) >= block:
+                    yield from meet()
+        yield from leave()
 
     return rows.mapInPandas(work, "node long, links long, other long")
 
@@ -233,7 +252,7 @@ def _blocks(docs: DataFrame, nodes: DataFrame, width: int, percent: int, block:
 
 
 def _visits(active: DataFrame, percent: int) -> DataFrame:
-    """``node, task, group``: the blocks of lower number whose token union a set overlaps enough."""
+    """``node, group``: the blocks of lower number whose token union a set overlaps enough."""
     by_token = Window.partitionBy("t")
     columns = active.select("node", "n", "block", F.explode("shared").alias("t"))
     spread = columns.withColumns({"lo": F.min("block").over(by_token), "hi": F.max("block").over(by_token)}).filter("lo < hi").drop("lo", "hi")
@@ -241,7 +260,18 @@ def _visits(active: DataFrame, percent: int) -> DataFrame:
     matrix = spread.select("t", F.col("block").alias("group")).distinct()
     hits = spread.join(matrix, "t").filter("group < block").groupBy("node", "n", "block", "group").count()
     passed = hits.filter(F.col("count") >= _enough(F.col("n"), percent, WIDE))
-    return cut_lineage(passed.select("node", F.xxhash64("block", "group").alias("task"), "group"))
+    return cut_lineage(passed.select("node", "group"))
+
+
+def _tasks(active: DataFrame, visits: DataFrame) -> DataFrame:
+    """``task, part, side, node``: the members of each block and its visitors; very many visitors are dealt to several parts."""
+    parts = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts"))
+    member = active.select("node", F.col("block").alias("group")).join(parts, "group", "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    hosts = member.select(F.col("group").alias("task"), every.alias("part"), F.lit(0).alias("side"), "node")
+    dealt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    calls = visits.join(parts, "group").select(F.col("group").alias("task"), dealt.alias("part"), F.lit(1).alias("side"), "node")
+    return hosts.unionByName(calls)
 
 
 def _components(every: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -265,11 +295,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
     every, nodes = _copies(docs, width, percent)
     active, texts = _blocks(docs, nodes, width, percent, block)
     visits = _visits(active, percent)
-    member = active.select("node", "block")
-    tasks = member.select(F.col("block").alias("task"), F.lit(0).alias("side"), "node")
-    calls = visits.select("task", F.lit(0).alias("side"), "node")
-    hosts = visits.select("task", F.col("group").alias("block")).distinct().join(member, "block").select("task", F.lit(1).alias("side"), "node")
-    found = cut_lineage(_open(tasks.unionByName(calls).unionByName(hosts), texts, width, percent))
+    found = cut_lineage(_open(_tasks(active, visits), texts, width, percent, block))
     named = _components(every, nodes, found)
     out = every.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
