@@ -29,9 +29,8 @@ from pyspark.sql import types as T
 
 WINDOW = 16
 MASK = (1 << 10) - 1  # chunks of about 1 kB
-KEPT_CHUNKS = 20_000
 KEPT_BYTES = 64 << 20
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 PRIME = np.uint32(0x01000193)
 
@@ -50,66 +49,67 @@ def cut_places(raw: bytes, window: int = WINDOW, mask: int = MASK) -> list[int]:
     return at[(b[at] & 0xC0) != 0x80].tolist()
 
 
-class Pieces(dict):
-    """Encoded pieces: ``text -> (ids as text, number, decoded)``; unseen ones are encoded by the tokenizer."""
+class Recent(dict):
+    """What was made lately: when the store is full, all move to an older one, from which used ones come back."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, make, limit: int, size=None):
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str):
-        if len(self) >= KEPT_WORDS:
+        self.make, self.limit, self.size, self.held, self.old = make, limit, size, 0, {}
+
+    def __missing__(self, key: str):
+        old = self.old
+        value = old.pop(key) if key in old else self.make(key)
+        self.held += self.size(key) if self.size else 1
+        if self.held > self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids if piece else []
-        value = self[piece] = ",".join(map(str, ids)), len(ids), self.tokenizer.decode(ids, skip_special_tokens=False)
+            self.held = 0
+        self[key] = value
         return value
 
 
 class Encoder:
-    """Encodes and decodes texts with one tokenizer, reusing chunks and words."""
+    """Encodes and decodes texts with one tokenizer, reusing chunks and words. An encoded text is its ids as text, and what they decode to."""
 
     def __init__(self, tokenizer):
-        self.pieces = Pieces(tokenizer)
-        self.chunks: dict[str, tuple] = {}
-        self.kept = 0
+        self.tokenizer = tokenizer
+        self.pieces = Recent(self._piece, KEPT_WORDS)
+        self.chunks = Recent(self._chunk, KEPT_BYTES, lambda chunk: 4 * len(chunk) + 500)
+
+    def _piece(self, piece: str) -> tuple[str, str]:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        decoded = self.tokenizer.decode(ids, skip_special_tokens=False)
+        return ",".join(map(str, ids)), piece if decoded == piece else decoded
 
-    def _encode(self, parts: list[str]) -> tuple[str, int, str]:
-        found = list(map(self.pieces.__getitem__, parts))
-        return ",".join([f[0] for f in found if f[1]]), sum([f[1] for f in found]), "".join([f[2] for f in found])
+    def _encode(self, parts: list[str]) -> tuple[str, str]:
+        ids, decoded = zip(*map(self.pieces.__getitem__, parts))
+        return ",".join(ids), "".join(decoded)
 
-    def between(self, text: str) -> tuple[str, int, str]:
+    def between(self, text: str) -> tuple[str, str]:
         """Exact ids of a text that starts and ends at safe places or ends of the document."""
+        if not text:
+            return "", ""
         first, *rest = SAFE.split(text)
         return self._encode([first, *[" " + r for r in rest]])
 
-    def chunk(self, text: str) -> tuple[str, tuple | None, str]:
+    def _chunk(self, text: str) -> tuple[str, tuple | None, str]:
         """Head before the first safe place, encoded middle, tail from the last one on; no middle: all is head."""
-        known = self.chunks.get(text)
-        if known is None:
-            parts = SAFE.split(text)
-            known = (text, None, "") if len(parts) < 3 else (parts[0], self._encode([" " + p for p in parts[1:-1]]), " " + parts[-1])
-            if len(self.chunks) >= KEPT_CHUNKS or self.kept > KEPT_BYTES:
-                self.chunks.clear()
-                self.kept = 0
-            self.chunks[text] = known
-            self.kept += 8 * len(text)
-        return known
-
-    def encode(self, text: str | None) -> tuple[str, int, str]:
-        """Ids joined by commas, their number, and the text decoded from them."""
+        parts = SAFE.split(text)
+        return (text, None, "") if len(parts) < 3 else (parts[0], self._encode([" " + p for p in parts[1:-1]]), " " + parts[-1])
+
+    def encode(self, text: str | None) -> tuple[str, str]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         cuts = cut_places(raw)
-        if not cuts:
-            return self.between(text or "")
         out, join = [], ""
         for a, b in zip([0, *cuts], [*cuts, len(raw)]):
-            head, middle, tail = self.chunk(raw[a:b].decode("utf-8", "surrogatepass"))
+            chunk = raw[a:b].decode("utf-8", "surrogatepass")
+            head, middle, tail = self.chunks[chunk] if cuts else (chunk, None, "")
             join += head
             if middle is not None:
                 out += [self.between(join), middle]
                 join = tail
         out.append(self.between(join))
-        return ",".join([o[0] for o in out if o[1]]), sum([o[1] for o in out]), "".join([o[2] for o in out])
+        return ",".join([o[0] for o in out if o[0]]), "".join([o[1] for o in out])
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -138,7 +138,8 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataF
     arrow = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def row(coder: Encoder, text):
-        ids, n, decoded = coder.encode(text)
+        ids, decoded = coder.encode(text)
+        n = ids.count(",") + 1 if ids else 0
         out = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
         return out + [np.fromstring(ids, np.int32, sep=",") if n else np.empty(0, np.int32)] * with_ids
 
