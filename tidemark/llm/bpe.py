@@ -5,10 +5,12 @@ passage stands. Every worker keeps the chunks it has encoded, and encodes each o
 its first and its last safe place: a space between two characters that are not white space always starts a new
 word for the tokenizer, whatever surrounds it, and no special token holds a space. So a chunk keeps the ids between those places,
 and each chunk join (the tail before it, the head behind it, and whole chunks without two safe places) is encoded anew from safe place to
-safe place, where both sides agree in every context. Between safe places the pieces are words, which are
-encoded by the tokenizer itself, once while they are kept.
+safe place, where both sides agree in every context.
 
-No shuffle. Memory of a worker is bounded by the two stores and its batch. The tokenizer file is read on the driver and
+Text between safe places is encoded by ranks with the tokenizer's own vocabulary where that is known to give the same ids (a
+byte-level BPE whose ids follow its merges, Latin text, no special tokens), else by the tokenizer itself.
+
+No shuffle. Memory of a worker is bounded by its store of chunks and its batch. The tokenizer file is read on the driver and
 broadcast.
 
 Defined results: a null text is empty, with no tokens and the digests of the empty text; special tokens in a text count as the
@@ -18,20 +20,27 @@ tokenizer reads them; rows are never merged.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 WINDOW = 16
 MASK = (1 << 10) - 1  # chunks of about 1 kB
 KEPT_BYTES = 64 << 20
-KEPT_WORDS = 600_000
+LAST = 200  # the last safe place of a chunk is sought among so many characters
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how byte-level tokenizers of this kind split a text into words.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Beyond Latin letters, and in very long words, only the tokenizer's own library is relied on.
+RARE = re.compile(r"[^\x00-\u024F]|\S{2000}")
 PRIME = np.uint32(0x01000193)
 
 
@@ -68,34 +77,61 @@ class Recent(dict):
         return value
 
 
-class Encoder:
-    """Encodes and decodes texts with one tokenizer, reusing chunks and words. An encoded text is its ids as text, and what they decode to."""
+def byte_of() -> dict[str, int]:
+    """The character by which a byte-level vocabulary writes each byte: itself if it can be printed, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.pieces = Recent(self._piece, KEPT_WORDS)
-        self.chunks = Recent(self._chunk, KEPT_BYTES, lambda chunk: 4 * len(chunk) + 500)
 
-    def _piece(self, piece: str) -> tuple[str, str]:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        decoded = self.tokenizer.decode(ids, skip_special_tokens=False)
-        return ",".join(map(str, ids)), piece if decoded == piece else decoded
+def rank_core(spec: dict) -> tiktoken.Encoding | None:
+    """A rank-merging encoder with the tokenizer's own vocabulary, if it is byte-level BPE whose ids follow its merges.
+
+    Such a vocabulary gives the same ids either way; any other tokenizer only works through its own library.
+    """
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return None
+    table, vocab = byte_of(), model["vocab"]
+    merged = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+    if any(vocab.get(m) != 256 + i for i, m in enumerate(merged)):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(table[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode(self, parts: list[str]) -> tuple[str, str]:
-        ids, decoded = zip(*map(self.pieces.__getitem__, parts))
-        return ",".join(ids), "".join(decoded)
+
+class Encoder:
+    """Encodes and decodes texts with one tokenizer, reusing chunks. An encoded text is its ids as text, and what they decode to."""
+
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.core = rank_core(spec)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.chunks = Recent(self._chunk, KEPT_BYTES, lambda chunk: 4 * len(chunk) + 500)
 
     def between(self, text: str) -> tuple[str, str]:
         """Exact ids of a text that starts and ends at safe places or ends of the document."""
         if not text:
             return "", ""
-        first, *rest = SAFE.split(text)
-        return self._encode([first, *[" " + r for r in rest]])
+        if self.core and not RARE.search(text) and not any(x in text for x in self.special):
+            ids = self.core.encode_ordinary(text)
+            return ",".join(map(str, ids)), self.core.decode(ids)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return ",".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
 
     def _chunk(self, text: str) -> tuple[str, tuple | None, str]:
         """Head before the first safe place, encoded middle, tail from the last one on; no middle: all is head."""
-        parts = SAFE.split(text)
-        return (text, None, "") if len(parts) < 3 else (parts[0], self._encode([" " + p for p in parts[1:-1]]), " " + parts[-1])
+        first = SAFE.search(text)
+        last = max((m.start() for m in SAFE.finditer(text, max(0, len(text) - LAST))), default=-1)
+        if first is None or last <= first.start():
+            return text, None, ""
+        return text[: first.start()], self.between(text[first.start() : last]), text[last:]
 
     def encode(self, text: str | None) -> tuple[str, str]:
         raw = (text or "").encode("utf-8", "surrogatepass")
@@ -117,15 +153,10 @@ _ENCODERS: dict[int, Encoder] = {}
 
 def _encoder(content: str) -> Encoder:
     """The worker's encoder for a tokenizer; it outlives the task, so chunks are reused between tasks."""
-    from tokenizers import Tokenizer
-
     key = hash(content)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _ENCODERS[key] = Encoder(tokenizer)
+        _ENCODERS[key] = Encoder(content)
     return _ENCODERS[key]
 
 
