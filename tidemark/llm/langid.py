@@ -5,8 +5,8 @@ n-grams (with word borders), longest first: the first length of which any n-gram
 language has and another lacks scores that other language's floor. A text's score is the mean over its words.
 
 The tables are learned from about ``SAMPLE_ROWS`` labelled texts outside fold 0, chosen by hash, and hold per language
-the ``WORDS`` most frequent words and ``GRAMS`` n-grams of each length; frequencies are relative to all counts. So the
-model has a bounded size and is broadcast, and prediction is one pass without a shuffle.
+most frequent words and n-grams of each length, up to ``WORDS`` and ``GRAMS`` (a count whose words do not all fit is left
+out); frequencies are relative to all counts. So the model has a bounded size and is broadcast, and prediction is one pass without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text when nothing
 could be learned; ties go to the language that sorts first; rows are never merged.
@@ -126,8 +126,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     counts = rows.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c long")
     counts = cut_lineage(counts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
     totals = {(r["lang"], r["n"]): r["c"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= WORDS).filter(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
+    by_count = Window.partitionBy("lang", "n").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = counts.groupBy("lang", "n", "c").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(by_count))
+    kept = sizes.filter(F.col("upto") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).groupBy("lang", "n").agg(F.min("c").alias("least"))
+    top = counts.join(kept, ["lang", "n"]).filter("c >= least")
     table = [tuple(r) for r in top.select("lang", "n", "gram", "c").collect()]
     return Model([(lang, n, gram, math.log(c / totals[lang, n])) for lang, n, gram, c in table], totals)
 
