@@ -40,7 +40,7 @@ WIDTH = 4
 PERCENT = 85
 NARROW, WIDE = 20, 3  # r = 1/20 and 1/3
 BLOCK = 512
-VISITORS = 8192
+VISITORS = 1024
 COLUMNS = 2048
 CACHE_WORDS = 500_000
 
