@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 WINDOW = 16
 MASK = (1 << 10) - 1  # chunks of about 1 kB
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 24 << 20
 LAST = 200  # the last safe place of a chunk is sought among so many characters
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: how byte-level tokenizers of this kind split a text into words.
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataF
         coder = _encoder(content.value)
         for batch in batches:
             keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            found = [row(coder, t) for t in batch.column("text").to_pylist()]
+            found = [row(coder, t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *columns], names=[*[batch.schema.names[i] for i in keep], *names])
 

@@ -34,7 +34,7 @@ WORDS = 20_000
 GRAMS = 5_000
 LONGEST = 4
 EVIDENCE = 20
-CACHE = 200_000
+CACHE = 100_000
 RARE = 10**9
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "__lang", "__score"])
 

@@ -42,7 +42,7 @@ NARROW, WIDE = 20, 3  # r = 1/20 and 1/3
 BLOCK = 512
 VISITORS = 1024
 COLUMNS = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 class _Hashes(dict):

@@ -254,19 +254,20 @@ def fit(docs: DataFrame) -> Potentials:
 SPAN = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("kind", "start", "end", "added")]))
 
 
+def all_spans(text: str | None, potentials: Potentials) -> list[dict[str, int]]:
+    base = base_spans(text or "")
+    both = [(*x, 0) for x in base] + [(*x, 1) for x in added_spans(text or "", base, potentials)]
+    return [dict(zip(("kind", "start", "end", "added"), x)) for x in sorted(both)]
+
+
 def find(docs: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     """Every row of ``docs`` with ``__spans``: kind number, start, end, and whether the field added it."""
     shared = docs.sparkSession.sparkContext.broadcast(potentials or fit(docs))
     arrow = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end", "added")]))
 
-    def spans(text):
-        base = base_spans(text or "")
-        both = [(*x, 0) for x in base] + [(*x, 1) for x in added_spans(text or "", base, shared.value)]
-        return [dict(zip(("kind", "start", "end", "added"), x)) for x in sorted(both)]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([spans(t) for t in batch.column("text").to_pylist()], arrow)
+            found = pa.array([all_spans(t.as_py(), shared.value) for t in batch.column("text")], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "__spans"])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("__spans", SPAN)]))
@@ -301,16 +302,17 @@ def masked_text(text: str | None, spans) -> str | None:
     return "".join(out) + text[at:]
 
 
-def mask(docs: DataFrame) -> DataFrame:
+def mask(docs: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     """The documents with personal data replaced by the name of its kind; ``n_chars`` follows where there is one."""
+    shared = docs.sparkSession.sparkContext.broadcast(potentials or fit(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            spans = batch.column("__spans").to_pylist()
-            text = pa.array([masked_text(t, s) for t, s in zip(batch.column(i).to_pylist(), spans)], pa.string())
-            columns = [text if k == i else c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "__spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "__spans"])
+            clean = (masked_text(t, all_spans(t, shared.value)) for t in map(pa.Scalar.as_py, batch.column(i)))
+            columns = [*batch.columns]
+            columns[i] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = find(docs).mapInArrow(work, docs.schema)
+    out = docs.mapInArrow(work, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
