@@ -309,7 +309,7 @@ def mask(docs: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            clean = (masked_text(t, all_spans(t, shared.value)) for t in map(pa.Scalar.as_py, batch.column(i)))
+            clean = (masked_text(t, all_spans(t, shared.value)) for t in (x.as_py() for x in batch.column(i)))
             columns = [*batch.columns]
             columns[i] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
