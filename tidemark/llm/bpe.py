@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tidemark.llm.words import bounded_batches
+
 WINDOW = 16
 MASK = (1 << 10) - 1  # chunks of about 1 kB
 KEPT_BYTES = 24 << 20
@@ -182,6 +184,6 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataF
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *columns], names=[*[batch.schema.names[i] for i in keep], *names])
 
-    rows = docs.select(*[c for c in docs.columns if c not in names]).withColumn("text", F.col("text").cast("string"))
+    rows = bounded_batches(docs).select(*[c for c in docs.columns if c not in names]).withColumn("text", F.col("text").cast("string"))
     fields = [f for f in rows.schema.fields if f.name != "text"] + [T.StructField(n, k) for n, k in zip(names, kinds)]
     return rows.mapInArrow(work, T.StructType(fields))

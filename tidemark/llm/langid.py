@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import fold, hash_sample
+from tidemark.llm.words import bounded_batches, fold, hash_sample
 from tidemark.session import cut_lineage
 
 SAMPLE_ROWS = 20_000
@@ -105,7 +105,7 @@ class Scorer:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the texts with a language outside fold 0."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     rows = hash_sample(rows, "doc_id", sample_rows)
 
@@ -121,6 +121,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                         for g in grams(word, n):
                             parts[n][g] += c
                 for n, c in parts.items():
+                    if not c:
+                        continue
                     yield pd.DataFrame({"lang": lang, "n": n, "gram": list(c.keys()), "c": list(c.values())})
 
     counts = rows.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c long")
@@ -129,7 +131,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     by_count = Window.partitionBy("lang", "n").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = counts.groupBy("lang", "n", "c").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(by_count))
     kept = sizes.filter(F.col("upto") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).groupBy("lang", "n").agg(F.min("c").alias("least"))
-    top = counts.join(kept, ["lang", "n"]).filter("c >= least")
+    top = counts.join(F.broadcast(kept), ["lang", "n"])  # a row per language and length
+    top = top.filter("c >= least")
     table = [tuple(r) for r in top.select("lang", "n", "gram", "c").collect()]
     return Model([(lang, n, gram, math.log(c / totals[lang, n])) for lang, n, gram, c in table], totals)
 

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import bounded_batches
 from tidemark.operators.components import connected_components
 from tidemark.session import cut_lineage
 
@@ -104,7 +105,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "k1": k1, "k2": k2, "head": heads})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, head array<long>")
 
 

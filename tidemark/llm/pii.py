@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.words import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 BUCKETS = 1 << 14
@@ -247,7 +249,7 @@ def fit(docs: DataFrame) -> Potentials:
             c = count_factors(pdf["text"])
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["t", "b", "y", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(work, "t int, b int, y int, n long")
+    rows = bounded_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(work, "t int, b int, y int, n long")
     return Potentials({(r["t"], r["b"], r["y"]): r["n"] for r in rows.groupBy("t", "b", "y").agg(F.sum("n").alias("n")).collect()})
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import fold
+from tidemark.llm.words import bounded_batches, fold
 from tidemark.session import cut_lineage
 
 DIM = 200
@@ -77,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     return cut_lineage(rows.mapInPandas(work, f"doc_id {kind}, x array<double>"))
 
 

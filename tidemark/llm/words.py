@@ -9,6 +9,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SAMPLE_RANGE = 1 << 31
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let Python read texts in batches of ``BATCH_ROWS`` rows, since texts may be long; a size the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
