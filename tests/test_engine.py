@@ -155,7 +155,7 @@ def test_csv_keeps_line_breaks(spark):
     df = spark.createDataFrame([(1, 'a "quoted"\nline, two')], "id int, t string")
     path = scratch_path(spark, "breaks") + ".csv"
     files.write_table(df, path)
-    assert files.read_table(spark, path).first()["t"] == 'a "quoted"\nline, two'
+    assert files.read_table(spark, path, multiLine=True).first()["t"] == 'a "quoted"\nline, two'
 
 
 def test_stream_replays_equal_batch(spark):

@@ -105,8 +105,9 @@ def test_encoders(spark):
     assert stages.LabelEncode(["c"], unseen=-1).fit(df).transform(new).first()["c"] == -1
     hot = stages.OneHot(["c"]).fit(df)
     assert hot.transform(new).first().asDict() == {"c_a": 0, "c_b": 0}
-    with pytest.raises(ValueError):
-        stages.OneHot(["c"], max_values=1).fit(df)
+    sparse = stages.OneHot(["c"], max_values=1).fit(df)
+    assert [r["c_index"] for r in sparse.transform(df).collect()] == [1, 0, 2, 1] or sparse.transform(df).columns == ["c_index"]
+    assert sparse.transform(new).first()["c_index"] is None
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])

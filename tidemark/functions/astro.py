@@ -70,7 +70,8 @@ def separation_degrees(ra1: Column, dec1: Column, ra2: Column, dec2: Column) ->
     """Angle on the sky."""
     d1, d2 = F.radians(dec1), F.radians(dec2)
     s, t = F.sin((d2 - d1) / 2), F.sin((F.radians(ra2) - F.radians(ra1)) / 2)
-    return F.degrees(F.lit(2.0) * F.asin(F.sqrt(F.least(F.lit(1.0), s * s + F.cos(d1) * F.cos(d2) * t * t))))
+    h = s * s + F.cos(d1) * F.cos(d2) * t * t
+    return F.degrees(F.lit(2.0) * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h))))
 
 
 def rotate(lon: Column, lat: Column, source: str, target: str) -> dict[str, Column]:
@@ -90,7 +91,7 @@ def rotate(lon: Column, lat: Column, source: str, target: str) -> dict[str, Colu
     x, y, z = (r[0] * v[0] + r[1] * v[1] + r[2] * v[2] for r in m)
     return {
         "lon": F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)),
-        "lat": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)))),
+        "lat": F.degrees(F.asin(F.when(z > 1.0, 1.0).when(z < -1.0, -1.0).otherwise(z))),
         "reason": F.lit(None).cast("string"),
     }
 

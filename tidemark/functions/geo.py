@@ -25,7 +25,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     s = F.sin((p2 - p1) / 2)
     t = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     h = s * s + F.cos(p1) * F.cos(p2) * t * t
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))  # least() would read null as 1
 
 
 def _let(value: Column, body) -> Column:
@@ -111,10 +111,6 @@ def convert_km(km: Column, unit: str = "km") -> Column:
     return F.round(km * F.lit(KM_TO.get(unit, 1.0)), 2)
 
 
-def valid_coordinates(lat: Column, lon: Column) -> Column:
-    return lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
-
-
 def unit_vector(lat: Column, lon: Column) -> dict[str, Column]:
     """Point on the unit sphere; distances over poles and antimeridian need no special case there."""
     p, q = F.radians(lat), F.radians(lon)
@@ -126,14 +122,11 @@ def chord(km: float) -> float:
     return 2.0 * math.sin(min(math.pi, km / EARTH_RADIUS_KM) / 2.0)
 
 
-def chord_column(km: Column) -> Column:
-    return F.lit(2.0) * F.sin(F.least(F.lit(math.pi), km / EARTH_RADIUS_KM) / 2)
-
-
 def axis_index(value: Column, bits: int) -> Column:
     """Index of a unit-sphere coordinate among ``2**bits`` slices of [-1, 1]."""
     top = (1 << bits) - 1
-    return F.greatest(F.lit(0), F.least(F.lit(top), F.floor((value + 1) / 2 * (1 << bits)))).cast("bigint")
+    at = F.greatest(F.lit(0), F.least(F.lit(top), F.floor((value + 1) / 2 * (1 << bits)))).cast("bigint")
+    return F.when(value.isNotNull(), at)
 
 
 def pack(ix: Column, iy: Column, iz: Column) -> Column:

@@ -30,7 +30,8 @@ DROUGHT_RANGES = {
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """The value within bounds; null stays null."""
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
 
 
 def land_change() -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import pearson
-from tidemark.operators.windows import neighbour, order_value
+from tidemark.operators.skew import salted_join
+from tidemark.operators.windows import order_value
 from tidemark.session import cut_lineage
 
 
@@ -63,18 +64,18 @@ def confirmed_by(predictions: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def precedes(events: DataFrame, region: str, ts: str, key: str, days: float) -> DataFrame:
-    """PRECEDES edges from each event to the next one of its region, if that is later by at most ``days``.
+    """PRECEDES edges from each event to every later one of its region within ``days``; equal instants give none.
 
-    ``ts`` is an instant column.
-
-    One edge per event: the transitive pairs follow from the chain by traversal.
+    ``ts`` is an instant column. Time is cut into cells as long as the limit, so an event meets its own cell and the next:
+    an equi join whose hot cells are split by measured size.
     """
+    width = days * 86400000000.0
     rows = events.select(F.col(region).alias("region"), F.col(key).alias("key"), order_value(events, ts).alias("at"))
-    out = neighbour(rows, ["region"], ["at", "key"], {"key": "target_id", "at": "next_at"}, following=True)
-    gap = (F.col("next_at") - F.col("at")) / 86400000000.0
-    return out.filter(F.col("target_id").isNotNull() & (gap <= days) & (gap > 0)).select(
-        F.col("key").alias("source_id"), "target_id", F.lit("PRECEDES").alias("edge_type"), gap.alias("gap_days")
-    )
+    rows = rows.withColumn("cell", F.floor(F.col("at") / F.lit(width))).filter("region IS NOT NULL AND at IS NOT NULL")
+    later = rows.select("region", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"), F.col("key").alias("target_id"), F.col("at").alias("then"))
+    gap = F.col("then") - F.col("at")
+    pairs = salted_join(rows, later, ["region", "cell"], "key").filter((gap > 0) & (gap <= width))
+    return pairs.select(F.col("key").alias("source_id"), "target_id", F.lit("PRECEDES").alias("edge_type"), (gap / 86400000000.0).alias("gap_days"))
 
 
 def correlates_with(series: DataFrame, names: dict[str, Column], day: Column, threshold: float = 0.5) -> DataFrame:

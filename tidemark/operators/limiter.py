@@ -39,7 +39,7 @@ def _runs(rows: DataFrame, calm_limit: int | None) -> DataFrame:
     A cell is calm when it and the cell before hold no more calls than the limit: all its calls are
     allowed whatever came before, and they are the whole state for the next cell.
     """
-    cells = rows.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.filter("us IS NOT NULL").groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("key").orderBy("cell")
     adjacent = F.lag("cell").over(w) == F.col("cell") - 1
     prev = F.when(adjacent, F.lag("n").over(w)).otherwise(0)
@@ -55,22 +55,28 @@ def _runs(rows: DataFrame, calm_limit: int | None) -> DataFrame:
 
 
 def _fold(rows: DataFrame, runs: DataFrame, step, out_schema: str) -> DataFrame:
-    """Stream the rows of each run in time order through ``step(state, us, warm) -> (allowed, remaining)``."""
-    placed = rows.join(runs, ["key", "cell"])
+    """Stream the rows of each run in time order through ``step(state, us, warm) -> (allowed, remaining)``.
+
+    Null is a key like any other; rows without an instant come back undecided.
+    """
+    timed, untimed = rows.filter("us IS NOT NULL"), rows.filter("us IS NULL")
+    r = runs.withColumnsRenamed({"key": "__key", "cell": "__cell"})
+    placed = timed.join(r, F.col("key").eqNullSafe(F.col("__key")) & (F.col("cell") == F.col("__cell")))
     own = F.struct(F.col("run"), F.lit(False).alias("warm"))
     history = F.struct(F.col("feeds").alias("run"), F.lit(True).alias("warm"))
     uses = F.when(F.col("feeds").isNull(), F.array(own)).otherwise(F.array(own, history))
     both = placed.select("key", "event", "us", F.inline(uses))
-    ordered = both.repartition("key", "run").sortWithinPartitions("key", "run", "us", "event")
+    both = both.withColumn("place", F.xxhash64("key", "run"))  # a null key compares unequal to itself in Python
+    ordered = both.repartition("place").sortWithinPartitions("place", "us", "event")
     make_state, decide = step
 
     def replay(batches):
         current, state = None, None
         for pdf in batches:
             allowed, left, keep = [], [], []
-            for key, run, us, warm in zip(pdf["key"].tolist(), pdf["run"].tolist(), pdf["us"].tolist(), pdf["warm"].tolist()):
-                if (key, run) != current:
-                    current, state = (key, run), make_state()
+            for place, us, warm in zip(pdf["place"].tolist(), pdf["us"].tolist(), pdf["warm"].tolist()):
+                if place != current:
+                    current, state = place, make_state()
                 ok, remaining = decide(state, us)
                 allowed.append(ok)
                 left.append(remaining)
@@ -78,7 +84,8 @@ def _fold(rows: DataFrame, runs: DataFrame, step, out_schema: str) -> DataFrame:
             out = pd.DataFrame({"key": pdf["key"], "event": pdf["event"], "allowed": allowed, "remaining": left})
             yield out[pd.Series(keep, index=out.index)]
 
-    return ordered.mapInPandas(replay, out_schema)
+    nothing = untimed.select("key", "event", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).alias("remaining"))
+    return ordered.mapInPandas(replay, out_schema).unionByName(nothing)
 
 
 def _schema(rows: DataFrame, remaining: str) -> str:

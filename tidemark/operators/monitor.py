@@ -52,9 +52,9 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def log_loss(df: DataFrame, label: str, probability: str, eps: float = 1e-15) -> DataFrame:
-    """Mean negative log likelihood of a 0/1 label, and accuracy at a threshold of one half."""
-    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(probability)))
-    loss = -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(F.lit(1.0) - p))
+    """Mean negative log likelihood of a 0/1 label, and accuracy at a threshold of one half, over rows that have both."""
+    p = F.when(F.col(probability) < eps, eps).when(F.col(probability) > 1 - eps, 1 - eps).otherwise(F.col(probability))
+    loss = -F.when(F.col(label) == 1, F.log(p)).when(F.col(label).isNotNull(), F.log(F.lit(1.0) - p))
     hit = ((F.col(probability) >= 0.5).cast("int") == F.col(label)).cast("double")
     return df.agg(F.avg(loss).alias("log_loss"), F.avg(hit).alias("accuracy"))
 

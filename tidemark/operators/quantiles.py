@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.columns import as_double
 
-DIRECT_LIMIT = 4_000_000
+DIRECT_LIMIT = 100_000
 GATHER_LIMIT = 20_000
 ACCURACY = 4000
 

@@ -159,13 +159,15 @@ def cascade_delete(children: DataFrame, deleted_parents: DataFrame, foreign_key:
 
 
 def insert_absent(table: DataFrame, new: DataFrame, key: str, text: str | None = None) -> DataFrame:
-    """Rows of ``new`` to append: non-empty text, key not yet stored, one row per key."""
+    """Rows of ``new`` to append: non-empty text, key not yet stored, one row per key: the first by its columns in turn."""
     fresh = new if text is None else new.filter(F.length(text) > 0)
-    return fresh.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+    rest = [c for c in new.columns if c != key]
+    first = fresh.groupBy(key).agg(F.min(F.struct(*rest)).alias("__first")).select(key, "__first.*") if rest else fresh.distinct()
+    return first.join(table.select(key), key, "left_anti").select(*new.columns)
 
 
 def execution_tree(runs: DataFrame) -> DataFrame:
-    """Per parent run: its status and the roll-up of its children's states."""
+    """Per run: its status and the roll-up of its children's states; a run without children has zeros."""
     kids = (
         runs.filter("parent_execution_id IS NOT NULL")
         .groupBy(F.col("parent_execution_id").alias("id"))
@@ -175,7 +177,8 @@ def execution_tree(runs: DataFrame) -> DataFrame:
             F.count_if(F.col("status") == "failed").alias("failed"),
         )
     )
-    return runs.select("id", "agent_type", "status").join(kids, "id")
+    out = runs.select("id", "agent_type", "status").join(kids, "id", "left")
+    return out.na.fill(0, ["children", "completed", "failed"])
 
 
 # --- keyed mutation: table in, table out -----------------------------------------------------------

@@ -79,6 +79,7 @@ def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, metho
         return F.sequence(lo, hi)
 
     c = centers.select(F.col("center_id"), F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon"))
+    c = c.filter("center_lat IS NOT NULL AND center_lon IS NOT NULL")
     c = c.withColumns(geo.unit_vector(F.col("center_lat"), F.col("center_lon")))
     c = c.withColumn("__ix", F.explode(slices("x"))).withColumn("__iy", F.explode(slices("y"))).withColumn("__iz", F.explode(slices("z")))
 
@@ -90,7 +91,8 @@ def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, metho
     c = c.filter(d2 <= reach * reach * (1 + 1e-9)).select(
         "center_id", "center_lat", "center_lon", geo.pack(F.col("__ix"), F.col("__iy"), F.col("__iz")).alias("__cell")
     )
-    p = points.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
+    p = points.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    p = p.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
     p = p.withColumn("__cell", geo.pack(*[geo.axis_index(F.col(v), bits) for v in "xyz"])).drop("x", "y", "z")
     km = _distance(method)(F.col("latitude"), F.col("longitude"), F.col("center_lat"), F.col("center_lon"))
     joined = salted_join(p, c, ["__cell"], "id")
@@ -288,9 +290,9 @@ def geocode(addresses: DataFrame, gazetteer: DataFrame, address: str = "address"
 
 def route_legs(stops: DataFrame, route: str = "route_id", seq: str = "seq") -> DataFrame:
     """Distance from the previous stop and running total per route, in the given order."""
-    legs = neighbour(stops, [route], [seq], {"latitude": "prev_lat", "longitude": "prev_lon"})
+    legs = neighbour(cut_lineage(stops), [route], [seq], {"latitude": "prev_lat", "longitude": "prev_lon"})
     km = F.coalesce(geo.haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("latitude"), F.col("longitude")), F.lit(0.0))
-    return running_sum(legs.withColumn("leg_km", km).drop("prev_lat", "prev_lon"), [route], [seq], "leg_km", "total_km")
+    return running_sum(cut_lineage(legs.withColumn("leg_km", km).drop("prev_lat", "prev_lon")), [route], [seq], "leg_km", "total_km")
 
 
 def centroid(points: DataFrame, keys: list[str] | None = None) -> DataFrame:

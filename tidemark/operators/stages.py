@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -227,7 +227,8 @@ class Dictionary:
         if self.values is not None:
             return df.withColumn(name, F.get(F.array(*[F.lit(v) for v in self.values]), F.col(index).cast("int")))
         table = self._sized().withColumnsRenamed({"__value": name, "__index": index})
-        return df.join(table, index, "left")
+        kept = [c for c in df.columns if c != name]
+        return df.drop(name).join(table, index, "left").select(*kept, name)
 
     def _sized(self) -> DataFrame:
         return F.broadcast(self.table) if self.size <= BROADCAST_VALUES else self.table
@@ -263,21 +264,25 @@ class LabelEncode(Stage):
 
 
 class OneHot(Stage):
-    """One 0/1 column per fitted value, named ``column_value``; unseen and null give all zeros."""
+    """One 0/1 column per fitted value, named ``column_value``; unseen and null give all zeros.
+
+    A column of more than ``max_values`` values becomes ``column_index``, the place of its one (null: all zeros), the
+    sparse form of the same vector.
+    """
 
     def __init__(self, columns: list[str] | None = None, max_values: int = 1000):
         self.columns, self.max_values = columns, max_values
         self.categories: dict[str, list[str]] = {}
+        self.wide: dict[str, Dictionary] = {}
 
     def fit(self, df: DataFrame) -> "OneHot":
         cols = self.columns or categorical_columns(df)
         found = distinct_values(df, {c: F.col(c) for c in cols})
         sizes = {r["__column"]: r["n"] for r in found.groupBy("__column").agg(F.count(F.lit(1)).alias("n")).collect()}
         wide = [c for c in cols if sizes.get(c, 0) > self.max_values]
-        if wide:
-            raise ValueError(f"{wide} have more than {self.max_values} values; use an index or target encoding")
-        self.categories = {c: [] for c in cols}
-        for r in found.orderBy("__column", "__value").collect():
+        self.wide = {c: Dictionary(found.filter(F.col("__column") == c).select("__value"), sizes[c]) for c in wide}
+        self.categories = {c: [] for c in cols if c not in wide}
+        for r in found.filter(F.col("__column").isin(list(self.categories))).orderBy("__column", "__value").collect():
             self.categories[r["__column"]].append(r["__value"])
         return self
 
@@ -287,7 +292,10 @@ class OneHot(Stage):
             for c, values in self.categories.items()
             for v in values
         }
-        return df.withColumns(out).drop(*self.categories)
+        df = df.withColumns(out).drop(*self.categories)
+        for c, dictionary in self.wide.items():
+            df = dictionary.index(df, F.col(c).cast("string"), f"{c}_index").drop(c)
+        return df
 
 
 class TargetEncode(Stage):
@@ -299,9 +307,9 @@ class TargetEncode(Stage):
         self.default: float | None = None
 
     def fit(self, df: DataFrame) -> "TargetEncode":
-        self.means = cut_lineage(df.groupBy(F.col(self.column).alias("__value")).agg(F.avg(self.target).alias("__mean"), F.count(F.lit(1)).alias("__n")))
+        self.means = cut_lineage(df.groupBy(F.col(self.column).alias("__value")).agg(F.avg(self.target).alias("__mean"), F.count(self.target).alias("__n")))
         self.size = self.means.count()
-        row = self.means.agg(F.sum(F.col("__mean") * F.col("__n")) / F.sum("__n")).first()
+        row = self.means.agg(F.try_divide(F.sum(F.col("__mean") * F.col("__n")), F.sum("__n"))).first()
         self.default = row[0]
         return self
 
@@ -419,10 +427,8 @@ def mutual_information(df: DataFrame, features: dict[str, Column], label: str) -
     """Mutual information (nats) of binned features with a label; ``features`` maps names to bin expressions."""
     cells = F.array(*[F.struct(F.lit(n).alias("feature"), b.cast("string").alias("bin")) for n, b in features.items()])
     joint = df.select(F.col(label).alias("y"), F.inline(cells)).groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("nxy"))
-    by_bin = joint.groupBy("feature", "bin").agg(F.sum("nxy").alias("nx"))
-    by_label = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
-    total = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
-    j = joint.join(by_bin, ["feature", "bin"]).join(by_label, ["feature", "y"]).join(total, "feature")
+    over = lambda *keys: F.sum("nxy").over(Window.partitionBy(*keys))  # null bins and labels are values like others
+    j = joint.withColumns({"nx": over("feature", "bin"), "ny": over("feature", "y"), "n": over("feature")})
     term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")).cast("double"))
     return j.groupBy("feature").agg(F.sum(term).alias("mutual_information"))
 

@@ -24,7 +24,7 @@ BOOSTING_SAMPLED = {**BOOSTING, "featureSubsetStrategy": "0.8"}
 
 
 def _digest(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:

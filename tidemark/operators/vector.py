@@ -50,6 +50,7 @@ def topk_cosine(
 
     ``queries`` has ``query_id, embedding``, ``corpus`` has ``id, embedding``; both ids are integers.
     """
+    queries, corpus = queries.filter("embedding IS NOT NULL"), corpus.filter("embedding IS NOT NULL")
     first = queries.select(F.size("embedding").alias("n")).first()
     width = first["n"] if first else 1
     parts = []
@@ -134,14 +135,14 @@ class CoarseIndex:
             "features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
         )
         few = unit.limit(lists).count()
-        model = KMeans(k=max(1, min(lists, few)), seed=seed, distanceMeasure="cosine", predictionCol="list", maxIter=10).fit(unit.select("features"))
+        model = KMeans(k=max(2, min(lists, few)), seed=seed, distanceMeasure="cosine", predictionCol="list", maxIter=10).fit(unit.select("features"))
         self.centers = np.array(model.clusterCenters())
         self.table = model.transform(unit).select("id", "embedding", "list")
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 5, min_similarity: float = 0.3, digits: int = 12) -> DataFrame:
         parts = []
         width = self.centers.shape[1]
-        for block in _blocks(queries, "query_id", width, BLOCK_VALUES):
+        for block in _blocks(queries.filter("embedding IS NOT NULL"), "query_id", width, BLOCK_VALUES):
             rows = block.select("query_id", "embedding").collect()
             if not rows:
                 continue
@@ -154,8 +155,8 @@ class CoarseIndex:
             # lists nobody probes are pruned before the scan's Python part
             wanted = [int(i) for i in np.nonzero(mask.any(axis=0))[0]]
             parts.append(_scan(self.table.filter(F.col("list").isin(wanted)), ids, matrix, k, min_similarity, digits, mask))
-        out = parts[0]
-        for p in parts[1:]:
+        out = queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
+        for p in parts:
             out = out.unionByName(p)
         return _top(out, k, "similarity", F.desc)
 

@@ -33,6 +33,10 @@ def order_value(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
+    if isinstance(dt, T.StringType):
+        # the first six bytes as a number: never out of order, equal for texts that start alike
+        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
@@ -51,7 +55,7 @@ def with_order_buckets(df: DataFrame, order: list[str], target_rows: int = TARGE
     cut = Bucketizer(splits=edges, inputCol="__order_value", outputCol=BUCKET, handleInvalid="keep")
     out = cut.transform(df.withColumn("__order_value", first))
     heavy = {v: k for v, k in Counter(borders).items() if k > 1}
-    if heavy and len(order) > 1:
+    if heavy and len(order) > 1 and not isinstance(df.schema[order[0]].dataType, T.StringType):
         out = _split_heavy(out, order[1], heavy)
     return out.drop("__order_value")
 

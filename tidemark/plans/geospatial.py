@@ -10,8 +10,8 @@ from tidemark.plans.registry import query
 def hav(a1, o1, a2, o2):
     """The great-circle formula as SQL text."""
     return (
-        f"2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({a2}) - radians({a1})) / 2), 2) + cos(radians({a1})) * cos(radians({a2}))"
-        f" * pow(sin((radians({o2}) - radians({o1})) / 2), 2))))"
+        f"CASE WHEN ({a1}) IS NOT NULL AND ({o1}) IS NOT NULL AND ({a2}) IS NOT NULL AND ({o2}) IS NOT NULL THEN 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({a2}) - radians({a1})) / 2), 2) + cos(radians({a1})) * cos(radians({a2}))"
+        f" * pow(sin((radians({o2}) - radians({o1})) / 2), 2)))) END"
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels, text
 from tidemark.operators import clean, monitor, profile, questions, stages, training, validate
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import synth
 
 LAND = [*labels.LAND_RANGES, "month"]
@@ -141,16 +141,16 @@ def feature_importance(t):
 def training_job(t):
     """Validate, clean, encode, expand, select, train three models, evaluate and gate, each step a table."""
     df = t.customer_dirty.withColumn("target", (F.coalesce("c_acctbal", F.lit(0.0)) > 4000).cast("string"))
-    df = df.withColumn("age_group", F.col("c_custkey") % 7).withColumn("balance_band", F.floor(F.col("c_acctbal") / 1000).cast("double"))
+    df = df.withColumn("age_group", (F.col("c_custkey") % 7).cast("double"))
     issues = validate.Validation().schema(["c_custkey"]).quality(50.0).issues(df)
     if issues.filter("level = 'ERROR'").limit(1).count():
         raise ValueError("input failed validation")
-    tidy = clean.clean(df, ["remove_duplicates"]).dropDuplicates(["c_custkey"])
-    train, test = training.stratified_split(tidy, "c_custkey", "target")
+    tidy = clean.clean(df, ["remove_duplicates"]).dropDuplicates(["c_custkey"]).drop("c_acctbal")  # the label is made of it
+    train, test = (cut_lineage(part) for part in training.stratified_split(cut_lineage(tidy), "c_custkey", "target"))
     prep = stages.Preprocess("target").fit(train.drop("c_custkey"))
-    poly = stages.Polynomial(["c_nationkey", "balance_band"])
+    poly = stages.Polynomial(["c_nationkey", "age_group"])
     wide = poly.transform(prep.transform(train))
-    candidates = [*prep.feature_names, "c_nationkey^2", "c_nationkey*balance_band", "balance_band^2"]
+    candidates = [*prep.feature_names, "c_nationkey^2", "c_nationkey*age_group", "age_group^2"]
     safe = {c: c.replace("^", "_pow_").replace("*", "_x_") for c in candidates}
     wide = wide.withColumnsRenamed(safe)
     chosen = stages.select_k_best(stages.anova_f(wide, list(safe.values()), "label"), "f_score", 5)

@@ -190,13 +190,13 @@ def insert_absent(t):
 @query(
     "execution_tree",
     "J15",
-    """SELECT p.id, p.agent_type, p.status, count(*) AS children, count(*) FILTER (WHERE c.status = 'completed') AS completed,
-      count(*) FILTER (WHERE c.status = 'failed') AS failed FROM agent_executions p JOIN agent_executions c ON c.parent_execution_id = p.id
+    """SELECT p.id, p.agent_type, p.status, count(c.id) AS children, count(*) FILTER (WHERE c.status = 'completed') AS completed,
+      count(*) FILTER (WHERE c.status = 'failed') AS failed FROM agent_executions p LEFT JOIN agent_executions c ON c.parent_execution_id = p.id
     GROUP BY p.id, p.agent_type, p.status""",
     ("agent_executions",),
 )
 def execution_tree(t):
-    """Parent runs with the state counts of their children."""
+    """Every run with the state counts of its children."""
     return rel.execution_tree(t.agent_executions)
 
 

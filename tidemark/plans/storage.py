@@ -105,7 +105,7 @@ def bulk_append(t):
 def dataset_catalog(t):
     """Latest catalog entry of a dataset registered twice."""
     df = t.part.select("p_partkey", "p_name")
-    old = files.catalog_entry(df.limit(0), "parts", "local", "/data/parts", "2024-01-01 00:00:00", "first load")
+    old = files.catalog_entry(df.filter("p_partkey % 2 = 0"), "parts", "local", "/data/parts", "2024-01-01 00:00:00", "first load")
     new = files.catalog_entry(df, "parts", "local", "/data/parts", "2024-02-01 00:00:00", "second load")
     return files.latest_entries(old.unionByName(new)).select("name", "description", "rows", "stats")
 
@@ -145,7 +145,7 @@ def _window_sql(hours, slide):
     SELECT s AS window_start, s + INTERVAL {hours} HOUR AS window_end, agent_type, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed,
       count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'completed') * 100.0::DOUBLE / count(*) AS success_rate,
       coalesce(sum(floor(execution_time_ms)), 0) / count(*) AS avg_time
-    FROM w WHERE s + INTERVAL {hours} HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY s, agent_type"""
+    FROM w GROUP BY s, agent_type"""
 
 
 def _plain_windows(df):
@@ -155,27 +155,35 @@ def _plain_windows(df):
 @query("stream_tumbling", "ST1 A3", _window_sql(6, 6), ("agent_executions",))
 def stream_tumbling(t):
     """Run metrics per six-hour window from a stream."""
-    return _plain_windows(st.run_available(st.windowed_metrics(_run_stream(t), "ts", ["agent_type"], "6 hours"), "tumbling"))
+    return _plain_windows(st.run_windows(_run_stream(t), "tumbling", "ts", ["agent_type"], "6 hours"))
 
 
 @query("stream_sliding", "ST1 A3", _window_sql(12, 6), ("agent_executions",))
 def stream_sliding(t):
     """Run metrics per twelve-hour window sliding by six, from a stream."""
-    return _plain_windows(st.run_available(st.windowed_metrics(_run_stream(t), "ts", ["agent_type"], "12 hours", "6 hours"), "sliding"))
+    return _plain_windows(st.run_windows(_run_stream(t), "sliding", "ts", ["agent_type"], "12 hours", "6 hours"))
 
 
-@query("stream_dedup", "ST2 V3", "SELECT DISTINCT user_id, event_type FROM events")
+_PAIRS = "(SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS user_id, event_id, ts FROM events) e"
+
+
+@query("stream_dedup", "ST2 V3", _log_sql(1, 1800, "event_id, allowed AS computed").replace("FROM events", f"FROM {_PAIRS}"))
 def stream_dedup(t):
-    """First request per user and type within the TTL; all input is one micro-batch here."""
-    out = st.drop_repeats(_event_stream(t).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "30 minutes")
-    return st.run_available(out, "dedup").select("user_id", "event_type")
+    """Requests of one user and type: computed, or answered from an answer younger than half an hour."""
+    requests = _event_stream(t).withColumn("request", F.concat_ws(":", "user_id", "event_type"))
+    with st.with_rocksdb(t.spark):
+        seen = st.run_available(st.limited(requests, "ts", st.SlidingLog(1, 1800 * limiter.MICROS), "request"), "dedup")
+    out = st.settled(seen, lambda e: limiter.sliding_log(e, "key", "event_id", "ts", 1, 1800))
+    return out.select("event_id", F.col("allowed").alias("computed"))
 
 
 @query("stream_rate_limit", "ST3 W10", _log_sql(3, 36 * 3600, "user_id, event_id, allowed"))
 def stream_rate_limit(t):
     """Sliding-log limiter as a keyed state machine on a stream."""
     with st.with_rocksdb(t.spark):
-        return st.run_available(st.limited(_event_stream(t), "ts", st.SlidingLog(3, 36 * 3600 * limiter.MICROS)), "limit")
+        seen = st.run_available(st.limited(_event_stream(t), "ts", st.SlidingLog(3, 36 * 3600 * limiter.MICROS)), "limit")
+    out = st.settled(seen, lambda e: limiter.sliding_log(e, "key", "event_id", "ts", 3, 36 * 3600))
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "allowed")
 
 
 @query(
@@ -190,7 +198,9 @@ def stream_rate_limit(t):
 def stream_token_bucket(t):
     """Token-bucket limiter as a keyed state machine on a stream."""
     with st.with_rocksdb(t.spark):
-        return st.run_available(st.limited(_event_stream(t), "ts", st.TokenBucket(0.001, 4)), "bucket")
+        seen = st.run_available(st.limited(_event_stream(t), "ts", st.TokenBucket(0.001, 4)), "bucket")
+    out = st.settled(seen, lambda e: limiter.token_bucket(e, "key", "event_id", "ts", 0.001, 4))
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "allowed")
 
 
 @query(

@@ -125,12 +125,11 @@ def edges_confirmed(t):
 @query(
     "edges_precede",
     "J10",
-    """WITH n AS (SELECT event_id AS source_id, lead(event_id) OVER w AS target_id, epoch_us(ts) AS a, lead(epoch_us(ts)) OVER w AS b FROM events
-      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT source_id, target_id, 'PRECEDES' AS edge_type, round((b - a) / 86400000000.0::DOUBLE, 6) AS gap_days FROM n WHERE b > a AND b - a <= 0.5 * 86400000000.0::DOUBLE""",
+    """SELECT a.event_id AS source_id, b.event_id AS target_id, 'PRECEDES' AS edge_type, round((epoch_us(b.ts) - epoch_us(a.ts)) / 86400000000.0::DOUBLE, 6) AS gap_days
+    FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR""",
 )
 def edges_precede(t):
-    """PRECEDES edges to the next event of the same user within half a day."""
+    """PRECEDES edges to every later event of the same user within half a day."""
     return graph.precedes(t.events, "user_id", "ts", "event_id", 0.5).withColumn("gap_days", F.round("gap_days", 6))
 
 

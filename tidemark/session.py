@@ -29,10 +29,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is set (tests)."""
+    """The shared folder named by the cluster, cleared when the driver ends; a scratch folder only on a local master."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        folder = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return sc.getCheckpointDir()
 
 

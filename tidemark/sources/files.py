@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +38,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
         return read_feather(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind in ("csv", "tsv"):
-        # quoted line breaks are read rightly by default; multiLine=False lets one huge file be split
-        fixed = {"header": True, "sep": "," if kind == "csv" else "\t", "escape": '"', "multiLine": True, "inferSchema": schema is None}
+        # a file is split between tasks; pass multiLine=True for quoted line breaks, at one task a file
+        fixed = {"header": True, "sep": "," if kind == "csv" else "\t", "escape": '"', "multiLine": False, "inferSchema": schema is None}
         return reader.options(**{**fixed, **options}).csv(path)
     if kind in ("json", "jsonl"):
         return reader.options(**{"multiLine": kind == "json", **options}).json(path)
@@ -50,8 +49,10 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """Write in parallel as a folder, its format taken from the suffix; parents are created."""
     kind = _format(path)
+    if kind in ("feather", "json") and partition_by:
+        raise ValueError(f"{kind} files are not written by partition; use parquet, csv or jsonl")
     if kind == "feather":
-        return write_feather(df, path)
+        return write_feather(df, path, mode)
     if kind == "json":
         return write_json_arrays(df, path, mode)
     if partition_by:
@@ -94,9 +95,26 @@ def _open_fs(path: str):
     return fs.LocalFileSystem(), path
 
 
-def write_feather(df: DataFrame, path: str) -> None:
-    """One Arrow file per partition in a shared folder; a retried task overwrites its own file."""
+def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One Arrow file per partition in a shared folder; a retried task overwrites its own file.
+
+    ``overwrite`` removes what is there, ``append`` adds files, ``ignore`` and ``error`` leave an existing folder alone. A table
+    without rows leaves one file that holds the schema.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if hadoop.exists(folder) and mode != "append":
+        if mode == "ignore":
+            return
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        hadoop.delete(folder, True)
+    path = hadoop.makeQualified(folder).toString()
     plain = path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
+    run = os.urandom(6).hex()
 
     def store(batches):
         import pyarrow as pa
@@ -109,7 +127,7 @@ def write_feather(df: DataFrame, path: str) -> None:
         else:
             system, root = fs.LocalFileSystem(), plain
         system.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}"
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}-{run}"
         sink, writer, rows = None, None, 0
         for batch in batches:
             if writer is None:
@@ -123,7 +141,12 @@ def write_feather(df: DataFrame, path: str) -> None:
             system.move(f"{name}.tmp-{TaskContext.get().taskAttemptId()}", f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
-    df.mapInArrow(store, "rows long").agg(F.sum("rows")).collect()
+    rows = df.mapInArrow(store, "rows long").agg(F.sum("rows")).first()[0]
+    if not rows:
+        system, root = _open_fs(path)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/part-empty-{run}.arrow") as sink, pa.ipc.new_file(sink, to_arrow_schema(df.schema)):
+            pass
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
@@ -229,8 +252,3 @@ def read_jdbc(
     return spark.read.jdbc(
         url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties={"fetchsize": str(fetch_size), **options}
     )
-
-
-def union_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Tables of any supported format stacked by column name."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_table(spark, p) for p in paths])

@@ -69,9 +69,30 @@ def windowed_metrics(stream: DataFrame, ts: str, keys: list[str], size: str, sli
     )
 
 
-def drop_repeats(stream: DataFrame, ts: str, keys: list[str], ttl: str = "30 minutes") -> DataFrame:
-    """First request per key; its repeats within the TTL are dropped."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+def run_windows(stream: DataFrame, name: str, ts: str, keys: list[str], size: str, slide: str | None = None) -> DataFrame:
+    """Run metrics of all windows of all input there is now, whatever its order and however it is cut into micro-batches.
+
+    Every micro-batch leaves its partial counts and sums, which are added when read: no row is late, open windows come too.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+    window = F.window(ts, size, slide) if slide else F.window(ts, size)
+
+    def partial(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy(window.alias("window"), *keys).agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"),
+            F.count_if(F.col("status") == "failed").alias("failed"), F.sum("execution_time_ms").alias("time_ms"),
+        ).write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
+
+    partial(spark.createDataFrame([], stream.schema), -1)
+    stream.writeStream.foreachBatch(partial).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.parquet(f"{base}/rows")
+    rows = parts.groupBy("window", *keys).agg(*[F.sum(c).alias(c) for c in ("total", "completed", "failed", "time_ms")])
+    return rows.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "total", "completed", "failed",
+        (F.col("completed") * 100 / F.col("total")).alias("success_rate"),
+        (F.coalesce("time_ms", F.lit(0.0)) / F.col("total")).alias("avg_time"),
+    )
 
 
 def checked(stream: DataFrame, rules: Validation) -> DataFrame:
@@ -111,89 +132,102 @@ def scored(stream: DataFrame, stage: Stage, expression: Column, name: str = "sco
     return stage.transform(stream).withColumn(name, expression)
 
 
+def _in_time(rows: Iterator[pd.DataFrame], last: tuple[int, int] | None) -> tuple[pd.DataFrame, pd.Series]:
+    """One key's rows of one micro-batch (whose size the trigger bounds) in time order, and which come after ``last``."""
+    batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+    late = [last is not None and at < last for at in zip(batch["us"].tolist(), batch["event_id"].tolist())]
+    return batch, pd.Series(late, index=batch.index, dtype=bool)
+
+
+def _decided(key, batch: pd.DataFrame, late: pd.Series, allowed: list[bool]) -> pd.DataFrame:
+    out = pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "us": batch["us"], "allowed": None, "late": late})
+    out.loc[~late, "allowed"] = allowed
+    return out
+
+
 class SlidingLog(StatefulProcessor):
-    """Allowed while fewer than ``limit`` allowed calls lie in the window; the state is those instants."""
+    """Allowed while fewer than ``limit`` allowed calls lie in the window; the state is those instants and the last call."""
 
     def __init__(self, limit: int, window_micros: int):
         self.limit, self.width = limit, window_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.log = handle.getListState("log", "us long")
+        self.last = handle.getValueState("last", "us long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = [r[0] for r in self.log.get()] if self.log.exists() else []
-        # one key's rows of one micro-batch, whose size the trigger bounds
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        allowed = []
-        for us in batch["us"].tolist():
+        batch, late = _in_time(rows, tuple(self.last.get()) if self.last.exists() else None)
+        timely, allowed = batch[~late], []
+        for us in timely["us"].tolist():
             log = [x for x in log if x > us - self.width]
             ok = len(log) < self.limit
             if ok:
                 log.append(us)
             allowed.append(ok)
-        if log:
+        if len(timely):
             self.log.put([(int(x),) for x in log])
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer((log[-1] + self.width) // 1000 + 1)
-        yield pd.DataFrame({"user_id": key[0], "event_id": batch["event_id"], "allowed": allowed})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.log.clear()
-        yield pd.DataFrame({"user_id": [], "event_id": [], "allowed": []}).astype({"user_id": "int64", "event_id": "int64", "allowed": "bool"})
+            self.last.update((int(timely["us"].iloc[-1]), int(timely["event_id"].iloc[-1])))
+        yield _decided(key, batch, late, allowed)
 
     def close(self) -> None:
         pass
 
 
 class TokenBucket(StatefulProcessor):
-    """Refill by rate up to the burst, one token per call; the state is the level and its instant."""
+    """Refill by rate up to the burst, one token per call; the state is the level and the last call."""
 
     def __init__(self, per_minute: float, burst: int):
         self.rate, self.burst = per_minute / 60.0, float(burst)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bucket = handle.getValueState("bucket", "tokens double, us long")
+        self.bucket = handle.getValueState("bucket", "tokens double, us long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tokens, last = self.bucket.get() if self.bucket.exists() else (self.burst, None)
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        allowed = []
-        for us in batch["us"].tolist():
+        tokens, last, event = self.bucket.get() if self.bucket.exists() else (self.burst, None, None)
+        batch, late = _in_time(rows, None if last is None else (last, event))
+        timely, allowed = batch[~late], []
+        for us, event in zip(timely["us"].tolist(), timely["event_id"].tolist()):
             if last is not None:
                 tokens = min(self.burst, tokens + (us - last) / 1e6 * self.rate)
             last = us
             ok = tokens >= 1
             tokens -= 1 if ok else 0
             allowed.append(ok)
-        self.bucket.update((float(tokens), int(last)))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        # once a full refill has passed, no state is the same as a full bucket
-        self.handle.registerTimer(int(last + self.burst / self.rate * 1e6) // 1000 + 1)
-        yield pd.DataFrame({"user_id": key[0], "event_id": batch["event_id"], "allowed": allowed})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.bucket.clear()
-        yield pd.DataFrame({"user_id": [], "event_id": [], "allowed": []}).astype({"user_id": "int64", "event_id": "int64", "allowed": "bool"})
+        if len(timely):
+            self.bucket.update((float(tokens), int(last), int(event)))
+        yield _decided(key, batch, late, allowed)
 
     def close(self) -> None:
         pass
 
 
-def limited(stream: DataFrame, ts: str, processor: StatefulProcessor, late: str = "1 hour") -> DataFrame:
-    """``(user_id, event_id, allowed)`` by a keyed state machine whose idle state expires on event time."""
-    rows = stream.select("user_id", "event_id", F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).withWatermark("ts", late)
-    return rows.groupBy("user_id").transformWithStateInPandas(
+def limited(stream: DataFrame, ts: str, processor: StatefulProcessor, key: str = "user_id", event: str = "event_id") -> DataFrame:
+    """``(key, event_id, us, allowed, late)`` by a keyed state machine.
+
+    A row older than what its key has already seen in an earlier micro-batch comes back as late and undecided, so every
+    input row comes back; ``settled`` decides it.
+    """
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(event).cast("bigint").alias("event_id"), F.unix_micros(ts).alias("us"))
+    return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType="user_id long, event_id long, allowed boolean",
+        outputStructType="key string, event_id long, us long, allowed boolean, late boolean",
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None",
     )
 
 
+def settled(rows: DataFrame, decide) -> DataFrame:
+    """``(key, event_id, allowed)`` as if all rows had come in time order: keys with late rows are replayed whole.
+
+    ``decide`` maps ``(key, event_id, ts)`` rows to ``(key, event, allowed)``, as the batch limiters do.
+    """
+    broken = rows.filter("late").select(F.col("key").alias("__key")).distinct()
+    same = F.col("key").eqNullSafe(F.col("__key"))
+    again = decide(rows.join(broken, same, "left_semi").select("key", "event_id", F.timestamp_micros("us").alias("ts")))
+    return rows.join(broken, same, "left_anti").select("key", "event_id", "allowed").unionByName(again.select("key", F.col("event").alias("event_id"), "allowed"))
+
+
 def with_rocksdb(spark: SparkSession):
     """Context that selects the state store keyed state machines need, and restores the setting after."""
     from contextlib import contextmanager
