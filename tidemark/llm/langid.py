@@ -51,33 +51,36 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words (length 0) and n-grams (their length)."""
+    """Log frequencies per language: a matrix row per known word, a tuple per n-gram (by length)."""
 
     def __init__(self, rows: list[tuple[str, int, str, float]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({r[0] for r in rows})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        floor = {n: np.array([-math.log(totals.get((lang, n), RARE)) - 1 for lang in self.langs]) for n in range(LONGEST + 1)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        floor = [[-math.log(totals.get((lang, n), RARE)) - 1 for lang in self.langs] for n in range(LONGEST + 1)]
+        tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, gram, log in rows:
-            self.tables[n].setdefault(gram, floor[n].copy())[place[lang]] = log
-
-    def vector(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [v for v in map(self.tables[n].get, grams(word, n)) if v is not None]
+            tables[n].setdefault(gram, floor[n].copy())[place[lang]] = log
+        self.words = {word: i for i, word in enumerate(tables[0])}
+        self.word_rows = np.array([*tables[0].values()], np.float64).reshape(len(self.words), len(self.langs))
+        self.grams = [{gram: tuple(v) for gram, v in table.items()} for table in tables[1:]]
+
+    def unseen(self, word: str) -> list[float]:
+        """Mean of the longest known n-grams of a word that is not in the table."""
+        framed = f" {word} "
+        for n in range(min(LONGEST, len(framed)), 0, -1):
+            get = self.grams[n - 1].get
+            known = [v for i in range(len(framed) - n + 1) if (v := get(framed[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(self.langs)
 
 
 class Scorer:
-    """Predicts texts; keeps the vectors of words seen, and forgets them when there are too many."""
+    """Predicts texts; keeps the vectors of unseen words, and forgets them when there are too many."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((1024, len(model.langs)))
+        self.rows = np.vstack([model.word_rows, np.zeros((1024, len(model.langs)))])
         scorer = self
 
         class Index(dict):
@@ -85,17 +88,18 @@ class Scorer:
                 i = self[word] = len(self)
                 if i >= len(scorer.rows):
                     scorer.rows = np.vstack([scorer.rows, np.zeros_like(scorer.rows)])
-                scorer.rows[i] = scorer.model.vector(word)
+                scorer.rows[i] = scorer.model.unseen(word)
                 return i
 
-        self.index = Index()
+        self.index = Index(model.words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = letter_words(text)
         if not found or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.index) > CACHE:
+        if len(self.index) > len(self.model.words) + CACHE:
             self.index.clear()
+            self.index.update(self.model.words)
         at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
         mean = self.rows[at].mean(axis=0)
         p = np.exp((mean - mean.max()) * min(len(found), EVIDENCE))
