@@ -193,6 +193,19 @@ def test_language(spark, odd, docs):  # noqa: F811
     assert langid.Scorer(model).predict("und schon")[0] == "de" and langid.Scorer(model).predict("zzz")[0] == "de"
 
 
+def test_language_scores_do_not_depend_on_what_was_seen(monkeypatch):
+    rng = random.Random(4)
+    rows = {(lang, n, "".join(rng.choices("abcde", k=n or 3))): -9 * rng.random() for lang in ("de", "en", "fr") for n in range(5) for _ in range(40)}
+    model = langid.Model([(*key, log) for key, log in rows.items()], {(lang, n): 500 for lang in ("de", "en", "fr") for n in range(5)})
+    texts = [" ".join("".join(rng.choices("abcdefé", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    fresh = [langid.Scorer(model).predict(t) for t in texts]
+    kept = langid.Scorer(model)
+    assert [kept.predict(t) for t in texts] == fresh and len(kept.index) > len(model.words) + 5
+    monkeypatch.setattr(langid, "CACHE", 5)
+    forgetful = langid.Scorer(model)
+    assert [forgetful.predict(t) for t in texts] == fresh and len(forgetful.index) < len(kept.index)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
