@@ -137,11 +137,11 @@ class Field:
         for i, (a, b) in enumerate(self.at):
             while j < len(marks) and marks[j][1] <= a:
                 j += 1
-            for x in marks[j:]:
-                if x[0] >= b:
+            for m in range(j, len(marks)):
+                if marks[m][0] >= b:
                     break
-                if x[1] > a:
-                    self.base[i] = x[2]
+                if marks[m][1] > a:
+                    self.base[i] = marks[m][2]
                     break
         self.chain = np.array([(i - 1, i) for i in range(1, n) if adjacent[i]], np.int64).reshape(-1, 2)
         seen: dict[str, int] = {}
