@@ -127,6 +127,18 @@ def test_join_by_hand(spark, block):  # noqa: F811
     assert got == _components(texts)
 
 
+@pytest.mark.parametrize("sample, least, hot", [(1, 2, 10_000), (1, 40, 10_000), (2, 1, 5)])
+def test_hot_tokens_change_no_link(spark, monkeypatch, sample, least, hot):  # noqa: F811
+    for name, value in {"SAMPLE": sample, "LEAST_SEEN": least, "HOT_TOKENS": hot, "SALTS": 3}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join(passage + [f"w{rng.randint(0, 3)}_{i % 40}_{j}" for j in range(rng.choice((1, 4, 40)))]) for i in range(160)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link(df, block=16).collect()}
+    assert got == _components(texts)
+
+
 def test_join_odd_rows(odd):
     rows = [(r["doc_id"], r["component_id"]) for r in ngram_join.link(odd).collect()]
     assert len(rows) == len(ODD) and set(rows) >= {(1, 1), (5, 5), (6, 5), (7, 3), (None, None)}

@@ -11,7 +11,8 @@ token union bounds its overlap with every member, and only groups that pass the
 2. Group. A set joins the group of the most widely shared token of its head, so near copies meet; groups are dealt
    into blocks of about ``BLOCK`` sets, so no group has to fit a task.
 3. Bound. Head tokens are joined with the matrix rows ``(token, block)``; a set visits the blocks of lower number
-   in whose union it finds enough of its tokens. Every pair of similar sets is met exactly once.
+   in whose union it finds enough of its tokens. Every pair of similar sets is met exactly once. Where tokens are
+   counted, the rows of one that is hot in a sample of the sets are dealt to many tasks; no result depends on the sample.
 4. Open. Members of a block meet each other and its visitors, a block's worth at a time: a last bound on whole sets,
    then exact intersections by products of 0/1 matrices over the shared tokens.
 
@@ -44,6 +45,10 @@ BLOCK = 512
 VISITORS = 1024
 COLUMNS = 2048
 CACHE_WORDS = 200_000
+SAMPLE = 64
+LEAST_SEEN = 64
+HOT_TOKENS = 10_000
+SALTS = 1024
 
 
 class _Hashes(dict):
@@ -109,10 +114,32 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     return rows.mapInPandas(work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, head array<long>")
 
 
-def _screen(heads: DataFrame, percent: int, r: int) -> DataFrame:
-    """Of ``(node, n, t)`` rows, the sets that share enough of their head, with the shared tokens and the most shared one."""
-    seen = heads.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("df > 1")
-    found = seen.groupBy("node").agg(
+def _sampled(rows: DataFrame) -> DataFrame:
+    """One in ``SAMPLE`` nodes, by hash."""
+    return rows.filter(F.pmod(F.xxhash64(F.lit("hot"), "node"), F.lit(SAMPLE)) == 0)
+
+
+def _hot(sample: DataFrame) -> DataFrame:
+    """``t, seen``: tokens with at least a ``HOT_TOKENS``th of the ``(node, t)`` rows of the sample, so at most that many."""
+    sample = cut_lineage(sample.groupBy("t").agg(F.count(F.lit(1)).alias("seen")))
+    least = max(LEAST_SEEN, -(-(sample.agg(F.sum("seen")).first()[0] or 0) // HOT_TOKENS))
+    return cut_lineage(sample.filter(F.col("seen") >= least))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> tuple[DataFrame, Window]:
+    """``(node, t)`` rows with ``seen`` for hot tokens, and a window by token that deals the rows of hot ones to ``SALTS`` parts."""
+    rows = rows.join(F.broadcast(hot), "t", "left")
+    return rows, Window.partitionBy("t", F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(SALTS))))
+
+
+def _screen(heads: DataFrame, sample: DataFrame, percent: int, r: int) -> DataFrame:
+    """Of ``(node, n, t)`` rows, the sets that share enough of their head, with the shared tokens and the most shared one.
+
+    A token that is hot in the sample is known to be shared; how often it was seen there stands for its count.
+    """
+    rows, by_token = _dealt(heads, _hot(sample))
+    df = F.coalesce(F.col("seen") * SAMPLE, F.count(F.lit(1)).over(by_token))
+    found = rows.withColumn("df", df).filter("df > 1").groupBy("node").agg(
         F.first("n").alias("n"), F.count(F.lit(1)).alias("s"), F.max(F.struct("df", "t"))["t"].alias("top"), F.collect_list("t").alias("shared")
     )
     return found.filter(F.col("s") >= _enough(F.col("n"), percent, r)).drop("s")
@@ -126,6 +153,8 @@ def _wide_heads(texts: DataFrame, width: int, percent: int) -> DataFrame:
         for pdf in batches:
             found = [shingles(t, width, hashes) for t in pdf["text"]]
             own = [i for i, (s, k) in enumerate(zip(found, pdf["k1"].tolist())) if _key(s) == k]
+            if not own:
+                continue
             yield pd.DataFrame({
                 "node": pdf["node"].iloc[own].to_numpy(), "n": [len(found[i]) for i in own],
                 "head": [found[i][: _head(len(found[i]), percent, WIDE)].view(np.int64) for i in own],
@@ -241,12 +270,12 @@ def _copies(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
 def _blocks(docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The sets that passed both screens with their block and shared head tokens, and the texts of the first screen."""
-    narrow = nodes.select("node", "n", F.explode("head").alias("t"))
-    first = _screen(narrow, percent, NARROW).select("node").join(nodes.select("node", "rep", "k1", "copies"), "node")
+    narrow = lambda rows: rows.select("node", "n", F.explode("head").alias("t"))
+    first = _screen(narrow(nodes), narrow(_sampled(nodes)), percent, NARROW).select("node").join(nodes.select("node", "rep", "k1", "copies"), "node")
     rows = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = cut_lineage(rows.join(first, "rep").drop("rep"))
-    wide = _wide_heads(texts, width, percent).select("node", "n", F.explode("head").alias("t"))
-    active = cut_lineage(_screen(wide, percent, WIDE))
+    wide = lambda rows: _wide_heads(rows, width, percent).select("node", "n", F.explode("head").alias("t"))
+    active = cut_lineage(_screen(wide(texts), wide(_sampled(texts)), percent, WIDE))
     groups = active.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     return cut_lineage(active.join(groups, "top").withColumn("block", F.xxhash64("top", part)).drop("top", "parts")), texts
@@ -254,10 +283,10 @@ def _blocks(docs: DataFrame, nodes: DataFrame, width: int, percent: int, block:
 
 def _visits(active: DataFrame, percent: int) -> DataFrame:
     """``node, group``: the blocks of lower number whose token union a set overlaps enough."""
-    by_token = Window.partitionBy("t")
-    columns = active.select("node", "n", "block", F.explode("shared").alias("t"))
-    spread = columns.withColumns({"lo": F.min("block").over(by_token), "hi": F.max("block").over(by_token)}).filter("lo < hi").drop("lo", "hi")
-    spread = cut_lineage(spread)
+    columns = lambda rows: rows.select("node", "n", "block", F.explode("shared").alias("t"))
+    rows, by_token = _dealt(columns(active), _hot(columns(_sampled(active))))
+    rows = rows.withColumns({"lo": F.min("block").over(by_token), "hi": F.max("block").over(by_token)})
+    spread = cut_lineage(rows.filter("seen IS NOT NULL OR lo < hi").select("node", "n", "block", "t"))
     matrix = spread.select("t", F.col("block").alias("group")).distinct()
     hits = spread.join(matrix, "t").filter("group < block").groupBy("node", "n", "block", "group").count()
     passed = hits.filter(F.col("count") >= _enough(F.col("n"), percent, WIDE))
@@ -277,8 +306,9 @@ def _tasks(active: DataFrame, visits: DataFrame) -> DataFrame:
 
 def _components(every: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """``node, component, n_links``; texts that carry the same id are connected too."""
-    lowest = F.min("node").over(Window.partitionBy("doc_id"))
-    same_id = every.filter("node IS NOT NULL").select("doc_id", "node").withColumn("low", lowest).filter("node <> low")
+    named = every.filter("node IS NOT NULL").select("doc_id", "node")
+    twice = named.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
+    same_id = named.join(twice, "doc_id").filter("node <> low")
     edges = found.filter("node <> other").select(F.col("node").alias("src"), F.col("other").alias("dst"))
     edges = cut_lineage(edges.unionByName(same_id.select(F.col("node").alias("src"), F.col("low").alias("dst"))))
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
