@@ -89,6 +89,8 @@ def _chain(tokens) -> int:
 
 def test_rules_without_trust(docs, labels):
     assert not quality_rules.ngram_weights(docs, quality_rules.trusted_ids(labels.limit(0))).any()
+    trusted = quality_rules.trusted_ids(labels)
+    assert (quality_rules.ngram_weights(docs, trusted) == quality_rules.ngram_weights(docs, trusted, broadcast_ids=0)).all()
 
 
 def _components(texts: dict, percent=85):

@@ -6,9 +6,10 @@ trusted ones; both are smoothed by one. A text's score is the mean over its n-gr
 ``log p_trusted - log p_raw``, so it does not depend on length, and every text is kept or dropped by
 the same fixed threshold.
 
-Everything is a Column expression. The corpus is read twice and never shuffled: counts are combined on
-the map side to at most ``BUCKETS`` rows a task, and the table of ``BUCKETS`` weights enters the second read as a
-constant.
+Everything is a Column expression. The corpus is read twice: counts are combined on the map side to at most
+``BUCKETS`` rows a task, and the table of ``BUCKETS`` weights enters the second read as a constant. All trusted texts
+are counted. Their ids are broadcast up to ``BROADCAST_IDS`` of them, a counted number; beyond it texts and ids are
+joined by a shuffle, the only one.
 
 Defined results: a null text counts as empty; without tokens the score is 0 (base rules then fail it);
 without trusted texts all weights are 0 and only the base rules decide. Rows are never merged, so
@@ -22,11 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import hash_sample, text_of, words
+from tidemark.llm.words import text_of, words
 
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 BUCKETS = 1 << 15
-TRUSTED_ROWS = 20_000
+BROADCAST_IDS = 2_000_000
 THRESHOLD = -0.5
 
 
@@ -38,16 +39,17 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of the trusted texts: about ``rows`` of those marked as good, chosen by hash, so their number is bounded."""
-    good = labels.filter("quality = 1").select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return hash_sample(good, "doc_id", rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the trusted texts: all that are marked as good."""
+    return labels.filter("quality = 1").select("doc_id").filter("doc_id IS NOT NULL").distinct()
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+def ngram_weights(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
     """``log p_trusted - log p_raw`` of every bucket."""
     marked = trusted.select("doc_id", F.lit(1).alias("__y"))
-    rows = docs.select("doc_id", _tokens(text_of()).alias("__t")).join(F.broadcast(marked), "doc_id", "left")
+    if marked.count() <= broadcast_ids:
+        marked = F.broadcast(marked)
+    rows = docs.select("doc_id", text_of().alias("__text")).join(marked, "doc_id", "left").withColumn("__t", _tokens(F.col("__text")))
     pairs = rows.select("__y", F.inline(F.arrays_zip(F.col("__t").alias("a"), F.slice("__t", 2, F.size("__t")).alias("b"))))
     one, two = _bucket(F.col("a")), _bucket(F.col("a"), F.col("b"))
     grams = pairs.select("__y", F.explode(F.when(F.col("b").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("bucket"))
