@@ -127,9 +127,13 @@ def _hot(sample: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, hot: DataFrame) -> tuple[DataFrame, Window]:
-    """``(node, t)`` rows with ``seen`` for hot tokens, and a window by token that deals the rows of hot ones to ``SALTS`` parts."""
-    rows = rows.join(F.broadcast(hot), "t", "left")
-    return rows, Window.partitionBy("t", F.when(F.col("seen").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(SALTS))))
+    """``(node, t)`` rows and a window by token that deals the rows of hot tokens to ``SALTS`` parts.
+
+    One column, ``deal``, holds both: ``seen * SALTS`` and the part; it is null for other tokens.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    rows = rows.join(F.broadcast(hot), "t", "left").withColumn("deal", F.col("seen") * SALTS + part).drop("seen")
+    return rows, Window.partitionBy("t", "deal")
 
 
 def _screen(heads: DataFrame, sample: DataFrame, percent: int, r: int) -> DataFrame:
@@ -138,7 +142,7 @@ def _screen(heads: DataFrame, sample: DataFrame, percent: int, r: int) -> DataFr
     A token that is hot in the sample is known to be shared; how often it was seen there stands for its count.
     """
     rows, by_token = _dealt(heads, _hot(sample))
-    df = F.coalesce(F.col("seen") * SAMPLE, F.count(F.lit(1)).over(by_token))
+    df = F.coalesce(F.floor(F.col("deal") / SALTS) * SAMPLE, F.count(F.lit(1)).over(by_token))
     found = rows.withColumn("df", df).filter("df > 1").groupBy("node").agg(
         F.first("n").alias("n"), F.count(F.lit(1)).alias("s"), F.max(F.struct("df", "t"))["t"].alias("top"), F.collect_list("t").alias("shared")
     )
@@ -286,7 +290,7 @@ def _visits(active: DataFrame, percent: int) -> DataFrame:
     columns = lambda rows: rows.select("node", "n", "block", F.explode("shared").alias("t"))
     rows, by_token = _dealt(columns(active), _hot(columns(_sampled(active))))
     rows = rows.withColumns({"lo": F.min("block").over(by_token), "hi": F.max("block").over(by_token)})
-    spread = cut_lineage(rows.filter("seen IS NOT NULL OR lo < hi").select("node", "n", "block", "t"))
+    spread = cut_lineage(rows.filter("deal IS NOT NULL OR lo < hi").select("node", "n", "block", "t"))
     matrix = spread.select("t", F.col("block").alias("group")).distinct()
     hits = spread.join(matrix, "t").filter("group < block").groupBy("node", "n", "block", "group").count()
     passed = hits.filter(F.col("count") >= _enough(F.col("n"), percent, WIDE))
