@@ -16,6 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from conftest import SF_DIR, spark  # noqa: E402, F401
 
 from tidemark.llm import bitslice, bpe, chat, langid, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules  # noqa: E402
+from tidemark.llm.words import hash_sample_by  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id string"
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -220,6 +221,27 @@ def test_language_scores_do_not_depend_on_what_was_seen(monkeypatch):
     assert [forgetful.predict(t) for t in texts] == fresh and len(forgetful.index) < len(kept.index)
 
 
+@pytest.mark.parametrize("n_words", [3, 20, 200, 800])
+def test_a_small_language_takes_no_texts_of_others(spark, n_words):  # noqa: F811
+    rng = random.Random(n_words)
+    tiny = ["".join(rng.choices("kqwxzauo", k=rng.randint(2, 9))) for _ in range(n_words)]
+    known = spark.read.parquet(f"{Path(SF_DIR).parent}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    ids = spark.range(10**7, 10**7 + 9).select(F.col("id").alias("doc_id")).filter(langid.fold(F.col("doc_id")) != 0).limit(1)
+    model = langid.fit(known.unionByName(ids.select("doc_id", F.lit(" ".join(tiny)).alias("text"), F.lit("tiny").alias("lang"))))
+    scorer = langid.Scorer(model)
+    rows = known.filter(langid.fold(F.col("doc_id")) == 0).collect()
+    assert np.mean([scorer.predict(r["text"])[0] == r["lang"] for r in rows]) > 0.97
+    assert scorer.predict(" ".join(rng.choices(tiny, k=9)))[0] == "tiny"
+
+
+def test_sample_keeps_rare_languages(spark):  # noqa: F811
+    lang = F.when(F.col("doc_id") % 1000 == 0, "rare").when(F.col("doc_id") % 2 == 0, "a").otherwise("b")
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("lang", lang)
+    got = {r["lang"]: r["count"] for r in hash_sample_by(rows, "lang", "doc_id", 2020).groupBy("lang").count().collect()}
+    assert got["rare"] == 20 and all(850 < got[x] < 1150 for x in "ab")
+    assert hash_sample_by(rows, "lang", "doc_id", 20_000).count() == 20_000
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

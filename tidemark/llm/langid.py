@@ -2,9 +2,11 @@
 
 A known word scores the log of its relative frequency in each language. An unseen word falls back to its character
 n-grams (with word borders), longest first: the first length of which any n-gram is known gives their mean. What one
-language has and another lacks scores that other language's floor. A text's score is the mean over its words.
+language has and another lacks scores a floor that all languages share (below the rarest in the largest of them, so that a
+language with little text is not favoured where it knows nothing). A text's score is the mean over its words.
 
-The tables are learned from about ``SAMPLE_ROWS`` labelled texts outside fold 0, chosen by hash, and hold per language
+The tables are learned from about ``SAMPLE_ROWS`` labelled texts outside fold 0, chosen by hash, all texts of rare
+languages among them (the others share the rest evenly), and hold per language
 most frequent words and n-grams of each length, up to ``WORDS`` and ``GRAMS`` (a count whose words do not all fit is left
 out); frequencies are relative to all counts. So the model has a bounded size and is broadcast, and prediction is one pass without a shuffle.
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import bounded_batches, fold, hash_sample
+from tidemark.llm.words import bounded_batches, fold, hash_sample_by
 from tidemark.session import cut_lineage
 
 SAMPLE_ROWS = 20_000
@@ -56,7 +58,8 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, str, float]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({r[0] for r in rows})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        floor = [[-math.log(totals.get((lang, n), RARE)) - 1 for lang in self.langs] for n in range(LONGEST + 1)]
+        largest = [max((c for (_, m), c in totals.items() if m == n), default=RARE) for n in range(LONGEST + 1)]
+        floor = [[-math.log(c) - 1] * len(self.langs) for c in largest]
         tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, gram, log in rows:
             tables[n].setdefault(gram, floor[n].copy())[place[lang]] = log
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the texts with a language outside fold 0."""
     rows = bounded_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    rows = hash_sample(rows, "doc_id", sample_rows)
+    rows = hash_sample_by(rows, "lang", "doc_id", sample_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

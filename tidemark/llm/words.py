@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 WORD = r"[^\x20\x09-\x0D]+"
 SAMPLE_RANGE = 1 << 31
 
@@ -34,10 +36,20 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of ``key``: the same rows on every run; all of them where there are no more."""
-    total = df.count()
-    if total <= rows:
+def hash_sample_by(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of ``key`` within each value of ``group``: all rows of a small group, a common quota of the others."""
+    counts = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
+    sizes = sorted((r["__n"], r["k"]) for r in counts.groupBy("__n").agg(F.count(F.lit(1)).alias("k")).collect())
+    left, groups, quota = rows, sum(k for _, k in sizes), None
+    for n, k in sizes:
+        if n * groups > left:
+            quota = left / groups
+            break
+        left, groups = left - n * k, groups - k
+    if quota is None:
         return df
-    cut = SAMPLE_RANGE * rows // total
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(SAMPLE_RANGE)) < cut)
+    over = counts.filter(F.col("__n") > quota).select(F.col(group).alias("__group"), (F.lit(SAMPLE_RANGE * quota) / F.col("__n")).alias("__cut"))
+    over = F.broadcast(over) if quota >= 1 else over  # no more than ``rows`` groups are over a quota of one row
+    hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(SAMPLE_RANGE))
+    rated = df.join(over, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return rated.filter(F.col("__cut").isNull() | (hashed < F.col("__cut"))).select(*df.columns)
