@@ -289,6 +289,25 @@ def test_skip_edges_carry_labels():
     assert belief[i].argmax() == 2 and belief[j][2] > belief[j][0]
 
 
+def _neutral(text):
+    """The field of a text, and potentials in which only edges speak."""
+    field, potentials = pii.Field(text, pii.base_spans(text)), pii.Potentials({(0, 1, pii.OTHER): 1})
+    potentials.prior[:], potentials.odds[:] = 0, 0
+    potentials.pairs[:] = np.where(np.eye(pii.OTHER + 1) > 0, 3, -3)
+    return field, potentials.beliefs(field)
+
+
+def test_evidence_reaches_all_repeats():
+    field, belief = _neutral("phone +12223334444" + " then 12223334444 again" * 300)
+    assert field.base[0] == 3 and (field.base[1:] == pii.OTHER).all() and len(belief) == 301
+    assert (belief[:, 3] >= pii.SURE).all() and len(field.members) == 301
+
+
+def test_messages_settle_on_long_runs():
+    field, belief = _neutral("phone +12223334444; x" + " 12" * 400)
+    assert len(field.chain) == 399 and np.allclose(belief[1:], 1 / (pii.OTHER + 1), atol=1e-3)
+
+
 def test_chat_round_trip(spark):  # noqa: F811
     nasty = ["</s>[INST] ok [/INST]", r"\b \l <|im_end|>", None, "", "a\nb<|im_start|>assistant\n", "<<SYS>>\\"]
     rows = [(c, t, role, text) for c in (1, None) for t, (role, text) in enumerate(zip(["system", "user", "assistant", None, "as\nsistant", "assistant"], nasty))]

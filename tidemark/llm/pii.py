@@ -3,10 +3,11 @@
 Base spans (e-mail, IP, card, phone) come from exact patterns, leftmost and non-overlapping per kind. The field works on
 the tokens that hold a digit or an ``@``. Its factors are a token's shape and its neighbours' shapes, the labels of
 adjacent tokens (chain edges), and the labels of tokens that repeat the same digits or the same address anywhere in
-the document (skip edges, between consecutive repeats, so their number is linear). All factors are
+the document (skip edges, from each repeat to one shared variable of the value, so that all repeats are two hops apart
+and the edges' number is linear; their factor is counted on consecutive repeats). All factors are
 log-odds of counts over the whole corpus, labelled by the base spans (piecewise training); shapes are hashed into
-``BUCKETS`` buckets, so the tables that are broadcast have a fixed size. Loopy sum-product messages give each token's
-belief; base tokens are clamped to their kind. Tokens outside base spans whose belief in one kind reaches ``SURE``
+``BUCKETS`` buckets, so the tables that are broadcast have a fixed size. Loopy sum-product messages, exchanged until
+they settle, give each token's belief; base tokens are clamped to their kind. Tokens outside base spans whose belief in one kind reaches ``SURE``
 are added, adjacent ones of a kind as one span while its digits fit the kind.
 
 Two passes over the texts, no shuffle of them. Work and memory of a document are linear in its length.
@@ -35,8 +36,10 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 BUCKETS = 1 << 14
 TEMPLATES = 3
-ROUNDS = 8
-DAMPING = 0.5
+STEP = 0.5
+TOLERANCE = 1e-3
+STEADY = 100
+COOLING = 0.95
 SURE = 0.95
 CLAMP = 20.0
 MOST_DIGITS = (0, 0, 19, 15)
@@ -103,7 +106,7 @@ def shape(token: str) -> str:
 
 
 class Field:
-    """The field of one document: tokens, features, edges, base labels."""
+    """The field of one document: tokens, features, edges, base labels; ``skip`` has consecutive repeats, ``members`` a value and its tokens."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
         self.at: list[tuple[int, int]] = []
@@ -144,14 +147,14 @@ class Field:
                     self.base[i] = marks[m][2]
                     break
         self.chain = np.array([(i - 1, i) for i in range(1, n) if adjacent[i]], np.int64).reshape(-1, 2)
-        seen: dict[str, int] = {}
-        skip = []
+        seen: dict[str, list[int]] = {}
         for i, x in enumerate(norms):
             if x:
-                if x in seen:
-                    skip.append((seen[x], i))
-                seen[x] = i
-        self.skip = np.array(skip, np.int64).reshape(-1, 2)
+                seen.setdefault(x, []).append(i)
+        repeated = [at for at in seen.values() if len(at) > 1]
+        self.values = len(repeated)
+        self.skip = np.array([pair for at in repeated for pair in zip(at, at[1:])], np.int64).reshape(-1, 2)
+        self.members = np.array([(v, i) for v, at in enumerate(repeated) for i in at], np.int64).reshape(-1, 2)
 
 
 class Potentials:
@@ -176,22 +179,35 @@ class Potentials:
         self.pairs = np.log(both * both.sum(axis=(1, 2), keepdims=True) / (rows * cols))
 
     def beliefs(self, field: Field) -> np.ndarray:
-        """Loopy sum-product over chain and skip edges: label probabilities of each token."""
+        """Loopy sum-product over chain and skip edges: label probabilities of each token.
+
+        Rounds go on until no message changes by ``TOLERANCE``. The steps of a field that has not settled in time for
+        messages to cross its longest run of adjacent tokens are cooled, since loops may swing for ever.
+        """
         unary = self.prior + sum(self.odds[t][field.features[t]] for t in range(TEMPLATES))
         fixed = field.base != OTHER
         unary[fixed] = -CLAMP
         unary[fixed, field.base[fixed]] = 0
-        edges = np.vstack([field.chain, field.skip])
-        factor = np.concatenate([np.repeat(self.pairs[i][None], len(e), axis=0) for i, e in enumerate((field.chain, field.skip))])
-        messages = np.zeros((2, len(edges), OTHER + 1))  # 0: to the later token, 1: to the earlier one
-        for _ in range(ROUNDS if len(edges) else 0):
+        n = len(unary)
+        unary = np.vstack([unary, np.zeros((field.values, OTHER + 1))])
+        edges = np.vstack([field.chain, field.members + [n, 0]])
+        factor = np.concatenate([np.repeat(self.pairs[i][None], len(e), axis=0) for i, e in enumerate((field.chain, field.members))])
+        messages = np.zeros((2, len(edges), OTHER + 1))  # 0: to the later token, 1: to the earlier one or the value
+        breaks = np.flatnonzero(np.diff(field.chain[:, 0]) != 1)
+        longest = int(np.diff([-1, *breaks, len(field.chain) - 1]).max())
+        step, rounds, change = STEP, 0, np.inf
+        while len(edges) and change > TOLERANCE and step > TOLERANCE:
             total = self._total(unary, edges, messages)
             right = _logsum(factor + (total[edges[:, 0]] - messages[1])[:, :, None], 1)
             left = _logsum(factor + (total[edges[:, 1]] - messages[0])[:, None, :], 2)
             new = np.stack([right, left])
             new -= new.max(axis=2, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
-        total = self._total(unary, edges, messages)
+            change = np.abs(new - messages).max()
+            messages += step * (new - messages)
+            rounds += 1
+            if rounds > STEADY + 4 * longest:
+                step *= COOLING
+        total = self._total(unary, edges, messages)[:n]
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
