@@ -303,6 +303,23 @@ def test_evidence_reaches_all_repeats():
     assert (belief[:, 3] >= pii.SURE).all() and len(field.members) == 301
 
 
+def test_grouped_and_similar_numbers_share_evidence():
+    text = "at +44 20 7946 0958 now; 020-7946-0958 or 020 7946 0958, 7; 44 20 7946 0958 2024! other 12 7946 1958"
+    field, belief = _neutral(text)
+    said = [text[a:b] for a, b in field.at]
+    alike = [belief[i, 3] >= pii.SURE for i in range(len(said))]
+    assert field.base.tolist() == [3] * 4 + [pii.OTHER] * (len(said) - 4)
+    assert said[4:8] == ["020-7946-0958", "020", "7946", "0958"] and all(alike[:8])
+    j = said.index("44")
+    assert said[j : j + 4] == ["44", "20", "7946", "0958"] and all(alike[j : j + 4]) and not any(alike[-3:])
+    card, belief = _neutral("card 4111 1111 1111 1111 and 4111  1111.1111.1111 or 1111 1111/1111")
+    assert (card.base[:4] == 2).all() and (belief[-2:, 2] >= pii.SURE).all()
+    two, _ = _neutral("+1 222 333 4444 +1 555 666 7777; 222 333 4444; 555 666 7777")
+    assert two.values == 2 and len(two.members) == 8
+    many = pii.Field("9 " * 50_000, [])
+    assert len(many.members) <= len(many.at) == 50_000
+
+
 def test_messages_settle_on_long_runs():
     field, belief = _neutral("phone +12223334444; x" + " 12" * 400)
     assert len(field.chain) == 399 and np.allclose(belief[1:], 1 / (pii.OTHER + 1), atol=1e-3)

@@ -2,8 +2,8 @@
 
 Base spans (e-mail, IP, card, phone) come from exact patterns, leftmost and non-overlapping per kind. The field works on
 the tokens that hold a digit or an ``@``. Its factors are a token's shape and its neighbours' shapes, the labels of
-adjacent tokens (chain edges), and the labels of tokens that repeat the same digits or the same address anywhere in
-the document (skip edges, from each repeat to one shared variable of the value, so that all repeats are two hops apart
+adjacent tokens (chain edges), and the labels of tokens that repeat the same address, or a number with the same last ``ALIKE`` digits, anywhere in
+the document, however its digits are grouped over adjacent tokens (skip edges, from each repeat to one shared variable of the value, so that all repeats are two hops apart
 and the edges' number is linear; their factor is counted on consecutive repeats). All factors are
 log-odds of counts over the whole corpus, labelled by the base spans (piecewise training); shapes are hashed into
 ``BUCKETS`` buckets, so the tables that are broadcast have a fixed size. Loopy sum-product messages, exchanged until
@@ -43,6 +43,8 @@ COOLING = 0.95
 SURE = 0.95
 CLAMP = 20.0
 MOST_DIGITS = (0, 0, 19, 15)
+ALIKE = 7
+LONGEST_NUMBER = 19
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,12 +107,72 @@ def shape(token: str) -> str:
     return out
 
 
+def _mentions(said: list[str], span: list[int], adjacent: list[bool]) -> Iterator[tuple[str, list[int]]]:
+    """``(key, tokens)`` of each mention of an address or a number.
+
+    A number is a base span (its last token stands for it), a token of ``ALIKE`` digits or more, or a stretch of adjacent
+    free tokens without letters. Inside such a stretch it ends where its last ``ALIKE`` digits are those of a known
+    number, and goes back as far as the digits agree with that number's; a stretch without one is a number itself, up to
+    ``LONGEST_NUMBER`` digits. Addresses of four parts are compared whole.
+    """
+    digits = ["".join(RUN.findall(x)) for x in said]
+    plain = ["@" not in x and NAME.search(x) is None for x in said]
+    known: dict[str, tuple[str, int]] = {}  # the number, and the stretch that alone holds it, or -1
+    spans, stretches = [], []
+    for i, x in enumerate(said):
+        if "@" in x:
+            yield x.lower(), [i]
+        elif plain[i] and x.count(".") == 3 and max(map(len, x.split("."))) <= 3:
+            yield x, [i]
+        else:
+            runs = stretches if span[i] < 0 else spans
+            joins = runs and runs[-1][-1] == i - 1 and span[i - 1] == span[i]
+            if joins and (span[i] >= 0 or adjacent[i] and plain[i] and plain[i - 1]):
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    for run in spans:
+        number = "".join(digits[i] for i in run)
+        if len(number) >= ALIKE:
+            known.setdefault(number[-ALIKE:], (number, -1))
+            yield number[-ALIKE:], run[-1:]
+    for run in stretches:
+        for number in (digits[i] for i in run if len(digits[i]) >= ALIKE):
+            known.setdefault(number[-ALIKE:], (number, -1))
+    for r, run in enumerate(stretches):
+        number = "".join(digits[i] for i in run)
+        if ALIKE <= len(number) <= LONGEST_NUMBER:
+            first, owner = known.setdefault(number[-ALIKE:], (number, r))
+            if owner not in (-1, r):
+                known[number[-ALIKE:]] = first, -1
+    for r, run in enumerate(stretches):
+        line = "".join(digits[i] for i in run)
+        end, k, found = len(line), len(run) - 1, False
+        while k >= 0:
+            i = run[k]
+            value, owner = known.get(line[end - ALIKE : end], ("", r)) if end >= ALIKE else ("", r)
+            if owner == r:
+                end, k = end - len(digits[i]), k - 1
+                continue
+            same = ALIKE
+            while same < min(len(value), end) and value[-same - 1] == line[end - same - 1]:
+                same += 1
+            key, start, at = value[-ALIKE:], end - same, []
+            while k >= 0 and end > start:
+                at.append(run[k])
+                end, k = end - len(digits[run[k]]), k - 1
+            found = True
+            yield key, at[::-1]
+        if not found and ALIKE <= len(line) <= LONGEST_NUMBER:
+            yield line[-ALIKE:], run
+
+
 class Field:
     """The field of one document: tokens, features, edges, base labels; ``skip`` has consecutive repeats, ``members`` a value and its tokens."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
         self.at: list[tuple[int, int]] = []
-        shapes, norms, adjacent, before, after = [], [], [], [], []
+        shapes, said, adjacent, before, after = [], [], [], [], []
         last_end, last_word, pending = -2, "", False
         for m in TOKEN.finditer(text):
             token = m.group()
@@ -123,8 +185,7 @@ class Field:
                 end = start + len(cut)
                 self.at.append((start, end))
                 shapes.append(shape(cut))
-                digits = "".join(RUN.findall(cut))
-                norms.append(cut.lower() if "@" in cut else digits if len(digits) >= 7 else "")
+                said.append(cut)
                 adjacent.append(start - last_end == 1 and bool(self.at[:-1]) and self.at[-2][1] == last_end)
                 before.append(last_word)
                 pending = True
@@ -135,6 +196,7 @@ class Field:
         hashed = lambda kind, xs: [zlib.crc32(f"{kind}{x}".encode("utf-8", "surrogatepass")) % BUCKETS for x in xs]
         self.features = np.array([hashed("s", shapes), hashed("b", before), hashed("a", after)], np.int64).reshape(TEMPLATES, n)
         self.base = np.full(n, OTHER)
+        span = [-1] * n
         marks = sorted((a, b, k) for k, a, b in spans)
         j = 0
         for i, (a, b) in enumerate(self.at):
@@ -144,17 +206,16 @@ class Field:
                 if marks[m][0] >= b:
                     break
                 if marks[m][1] > a:
-                    self.base[i] = marks[m][2]
+                    self.base[i], span[i] = marks[m][2], m
                     break
         self.chain = np.array([(i - 1, i) for i in range(1, n) if adjacent[i]], np.int64).reshape(-1, 2)
-        seen: dict[str, list[int]] = {}
-        for i, x in enumerate(norms):
-            if x:
-                seen.setdefault(x, []).append(i)
-        repeated = [at for at in seen.values() if len(at) > 1]
+        seen: dict[str, list[list[int]]] = {}
+        for key, at in _mentions(said, span, adjacent):
+            seen.setdefault(key, []).append(at)
+        repeated = [sorted(places, key=lambda at: at[-1]) for places in seen.values() if len(places) > 1]
         self.values = len(repeated)
-        self.skip = np.array([pair for at in repeated for pair in zip(at, at[1:])], np.int64).reshape(-1, 2)
-        self.members = np.array([(v, i) for v, at in enumerate(repeated) for i in at], np.int64).reshape(-1, 2)
+        self.skip = np.array([pair for places in repeated for pair in zip((at[-1] for at in places), (at[-1] for at in places[1:]))], np.int64).reshape(-1, 2)
+        self.members = np.array([(v, i) for v, places in enumerate(repeated) for at in places for i in at], np.int64).reshape(-1, 2)
 
 
 class Potentials:
