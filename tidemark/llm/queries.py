@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, bpe, chat, langid, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules
+from tidemark.llm import bitslice, bpe, chat, langid, licenses, mixing, ngram_join, periodic, pii, quality_classifier, quality_rules, recompress, resample
+from tidemark.llm.words import text_of, words
 
 SAID = "</s>[INST] ok [/INST]"
 
@@ -63,11 +64,45 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a checksum divisible by 10 repeat a block of their words from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", text_of().alias("text"), h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    rows = rows.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    rows = rows.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.find(_planted(_table(spark, sf_dir, "documents"))).withColumn("best", periodic.strongest("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.mark(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_join, op3_quality_classifier, op4_mixing, op5_licenses,
         op6_language, op7_pii, op8_chat, op9_topk, op10_bpe,
+        op11_periodic_runs, op12_substring_dedup, op13_resample,
     )
 }
 
@@ -166,10 +201,77 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_CRC_SQL = """
+WITH RECURSIVE step AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    octets = f"[CAST('0x' || hex(encode({text}))[2 * j - 1 : 2 * j] AS BIGINT) FOR j IN range(1, length(hex(encode({text}))) // 2 + 1)]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_RUNS_SQL = rf"""{_CRC_SQL},
+ids AS (SELECT k, {_crc_sql("k")} AS h FROM (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents), crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT d.*, h, h // 10 AS g, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM d JOIN ids ON k = coalesce(CAST(doc_id AS VARCHAR), '')),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], [w[a + 1 + i % p] FOR i IN range(n - a)]) ELSE w END AS w FROM f),
+x AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+same AS (SELECT a.r, b.i - a.i AS p, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 3),
+isle AS (SELECT r, p, min(i) AS s, count(*) AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM same) GROUP BY r, p, k),
+runs AS (SELECT r, s, size + p AS len, min(p) AS p FROM isle WHERE size >= greatest(24 - p, 2 * p) GROUP BY r, s, size + p),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(len AS DOUBLE) / p DESC, s, p) AS turn FROM runs),
+said AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS said FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + p, s + len)) AS i FROM runs),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON gone.r = x.r AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(p AS BIGINT) AS period,
+  CAST(1000 * len // p AS BIGINT) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN said USING (r) LEFT JOIN (SELECT * FROM best WHERE turn = 1) USING (r) LEFT JOIN kept USING (r)
+"""
+
+_REPEATS_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT r, i, md5(array_to_string(w[i + 1 : i + 35], ' ')) AS h FROM (SELECT r, w, unnest(range(len(w) - 34)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM x) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM twice),
+p AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+kept AS (SELECT p.r, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN gone ON gone.r = p.r AND gone.i = p.i WHERE gone.i IS NULL GROUP BY p.r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""
+
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_RESAMPLE_SQL = rf"""{_CRC_SQL},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word FROM d),
+y AS (SELECT unnest({_FEATURES}) AS word FROM benchmark),
+marks AS (SELECT word, {_crc_sql("word")} % 10000 AS b FROM (SELECT word FROM x UNION SELECT word FROM y), crc),
+raw AS (SELECT b, count(*) AS s FROM x JOIN marks USING (word) GROUP BY b),
+target AS (SELECT b, count(*) AS t FROM y JOIN marks USING (word) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM x) + 10000 AS s_all, (SELECT count(*) FROM y) + 10000 AS t_all),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * s_all AS DOUBLE) / CAST((s + 1) * t_all AS DOUBLE))) AS BIGINT) AS gain
+  FROM raw LEFT JOIN target USING (b), total),
+weight AS (SELECT r, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM x JOIN marks USING (word) JOIN gain USING (b) GROUP BY r),
+s AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM d LEFT JOIN weight USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS turn,
+  10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS wanted FROM z)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND turn <= wanted THEN turn END AS rank FROM k
+"""
+
 SQL: dict[str, str] = {
     "op2_ngram_join": _NGRAM_SQL,
     "op4_mixing": _MIX_SQL,
     "op5_licenses": _license_sql(),
     "op8_chat": _CHAT_SQL,
     "op9_topk": _TOPK_SQL,
+    "op11_periodic_runs": _RUNS_SQL,
+    "op12_substring_dedup": _REPEATS_SQL,
+    "op13_resample": _RESAMPLE_SQL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,29 @@ def hash_sample_by(df: DataFrame, group: str, key: str, rows: int) -> DataFrame:
     hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(SAMPLE_RANGE))
     rated = df.join(over, F.col(group).eqNullSafe(F.col("__group")), "left")
     return rated.filter(F.col("__cut").isNull() | (hashed < F.col("__cut"))).select(*df.columns)
+
+
+class Remembered(dict):
+    """Values of a function by argument; forgets all when it has grown to ``most``."""
+
+    def __init__(self, make, most: int = 200_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def byte_slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``size`` bytes together, or one longer text."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text) + 1
+        if held >= size:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
