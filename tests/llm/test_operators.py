@@ -126,8 +126,10 @@ def test_join_by_hand(spark, block):  # noqa: F811
         texts[i] = " ".join(w) + (" " + passage if i % 3 == 0 else "")
     texts |= {900: None, 901: "", 902: "one two", 903: "ONE Two", 904: " \n "}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link(df, block=block).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link(df, block=block, count_links=True).collect()}
     assert got == _components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, block=block).collect()}
+    assert got == {i: x[:2] for i, x in _components(texts).items()}
 
 
 @pytest.mark.parametrize("sample, least, hot", [(1, 2, 10_000), (1, 40, 10_000), (2, 1, 5)])
@@ -138,8 +140,49 @@ def test_hot_tokens_change_no_link(spark, monkeypatch, sample, least, hot):  # n
     passage = [f"p{i}" for i in range(40)]
     texts = {i: " ".join(passage + [f"w{rng.randint(0, 3)}_{i % 40}_{j}" for j in range(rng.choice((1, 4, 40)))]) for i in range(160)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link(df, block=16).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.link(df, block=16, count_links=True).collect()}
     assert got == _components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, block=16).collect()}
+    assert got == {i: x[:2] for i, x in _components(texts).items()}
+
+
+def test_large_clusters_become_groups(spark, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(ngram_join, "PIECE", 2)
+    rng = random.Random(9)
+    texts = {}
+    for i in range(240):  # a chain of versions, a cluster around one text, and texts near to it
+        w = [f"{'ab'[i % 2]}{k}" for k in range(120)]
+        if i % 2:
+            for k in range(i // 8):
+                w[4 * k % 120] = f"new{k}"
+        else:
+            w[rng.randrange(120)] = f"x{i}"
+            if i % 20 == 0:
+                w[:14] = [f"y{i}_{k}" for k in range(14)]
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = _components(texts)
+    for block in (4, 16):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, block=block).collect()}
+        assert got == {i: x[:2] for i, x in want.items()}
+    _, nodes = ngram_join._copies(df, 4, 85, True)
+    active, read = ngram_join._blocks(df, nodes, 4, 85, 4)
+    active, _ = ngram_join._contracted(active, read, 4, 85, 4)
+    assert active.filter("`group` < 0").count() > 100
+    assert ngram_join._visits(active, 85).count() < ngram_join._visits(active.withColumn("group", F.col("block")), 85).count() / 3
+
+
+def test_one_of_each_goes_by_text(spark):  # noqa: F811
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 1), (2, a, 2), (None, c, 3), (None, c + " end", 4), (None, c, 5), (3, None, 6), (3, None, 7), (None, " ", 8), (4, b + " z", 9), (4, b + " z", 10)]
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, t1 int, ROW string, id int, `__id` int, t2 int")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    out = kept.collect()
+    got = Counter((r["doc_id"], r["text"]) for r in out)
+    assert got[1, a] == 1 and got[1, b] == 1 and got[3, None] == 2 and got[None, " "] == 1 and sum(got.values()) == 6
+    assert sum(n for (i, t), n in got.items() if i is None and t in (c, c + " end")) == 1
+    assert all((r["doc_id"], r["text"], r["t1"]) in rows for r in out)
 
 
 def test_join_odd_rows(odd):

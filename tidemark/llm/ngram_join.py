@@ -9,19 +9,27 @@ token union bounds its overlap with every member, and only groups that pass the
    partner. A set whose head has fewer tokens that occur in any other set has no partner. Two screens, a narrow
    one over all sets and a wider one over what is left (which drops texts that only share a passage).
 2. Group. A set joins the group of the most widely shared token of its head, so near copies meet; groups are dealt
-   into blocks of about ``BLOCK`` sets, so no group has to fit a task.
-3. Bound. Head tokens are joined with the matrix rows ``(token, block)``; a set visits the blocks of lower number
-   in whose union it finds enough of its tokens. Every pair of similar sets is met exactly once. Where tokens are
-   counted, the rows of one that is hot in a sample of the sets are dealt to many tasks; no result depends on the sample.
-4. Open. Members of a block meet each other and its visitors, a block's worth at a time: a last bound on whole sets,
-   then exact intersections by products of 0/1 matrices over the shared tokens.
+   into blocks of about ``BLOCK`` sets, so no group has to fit a task. Members of a block meet each other. Parts of
+   at least ``PIECE`` connected sets send one set each to further blocks of their group, until one block holds all that
+   are sent. A component that spans several blocks then becomes a group of its own; what is in it needs no more meeting.
+3. Bound. Head tokens are joined with the matrix rows ``(token, group)``; a set visits the groups of lower number in
+   whose union it finds enough of its tokens. Every pair of similar sets that is not connected yet is met exactly once.
+   Where tokens are counted, the rows of one that is hot in a sample of the sets are dealt to many tasks; no result depends
+   on the sample.
+4. Open. The members of a group, a block at a time, meet its visitors: a last bound on whole sets, then exact
+   intersections by products of 0/1 matrices over the shared tokens.
 
 No pairs of documents are emitted: a task returns one row per set with its number of links and enough edges to connect what
-is linked. Memory of a task: two blocks. Tokens are 64-bit hashes; a collision could shift an overlap by one.
+is linked. Memory of a task: two blocks. Tokens are 64-bit hashes; a collision could shift an overlap by one. Sets are told
+apart by their size and a 128-bit key.
+
+``count_links`` also counts every row's links. Then all pairs inside a cluster have to be met: groups stay blocks, and a
+cluster of n sets makes about n * n / BLOCK visits.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than the width make
-one shingle of the whole sequence; rows that repeat a ``doc_id`` are one node and keep a row each; a null
-``doc_id`` keeps its row, with no component.
+one shingle of the whole sequence; for ``link``, rows that repeat a ``doc_id`` are one node of the graph and keep a row each,
+and a null ``doc_id`` keeps its row, with no component. ``one_of_each`` goes by the texts alone: rows without words all
+stay, of each component the first row by id (null last) stays, once. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import bounded_batches
+from tidemark.llm.words import bounded_batches, free_names
 from tidemark.operators.components import connected_components
 from tidemark.session import cut_lineage
 
@@ -42,7 +50,8 @@ WIDTH = 4
 PERCENT = 85
 NARROW, WIDE = 20, 3  # r = 1/20 and 1/3
 BLOCK = 512
-VISITORS = 1024
+VISITORS = 512
+PIECE = 8
 COLUMNS = 2048
 CACHE_WORDS = 200_000
 SAMPLE = 64
@@ -94,8 +103,12 @@ def _enough(n: Column, percent: int, r: int) -> Column:
     return 1 + F.floor(F.ceil(n * percent / 100) / r)
 
 
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("t1"), F.hash(F.coalesce(text, F.lit(""))).alias("t2")]
+
+
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, head``: the size of each set, a 128-bit key of it, and its narrow head."""
+    """``doc_id, t1, t2, n_shingles, k1, k2, head``: a key of the text, the size of each set, a 128-bit key of it, its narrow head."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -107,11 +120,12 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
                 k1.append(_key(s))
                 k2.append(int(((s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).astype(np.int64)))
                 heads.append(s[: _head(len(s), percent, NARROW)].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "k1": k1, "k2": k2, "head": heads})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "t1": pdf["t1"], "t2": pdf["t2"], "n_shingles": n, "k1": k1, "k2": k2, "head": heads})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, head array<long>")
+    rows = rows.select("doc_id", *_text_key(F.col("text")), "text")
+    return rows.mapInPandas(work, f"doc_id {kind}, t1 long, t2 int, n_shingles long, k1 long, k2 long, head array<long>")
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
@@ -150,21 +164,15 @@ def _screen(heads: DataFrame, sample: DataFrame, percent: int, r: int) -> DataFr
 
 
 def _wide_heads(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, n, head`` of the texts; a row whose text is not the node's (its id is used twice) falls out."""
+    """``node, n, head`` of the texts."""
 
     def work(batches):
         hashes = _Hashes()
         for pdf in batches:
             found = [shingles(t, width, hashes) for t in pdf["text"]]
-            own = [i for i, (s, k) in enumerate(zip(found, pdf["k1"].tolist())) if _key(s) == k]
-            if not own:
-                continue
-            yield pd.DataFrame({
-                "node": pdf["node"].iloc[own].to_numpy(), "n": [len(found[i]) for i in own],
-                "head": [found[i][: _head(len(found[i]), percent, WIDE)].view(np.int64) for i in own],
-            })
+            yield pd.DataFrame({"node": pdf["node"], "n": [len(s) for s in found], "head": [s[: _head(len(s), percent, WIDE)].view(np.int64) for s in found]})
 
-    return texts.select("node", "k1", "text").mapInPandas(work, "node long, n long, head array<long>")
+    return texts.select("node", "text").mapInPandas(work, "node long, n long, head array<long>")
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -214,13 +222,13 @@ def compare(found: list[np.ndarray], side: np.ndarray, weight: np.ndarray, perce
     return linked @ weight, _labels(linked)
 
 
-def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Compare the members (side 0) of each task with each other and with its visitors (side 1), some at a time.
+def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int, block: int, inside: bool) -> DataFrame:
+    """Compare the members (side 0) of each task with its visitors (side 1), some at a time, and with each other where ``inside``.
 
     ``node, links, other``: a node's number of linked rows there and a node it is connected with. Only part 0 of a
     group's tasks compares its members with each other.
     """
-    rows = tasks.join(texts, "node").select("task", "part", "side", "node", "copies", "k1", "text")
+    rows = tasks.join(texts, "node").select("task", "part", "side", "node", "copies", "text")
     rows = rows.repartition("task", "part").sortWithinPartitions("task", "part", "side")
 
     def work(batches):
@@ -241,20 +249,18 @@ def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int, block: i
 
         def leave():
             yield from meet()
-            if place is not None and place[1] == 0:
+            if inside and place is not None and place[1] == 0:
                 yield from results(members, np.zeros(len(members), np.int64))
             members.clear()
 
         for pdf in batches:
-            for task, part, side, node, copies, k1, text in zip(*(pdf[c].tolist() for c in ("task", "part", "side", "node", "copies", "k1", "text"))):
+            for task, part, side, node, copies, text in zip(*(pdf[c].tolist() for c in ("task", "part", "side", "node", "copies", "text"))):
                 if (task, part) != place:
                     yield from leave()
                     place = task, part
                 held = guests if side else members
                 if node not in held:
-                    s = shingles(text, width, hashes)
-                    if _key(s) == k1:
-                        held[node] = copies, s
+                    held[node] = copies, shingles(text, width, hashes)
                 if len(guests) >= block:
                     yield from meet()
         yield from leave()
@@ -262,84 +268,156 @@ def _open(tasks: DataFrame, texts: DataFrame, width: int, percent: int, block: i
     return rows.mapInPandas(work, "node long, links long, other long")
 
 
-def _copies(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Every row with its set's size and node, and the nodes: smallest id, number of rows, narrow head."""
-    every = sets(docs, width, percent).withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("n_shingles", "k1", "k2")))
-    every = cut_lineage(every)
-    nodes = every.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "k1", "head")).alias("s")
-    )
-    return every, cut_lineage(nodes.select("node", "rep", "copies", F.col("s.n_shingles").alias("n"), "s.k1", "s.head"))
+def _copies(docs: DataFrame, width: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set, and the nodes (one a set): number, first row, number of rows, narrow head.
+
+    ``by_id``: rows without an id are no nodes.
+    """
+    every = cut_lineage(sets(docs, width, percent))
+    rows = every.filter("n_shingles > 0 AND doc_id IS NOT NULL" if by_id else "n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    nodes = rows.groupBy("n_shingles", "k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"))
+    named = nodes.withColumn("node", F.monotonically_increasing_id())  # written, so that numbers stay
+    return every, cut_lineage(named.select("node", F.col("n_shingles").alias("n"), "k1", "k2", F.col("f.doc_id").alias("rep"), "f.t1", "f.t2", "copies", "head"))
+
+
+def _dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with the block of their group ``top``."""
+    groups = rows.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return rows.join(groups, "top").withColumn("block", F.shiftrightunsigned(F.xxhash64("top", part), 1)).drop("parts")
 
 
 def _blocks(docs: DataFrame, nodes: DataFrame, width: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The sets that passed both screens with their block and shared head tokens, and the texts of the first screen."""
     narrow = lambda rows: rows.select("node", "n", F.explode("head").alias("t"))
-    first = _screen(narrow(nodes), narrow(_sampled(nodes)), percent, NARROW).select("node").join(nodes.select("node", "rep", "k1", "copies"), "node")
-    rows = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = cut_lineage(rows.join(first, "rep").drop("rep"))
+    first = _screen(narrow(nodes), narrow(_sampled(nodes)), percent, NARROW).select("node")
+    first = first.join(nodes.select("node", "rep", "t1", "t2", "copies"), "node")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").alias("id"), text.alias("text"), *(k.alias(f"own_{k_}") for k, k_ in zip(_text_key(text), ("t1", "t2"))))
+    own = F.col("id").eqNullSafe(F.col("rep")) & (F.col("own_t1") == F.col("t1")) & (F.col("own_t2") == F.col("t2"))
+    texts = cut_lineage(rows.join(first, own).select("node", "copies", "text").dropDuplicates(["node"]))
     wide = lambda rows: _wide_heads(rows, width, percent).select("node", "n", F.explode("head").alias("t"))
     active = cut_lineage(_screen(wide(texts), wide(_sampled(texts)), percent, WIDE))
-    groups = active.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    return cut_lineage(active.join(groups, "top").withColumn("block", F.xxhash64("top", part)).drop("top", "parts")), texts
+    return cut_lineage(_dealt_blocks(active, block)), texts
+
+
+def _inside(rows: DataFrame) -> DataFrame:
+    """Tasks in which the members of a block meet each other only."""
+    return rows.select(F.col("block").alias("task"), F.lit(0).alias("part"), F.lit(0).alias("side"), "node")
+
+
+def _label(edges: DataFrame) -> DataFrame:
+    """``node, component`` of all ends of ``node, other`` rows."""
+    edges = edges.select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    return connected_components(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), edges)
+
+
+def _contracted(active: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``active`` with the ``group`` of each set, and the links found on the way.
+
+    A component that spans several blocks is a group (below 0), what is left of a block is one (from 0 on).
+    """
+    level, found = active.select("node", "top", "block"), None
+    while True:
+        more = cut_lineage(_open(_inside(level), texts, width, percent, block, True).filter("node <> other"))
+        found = more if found is None else found.unionByName(more)
+        label = _label(found)
+        full = level.groupBy("top").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("top")
+        pieces = level.join(full, "top").join(label, "node").groupBy("component", "block", "top").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+        sent = cut_lineage(_dealt_blocks(pieces.filter(F.col("n") >= PIECE).select("node", "top"), block))
+        if not sent.limit(1).count():
+            break
+        level = sent
+    rows = active.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = rows.groupBy("component").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("component", F.lit(True).alias("wide"))
+    group = F.when(F.col("wide"), -F.col("component") - 1).otherwise(F.col("block"))
+    return cut_lineage(rows.join(spread, "component", "left").withColumn("group", group).drop("component", "wide")), found
 
 
 def _visits(active: DataFrame, percent: int) -> DataFrame:
-    """``node, group``: the blocks of lower number whose token union a set overlaps enough."""
-    columns = lambda rows: rows.select("node", "n", "block", F.explode("shared").alias("t"))
+    """``node, host``: the groups of lower number whose token union a set overlaps enough."""
+    columns = lambda rows: rows.select("node", "n", "group", F.explode("shared").alias("t"))
     rows, by_token = _dealt(columns(active), _hot(columns(_sampled(active))))
-    rows = rows.withColumns({"lo": F.min("block").over(by_token), "hi": F.max("block").over(by_token)})
-    spread = cut_lineage(rows.filter("deal IS NOT NULL OR lo < hi").select("node", "n", "block", "t"))
-    matrix = spread.select("t", F.col("block").alias("group")).distinct()
-    hits = spread.join(matrix, "t").filter("group < block").groupBy("node", "n", "block", "group").count()
+    rows = rows.withColumns({"lo": F.min("group").over(by_token), "hi": F.max("group").over(by_token)})
+    spread = cut_lineage(rows.filter("deal IS NOT NULL OR lo < hi").select("node", "n", "group", "t"))
+    matrix = spread.select("t", F.col("group").alias("host")).distinct()
+    hits = spread.join(matrix, "t").filter("host < group").groupBy("node", "n", "group", "host").count()
     passed = hits.filter(F.col("count") >= _enough(F.col("n"), percent, WIDE))
-    return cut_lineage(passed.select("node", "group"))
+    return cut_lineage(passed.select("node", "host"))
+
 
+def _tasks(active: DataFrame, visits: DataFrame, alone: bool) -> DataFrame:
+    """``task, part, side, node``: the members of each group, a block at a time, and its visitors, ``VISITORS`` at a time.
 
-def _tasks(active: DataFrame, visits: DataFrame) -> DataFrame:
-    """``task, part, side, node``: the members of each block and its visitors; very many visitors are dealt to several parts."""
-    parts = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts"))
-    member = active.select("node", F.col("block").alias("group")).join(parts, "group", "left")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    hosts = member.select(F.col("group").alias("task"), every.alias("part"), F.lit(0).alias("side"), "node")
+    ``alone``: groups without a visitor are tasks, too.
+    """
+    parts = visits.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("parts"))
+    member = active.select("node", F.col("group").alias("host"), F.xxhash64("group", "block").alias("task"))
+    member = cut_lineage(member.join(parts, "host", "left" if alone else "inner").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    hosts = member.select("task", every.alias("part"), F.lit(0).alias("side"), "node")
     dealt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    calls = visits.join(parts, "group").select(F.col("group").alias("task"), dealt.alias("part"), F.lit(1).alias("side"), "node")
+    calls = visits.join(member.select("host", "task", "parts").distinct(), "host").select("task", dealt.alias("part"), F.lit(1).alias("side"), "node")
     return hosts.unionByName(calls)
 
 
-def _components(every: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``node, component, n_links``; texts that carry the same id are connected too."""
-    named = every.filter("node IS NOT NULL").select("doc_id", "node")
-    twice = named.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
-    same_id = named.join(twice, "doc_id").filter("node <> low")
-    edges = found.filter("node <> other").select(F.col("node").alias("src"), F.col("other").alias("dst"))
-    edges = cut_lineage(edges.unionByName(same_id.select(F.col("node").alias("src"), F.col("low").alias("dst"))))
-    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    label = connected_components(ends, edges)
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    rows = nodes.select("node", "rep", "copies").join(label, "node", "left").join(links, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
-    names = rows.groupBy("component").agg(F.min("rep").alias("name"))
-    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    return cut_lineage(rows.join(names, "component").select("node", F.col("name").alias("component_id"), n_links.alias("n_links")))
-
-
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` (linked rows), one row per row of ``docs``."""
-    every, nodes = _copies(docs, width, percent)
+def _found(active: DataFrame, texts: DataFrame, width: int, percent: int, block: int, count_links: bool) -> DataFrame:
+    """``node, links, other`` rows that connect all that is linked."""
+    if count_links:
+        active, found = active.withColumn("group", F.col("block")), None
+    else:
+        active, found = _contracted(active, texts, width, percent, block)
+    tasks = _tasks(active, _visits(active, percent), count_links)
+    more = cut_lineage(_open(tasks, texts, width, percent, block, count_links))
+    return more if found is None else found.unionByName(more)
+
+
+def _same_id(every: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between the nodes of an id that carries several texts."""
+    key = ["n_shingles", "k1", "k2"]
+    named = every.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *key)
+    one = F.struct(*key)
+    twice = named.groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low <> high").select("doc_id")
+    rows = named.join(twice, "doc_id").distinct().join(nodes.select("node", F.col("n").alias("n_shingles"), "k1", "k2"), key)
+    low = rows.groupBy("doc_id").agg(F.min("node").alias("other"))
+    return rows.join(low, "doc_id").select("node", "other")
+
+
+def _classes(docs: DataFrame, width: int, percent: int, block: int, by_id: bool, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set, and ``n_shingles, k1, k2, rep, t1, t2, copies, component`` of every set, with ``links`` where counted."""
+    every, nodes = _copies(docs, width, percent, by_id)
     active, texts = _blocks(docs, nodes, width, percent, block)
-    visits = _visits(active, percent)
-    found = cut_lineage(_open(_tasks(active, visits), texts, width, percent, block))
-    named = _components(every, nodes, found)
-    out = every.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The document whose id names its component, once; rows without an id stay."""
-    first = link(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return kept.withColumn("__turn", turn).filter("__turn = 1").drop("__turn").unionByName(docs.filter("doc_id IS NULL"))
+    found = _found(active, texts, width, percent, block, count_links)
+    edges = found.select("node", "other")
+    label = _label(cut_lineage((edges.unionByName(_same_id(every, nodes)) if by_id else edges).filter("node <> other")))
+    rows = nodes.drop("head").withColumnRenamed("n", "n_shingles").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if count_links:
+        rows = rows.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    return every, rows
+
+
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, count_links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, and ``n_links`` (linked rows) where asked for, one row per row of ``docs``."""
+    every, rows = _classes(docs, width, percent, block, True, count_links)
+    names = rows.groupBy("component").agg(F.min("rep").alias("component_id"))
+    n_links = [(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
+    named = cut_lineage(rows.join(names, "component").select("n_shingles", "k1", "k2", "component_id", *n_links))
+    out = every.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
+    own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    n_links = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), *n_links)
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """One row of each component: the first by id, and by text where ids are equal. Rows without words stay."""
+    columns, (id_, t1, t2, row) = docs.columns, free_names(docs.columns, "id", "t1", "t2", "row")
+    _, rows = _classes(docs, width, percent, block, False, False)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("f"))
+    first = first.select(F.col("f.rep").alias(id_), F.col("f.t1").alias(t1), F.col("f.t2").alias(t2))
+    text = F.col("text").cast("string")
+    k1, k2 = _text_key(text)
+    none = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.filter(~none).join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (k1 == F.col(t1)) & (k2 == F.col(t2)))
+    once = kept.groupBy(id_, t1, t2).agg(F.first(F.struct(*columns)).alias(row)).select(f"{row}.*")
+    return once.unionByName(docs.filter(none))

@@ -81,3 +81,14 @@ def byte_slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int,
             first, held = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``taken`` holds in any case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
