@@ -458,3 +458,69 @@ def test_pipeline_rows(spark):  # noqa: F811
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF_DIR)
     assert empty.count() == 0
+
+
+CLASHES = [
+    "lang_found", "LANG_SCORE", "__lang", "__score", "id", "t1", "t2", "row", "rep", "none", "f", "__id", "__turn", "of", "whole", "cut", "last", "copy", "more_of",
+    "__s", "__c", "__copy", "__d", "n_tokens", "ids", "ids_sha256", "__spans", "node", "k1", "k2", "component", "left", "n_words", "size",
+]
+
+
+def test_pipeline_with_clashing_columns_and_shared_ids(spark):  # noqa: F811
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd_ids = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 7 == 1, 14).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("doc_id", odd_ids).unionByName(docs.limit(0)).withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    texts, state = {r["text"] for r in docs.collect()}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        state = ngram_join.cut_lineage(stage(spark, state, SF_DIR))
+        assert state.columns == docs.columns, name
+        rows = state.collect()
+        assert rows and all([r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in rows), name
+        if name == "language":
+            left = sorted(r["text"] for r in rows)
+        if name == "near_copies":
+            by = _components(dict(enumerate(left)))
+            kept = Counter(by[left.index(r["text"])][1] for r in rows)
+            assert set(kept) == {c for _, c, _ in by.values()} and set(kept.values()) == {1} and {r["text"] for r in rows} <= texts
+    out = corpus_pipeline.STAGES[-1][1](spark, state, SF_DIR)
+    assert set(out.columns) == {*docs.columns, "_n_tokens", "_ids", "_ids_sha256", "decoded_sha256"} - {"text"}
+    for r in out.collect():
+        assert r["n_tokens"] == len(r["ids"]) and (r["_n_tokens"], r["_ids"]) == (CLASHES.index("n_tokens"), CLASHES.index("ids"))
+
+
+def test_pipeline_counts_and_token_ids(spark):  # noqa: F811
+    """The mixture's copies by a plain water-filling, and the ids by the library itself."""
+    tokens = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    size = {i: len(WORD.findall(r["text"] or "")) for i, r in rows.items()}
+    sources = sorted({r["source"] for r in rows.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(size[i] for i, r in rows.items() if r["source"] == s) for s in sources}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    full = set()
+    while True:
+        rate = (sum(total.values()) - sum(3 * total[s] for s in full)) / max(1, sum(w for s, w in weight.items() if s not in full))
+        over = {s for s in sources if s in full or weight[s] * rate > 3 * total[s]}
+        if over == full:
+            break
+        full = over
+    target = {s: 3 * total[s] if s in full else weight[s] * rate for s in sources}
+    copies = Counter()
+    for s in sources:
+        quota = int(target[s] + 0.5)
+        whole, left = divmod(quota, max(1, total[s]))
+        own = sorted((hashlib.md5(f"mix-1|{i}".encode()).hexdigest(), i) for i, r in rows.items() if r["source"] == s)
+        for _, i in own:
+            copies[i] = whole + (left > 0 and 2 * left >= size[i])
+            left -= min(left, size[i])
+    got = corpus_pipeline.mixture(spark, docs, SF_DIR)
+    assert Counter(r["doc_id"] for r in got.collect()) == +copies
+    plain = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
+    for r in corpus_pipeline.token_ids(spark, docs, SF_DIR).collect():
+        assert r["ids"] == plain.encode(rows[r["doc_id"]]["text"] or "", add_special_tokens=False).ids

@@ -7,9 +7,9 @@ the sum slices then hold every row's score less a constant. The best rows are se
 downward by AND, NOT and popcount; rows tied at the boundary are resolved exactly by id, and scores are read back
 from the slices. Many queries are worked at once.
 
-Index rows stay where they were read (a block never leaves its partition before it is written). Query blocks are dealt to all
-parts of the index, each part's blocks are held in turn while query blocks stream past, and each block answers ``k`` rows per
-query, reduced again before the shuffle of the final ranking.
+Index rows stay where they were read (a block never leaves its partition before it is written). Blocks are numbered and dealt
+to parts in turn, up to ``HELD`` to a part, or fewer while that keeps all cores busy. Every part sees all query blocks: they
+stream past the blocks it holds, and each block answers ``k`` rows per query, reduced again before the shuffle of the final ranking.
 
 Defined results: vectors that are null, hold null or non-finite components, or have no id take no part; a query
 only meets vectors of its own length; all rows with the query's id are its own; repeated candidates are rows of
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,10 @@ from tidemark.session import cut_lineage
 SCALE = 64
 BLOCK_ROWS = 8192
 QUERY_ROWS = 64
+HELD = 16
 WORDS_AT_ONCE = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-INDEX = "dim int, n int, ids binary, low binary, digits binary, slices binary"
+INDEX = "source int, turn int, dim int, n int, ids binary, low binary, digits binary, slices binary"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -83,10 +85,11 @@ def build_index(rows: DataFrame) -> DataFrame:
     """One row per block: ids, smallest values, digits and slices."""
 
     def work(frames):
-        for dim, ids, q in _batches(frames, BLOCK_ROWS):
+        source = TaskContext.get().partitionId()
+        for turn, (dim, ids, q) in enumerate(_batches(frames, BLOCK_ROWS)):
             low, digits, slices = slice_block(q)
             yield pd.DataFrame({
-                "dim": [dim], "n": [len(ids)], "ids": [ids.tobytes()], "low": [low.astype(np.int64).tobytes()],
+                "source": [source], "turn": [turn], "dim": [dim], "n": [len(ids)], "ids": [ids.tobytes()], "low": [low.astype(np.int64).tobytes()],
                 "digits": [digits.tobytes()], "slices": [slices.tobytes()],
             })
 
@@ -176,7 +179,10 @@ class Block:
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best candidates of each ``(vec_id, dim, q)`` query."""
-    parts = max(1, index.count())
+    size = index.agg(F.count(F.lit(1)).alias("blocks"), F.max("source").alias("last")).first()
+    busy = 2 * index.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(size["blocks"], busy), -(-size["blocks"] // HELD))
+    number = F.col("turn").cast("bigint") * ((size["last"] or 0) + 1) + F.col("source")
 
     def pack(frames):
         for dim, ids, q in _batches(frames, QUERY_ROWS):
@@ -184,8 +190,8 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     asked = queries.dropDuplicates(["vec_id", "q"]).mapInPandas(pack, "dim int, n int, ids binary, slices binary")
     asked = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "query": F.lit(1)})
-    held = index.withColumns({"part": F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"), "query": F.lit(0)})
-    rows = held.unionByName(asked, allowMissingColumns=True).repartition(parts, "part", "dim")
+    held = index.withColumns({"part": F.pmod(number, F.lit(parts)).cast("int"), "query": F.lit(0)}).drop("source", "turn")
+    rows = held.unionByName(asked, allowMissingColumns=True).repartitionById(parts, F.col("part"))
     rows = rows.sortWithinPartitions("part", "dim", "query")
 
     def work(frames):

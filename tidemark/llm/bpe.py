@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.words import bounded_batches
+from tidemark.llm.words import bounded_batches, free_names
 
 WINDOW = 16
 MASK = (1 << 10) - 1  # chunks of about 1 kB
@@ -163,7 +163,10 @@ def _encoder(content: str) -> Encoder:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
-    """Every row of ``docs`` less its text, with ``n_tokens``, digests of the ids and of the decoded text, and the ``ids``."""
+    """Every row of ``docs`` less its text, with ``n_tokens``, digests of the ids and of the decoded text, and the ``ids``.
+
+    A column of ``docs`` that has one of these names keeps its values under that name with an underscore before it.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
@@ -184,6 +187,8 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataF
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *columns], names=[*[batch.schema.names[i] for i in keep], *names])
 
-    rows = bounded_batches(docs).select(*[c for c in docs.columns if c not in names]).withColumn("text", F.col("text").cast("string"))
+    own = [c for c in docs.columns if c.lower() in names]
+    rows = docs.withColumnsRenamed(dict(zip(own, free_names([*docs.columns, *names], *own))))
+    rows = bounded_batches(rows).withColumn("text", F.col("text").cast("string"))
     fields = [f for f in rows.schema.fields if f.name != "text"] + [T.StructField(n, k) for n, k in zip(names, kinds)]
     return rows.mapInArrow(work, T.StructType(fields))

@@ -67,6 +67,13 @@ class Model:
         self.word_rows = np.array([*tables[0].values()], np.float64).reshape(len(self.words), len(self.langs))
         self.grams = [{gram: tuple(v) for gram, v in table.items()} for table in tables[1:]]
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """The model whose ``vars`` these are: plain lists, dicts and arrays, which any worker can read."""
+        model = cls.__new__(cls)
+        vars(model).update(state)
+        return model
+
     def unseen(self, word: str) -> list[float]:
         """Mean of the longest known n-grams of a word that is not in the table."""
         framed = f" {word} "
@@ -144,18 +151,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model([(lang, n, gram, math.log(c / totals[lang, n])) for lang, n, gram, c in table], totals)
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``__lang`` and ``__score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """Every row of ``docs`` with its language and score under ``names``, which must be free."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model or fit(docs)))
+    lang, score = names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model.of(shared.value))
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, lang, score])
 
-    kinds = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    kinds = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(work, kinds)
 
 

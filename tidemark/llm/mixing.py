@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import text_of, words
+from tidemark.llm.words import free_names, text_of, words
 from tidemark.operators.windows import global_index
 from tidemark.session import cut_lineage
 
@@ -122,10 +122,12 @@ def repeated(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, see
     more = edges.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__es")).agg(
         (F.sum("partial") * 2 >= F.greatest(F.sum("size"), F.lit(1))).alias("__more")
     )
-    p = taken.select(F.col("source").alias("__s"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    out = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col("__s")))
-    out = out.join(more, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__s").eqNullSafe(F.col("__es")), "left")
-    early = F.substring(place(seed), 1, 2 * DIGITS) < F.col("__cut")
-    copies = F.col("__whole") + F.when(F.coalesce(early, F.lit(False)) | F.coalesce("__more", F.lit(False)), 1).otherwise(0)
-    out = out.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("bigint"), copies)).otherwise(F.array().cast("array<bigint>"))))
+    of, whole, cut, last, copy, id_, more_of = free_names(docs.columns, "of", "whole", "cut", "last", "copy", "id", "more_of")
+    p = taken.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    out = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col(of)))
+    more = more.select(F.col("__d").alias(id_), F.col("__es").alias(more_of), F.col("__more").alias(last))
+    out = out.join(more, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(of).eqNullSafe(F.col(more_of)), "left")
+    early = F.substring(place(seed), 1, 2 * DIGITS) < F.col(cut)
+    copies = F.col(whole) + F.when(F.coalesce(early, F.lit(False)) | F.coalesce(last, F.lit(False)), 1).otherwise(0)
+    out = out.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("bigint"), copies)).otherwise(F.array().cast("array<bigint>"))))
     return out.select(*docs.columns)

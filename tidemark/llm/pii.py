@@ -239,6 +239,13 @@ class Potentials:
         rows, cols = both.sum(axis=2, keepdims=True), both.sum(axis=1, keepdims=True)
         self.pairs = np.log(both * both.sum(axis=(1, 2), keepdims=True) / (rows * cols))
 
+    @classmethod
+    def of(cls, state: dict) -> Potentials:
+        """The potentials whose ``vars`` these are: plain arrays, which any worker can read."""
+        potentials = cls.__new__(cls)
+        vars(potentials).update(state)
+        return potentials
+
     def beliefs(self, field: Field) -> np.ndarray:
         """Loopy sum-product over chain and skip edges: label probabilities of each token.
 
@@ -341,12 +348,13 @@ def all_spans(text: str | None, potentials: Potentials) -> list[dict[str, int]]:
 
 def find(docs: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     """Every row of ``docs`` with ``__spans``: kind number, start, end, and whether the field added it."""
-    shared = docs.sparkSession.sparkContext.broadcast(potentials or fit(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(potentials or fit(docs)))
     arrow = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end", "added")]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = Potentials.of(shared.value)
         for batch in batches:
-            found = pa.array([all_spans(t.as_py(), shared.value) for t in batch.column("text")], arrow)
+            found = pa.array([all_spans(t.as_py(), learned) for t in batch.column("text")], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "__spans"])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("__spans", SPAN)]))
@@ -383,12 +391,13 @@ def masked_text(text: str | None, spans) -> str | None:
 
 def mask(docs: DataFrame, potentials: Potentials | None = None) -> DataFrame:
     """The documents with personal data replaced by the name of its kind; ``n_chars`` follows where there is one."""
-    shared = docs.sparkSession.sparkContext.broadcast(potentials or fit(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(potentials or fit(docs)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = Potentials.of(shared.value)
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            clean = (masked_text(t, all_spans(t, shared.value)) for t in (x.as_py() for x in batch.column(i)))
+            clean = (masked_text(t, all_spans(t, learned)) for t in (x.as_py() for x in batch.column(i)))
             columns = [*batch.columns]
             columns[i] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
+    said = spark.sql(f"SELECT CAST(-1 AS LONG) AS conv_id, turn, role, '{SAID}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS said(turn, role)")
     return chat.digests(chat.examples(turns.unionByName(said)))
 
 
