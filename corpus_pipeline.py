@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, langid, mixing, ngram_join, pii
+from tidemark.llm.words import free_names
 from tidemark.session import cut_lineage
 
 MIN_SCORE = 0.5
@@ -19,12 +20,13 @@ MIN_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, which becomes their ``lang``."""
-    rows = langid.identify(docs).filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE))
-    return rows.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    lang, score = free_names(docs.columns, "lang_found", "lang_score")
+    rows = langid.identify(docs, names=(lang, score)).filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    return rows.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
+    """One document of each component of the n-gram Jaccard join; documents without words all stay."""
     return ngram_join.one_of_each(docs)
 
 
