@@ -192,8 +192,8 @@ def test_high_symbols_speak_for_one_another(spark):  # noqa: F811
     shared = [f"s{rng.randrange(10**6)}" for _ in range(3000)]
     texts = [" ".join([f"x{i}"] + shared + [f"y{i}"]) for i in range(12)] + [" ".join(shared[100:160]), " ".join(shared[500:534])]
     df = recompress.bounded_batches(table(spark, texts))
-    screened = recompress._screened(df, recompress._round(recompress._low_names(df, 35), ["name"]), 35).filter("open IS NOT NULL")
-    known = recompress.cut_lineage(screened.join(recompress._revealed(screened, 35), recompress.KEY, "left"))
+    once = recompress._once(recompress._low_names(df, 35), ["name"], recompress.KEY, F.count(F.lit(1)))
+    _, known = recompress._known(recompress._screened(df, once, 35))
     named = recompress._window_names(known, 35)
     assert named.count() < 0.7 * 12 * 2966 and named.filter("weight = 2").count() > 1000
     got = {r["doc_id"]: r["n_removed"] for r in recompress.mark(table(spark, texts)).collect()}

@@ -32,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import Remembered, bounded_batches, byte_slices, text_of
@@ -181,11 +181,10 @@ def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [np.asarray(x if x is not None else [], np.int64) for x in _column(batch, name).to_pylist()]
 
 
-def _round(rows: DataFrame, names: list[str], weight=None) -> DataFrame:
-    """Key and ``at`` lists, by text, of the rows whose names stand once."""
-    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    once = rows.groupBy(*names).agg(n.alias("n"), *[F.min(c).alias(c) for c in (*KEY, "at")]).filter("n = 1")
-    return once.groupBy(*KEY).agg(F.collect_list("at").alias("once"))
+def _once(rows: DataFrame, names: list[str], of: list[str], n: Column) -> DataFrame:
+    """By text, the list of ``at`` of the rows whose names stand once."""
+    once = rows.groupBy(*names).agg(n.alias("n"), *[F.min(c).alias(c) for c in (*of, "at")]).filter("n = 1")
+    return once.groupBy(*of).agg(F.collect_list("at").alias("once"))
 
 
 def _low_names(docs: DataFrame, window: int) -> DataFrame:
@@ -203,68 +202,70 @@ def _low_names(docs: DataFrame, window: int) -> DataFrame:
     return _keyed(docs).mapInArrow(work, "name long, k1 long, k2 int, at long")
 
 
+def _open_windows(n: int, sure: np.ndarray, window: int) -> np.ndarray:
+    """Starts and ends of the stretches of windows around no symbol that stands once."""
+    edge = np.zeros(max(0, n - window + 1) + 1, np.int64)
+    np.add.at(edge, sure // window, 1)
+    np.add.at(edge, sure // window + sure % window + 1, -1)
+    return _ranges(np.cumsum(edge[:-1]) == 0)
+
+
+def _open_high(texts: list[bytes], opens: list[np.ndarray], hashes: dict, window: int) -> Iterator[list[dict]]:
+    """For each text, its high symbols all of whose windows are open."""
+    text, start, end, name, check = Slice(texts, hashes).high(window)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    for k, open_ in enumerate(opens):
+        of = slice(cuts[k], cuts[k + 1])
+        at = np.searchsorted(open_[0::2], start[of], side="right") - 1
+        keep = (at >= 0) & (end[of] - window + 1 <= open_[1::2][np.maximum(at, 0)])
+        rows = zip(*(x[of][keep].tolist() for x in (name, check, start, end)))
+        yield [{"name": n, "check": c, "at": a, "to": b} for n, c, a, b in rows]
+
+
 def _screened(docs: DataFrame, once: DataFrame, window: int) -> DataFrame:
-    """Every text once: number of words and copies; with ``open`` windows where some may be repeated, else its digest."""
+    """Every text once, with a number, its words and copies; where windows are ``open``, the text and its high symbols, else its digest."""
+    high_kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("name", "check", "at", "to")]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _hashes()
         for batch in batches:
-            sizes, opens, texts, digests = [], [], [], []
-            for text, sure in zip(_column(batch, "text").to_pylist(), _lists(batch, "once")):
+            texts, once_ = _column(batch, "text").to_pylist(), _lists(batch, "once")
+            n = len(texts)
+            sizes, opens, digests, high = [], [None] * n, [None] * n, [None] * n
+            for k, text in enumerate(texts):
                 words = text.split()
-                n = len(words)
-                edge = np.zeros(max(0, n - window + 1) + 1, np.int64)
-                np.add.at(edge, sure // window, 1)
-                np.add.at(edge, sure // window + sure % window + 1, -1)
-                open_ = _ranges(np.cumsum(edge[:-1]) == 0)
-                sizes.append(n)
-                opens.append(open_ if len(open_) else None)
-                texts.append(text if len(open_) else None)
-                digests.append(None if len(open_) else hashlib.sha256(b" ".join(words)).hexdigest())
+                sizes.append(len(words))
+                open_ = _open_windows(len(words), once_[k], window)
+                if len(open_):
+                    opens[k] = open_
+                else:
+                    digests[k] = hashlib.sha256(b" ".join(words)).hexdigest()
+            left = [k for k in range(n) if opens[k] is not None]
+            for i, j in byte_slices([texts[k] for k in left]):
+                own = left[i:j]
+                for k, rows in zip(own, _open_high([texts[k] for k in own], [opens[k] for k in own], hashes, window)):
+                    high[k] = rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(_column(batch, c) for c in (*KEY, "copies")), pa.array(sizes, pa.int64()),
-                    pa.array(opens, pa.list_(pa.int64())), pa.array(texts, pa.binary()), pa.array(digests, pa.string()),
+                    *(_column(batch, c) for c in (*KEY, "copies")), pa.array(sizes, pa.int64()), pa.array(opens, pa.list_(pa.int64())),
+                    pa.array([t if o is not None else None for t, o in zip(texts, opens)], pa.binary()), pa.array(high, high_kind), pa.array(digests, pa.string()),
                 ],
-                [*KEY, "copies", "n_words", "open", "text", "kept_sha256"],
+                [*KEY, "copies", "n_words", "open", "text", "high", "kept_sha256"],
             )
 
     texts = _keyed(docs).groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    shape = "k1 long, k2 int, copies long, n_words long, open array<long>, text binary, kept_sha256 string"
-    return cut_lineage(texts.join(once, KEY, "left").mapInArrow(work, shape))
-
-
-def _high_names(texts: DataFrame, window: int) -> DataFrame:
-    """The high symbols all of whose windows are open."""
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
-        for batch in batches:
-            whole, opens = _column(batch, "text").to_pylist(), _lists(batch, "open")
-            for i, j in byte_slices(whole):
-                text, start, end, name, check = Slice(whole[i:j], hashes).high(window)
-                keep = np.zeros(len(text), bool)
-                for k in range(i, j):
-                    of = np.flatnonzero(text == k - i)
-                    at = np.searchsorted(opens[k][0::2], start[of], side="right") - 1
-                    keep[of] = (at >= 0) & (end[of] - window + 1 <= opens[k][1::2][np.maximum(at, 0)])
-                of = pa.array(text[keep] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[keep]), pa.array(check[keep]), *(_column(batch, c).take(of) for c in (*KEY, "copies")), pa.array(start[keep]), pa.array(end[keep])],
-                    ["name", "check", *KEY, "copies", "at", "to"],
-                )
-
-    return texts.mapInArrow(work, "name long, check long, k1 long, k2 int, copies long, at long, to long")
+    shape = "k1 long, k2 int, copies long, n_words long, open array<long>, text binary, high array<struct<name:long,check:long,at:long,to:long>>, kept_sha256 string"
+    return cut_lineage(texts.join(once, KEY, "left").mapInArrow(work, shape).withColumn("number", F.monotonically_increasing_id()))
 
 
-def _revealed(texts: DataFrame, window: int) -> DataFrame:
+def _revealed(texts: DataFrame) -> DataFrame:
     """By text, flat lists of start, end and 1 where it speaks for the windows of a repeated high symbol, 0 where another does."""
-    rows = cut_lineage(_high_names(texts, window))
-    first = F.min(F.struct(*KEY, "at")).alias("first")
-    named = rows.groupBy("name", "check").agg(F.sum("copies").alias("n"), first)
-    listed = named.select("first.*", F.col("n").alias("__n"))
-    speaks = rows.join(listed, [*KEY, "at"], "left")  # what is not listed is repeated, and another occurrence speaks for it
-    held = speaks.filter("__n IS NULL OR __n > 1").select(*KEY, F.array("at", "to", F.col("__n").isNotNull().cast("long")).alias("r"))
-    return held.groupBy(*KEY).agg(F.flatten(F.collect_list("r")).alias("sure"))
+    rows = texts.select("number", "copies", F.explode("high").alias("h")).select("number", "copies", "h.*")
+    named = rows.groupBy("name", "check").agg(F.sum("copies").alias("n"), F.min(F.struct("number", "at")).alias("first"))
+    listed = named.select("first.*", "n")
+    speaks = rows.join(listed, ["number", "at"], "left")  # what is not listed is repeated, and another occurrence speaks for it
+    held = speaks.filter("n IS NULL OR n > 1").select("number", F.array("at", "to", F.col("n").isNotNull().cast("long")).alias("r"))
+    return held.groupBy("number").agg(F.flatten(F.collect_list("r")).alias("sure"))
 
 
 def _window_names(texts: DataFrame, window: int) -> DataFrame:
@@ -289,13 +290,12 @@ def _window_names(texts: DataFrame, window: int) -> DataFrame:
                     weight.append(np.where(inner[1][out] | (copies[k] > 1), 2, 1))
                 text, at, weight = (np.concatenate(x) for x in (text, at, weight))
                 one, two = held.windows(window, at + held.offsets[text - i])
-                of = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), *(_column(batch, c).take(of) for c in KEY), pa.array(at), pa.array(weight, pa.int64())],
-                    ["h1", "h2", *KEY, "at", "weight"],
+                    [pa.array(one), pa.array(two), _column(batch, "number").take(pa.array(text)), pa.array(at), pa.array(weight, pa.int32())],
+                    ["h1", "h2", "number", "at", "weight"],
                 )
 
-    return texts.mapInArrow(work, "h1 long, h2 int, k1 long, k2 int, at long, weight long")
+    return texts.mapInArrow(work, "h1 long, h2 int, number long, at long, weight int")
 
 
 def _settled(texts: DataFrame, window: int) -> DataFrame:
@@ -323,14 +323,19 @@ def _settled(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(work, f"k1 long, k2 int, n_words long, n_removed long, spans {SPANS}, kept_sha256 string")
 
 
+def _known(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts with open windows, dealt by number (one exchange, which the plan uses twice), and these with what is revealed."""
+    open_ = texts.filter("open IS NOT NULL").select("number", *KEY, "copies", "n_words", "open", "text").repartition("number")
+    return open_, open_.join(_revealed(texts), "number", "left")
+
+
 def _found(docs: DataFrame, window: int) -> DataFrame:
     """One row a distinct text."""
     docs = bounded_batches(docs)
-    texts = _screened(docs, _round(_low_names(docs, window), ["name"]), window)
-    open_ = texts.filter("open IS NOT NULL")
-    known = cut_lineage(open_.join(_revealed(open_, window), KEY, "left"))
-    once = _round(_window_names(known, window), ["h1", "h2"], F.col("weight"))
-    settled = _settled(open_.join(once, KEY, "left"), window)
+    texts = _screened(docs, _once(_low_names(docs, window), ["name"], KEY, F.count(F.lit(1))), window)
+    open_, known = _known(texts)
+    once = _once(_window_names(known, window), ["h1", "h2"], ["number"], F.sum("weight"))
+    settled = _settled(open_.join(once, "number", "left"), window)
     none = F.array().cast(SPANS)
     rest = texts.filter("open IS NULL").select(*KEY, "n_words", F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), "kept_sha256")
     return cut_lineage(settled.unionByName(rest))
