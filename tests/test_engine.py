@@ -77,6 +77,55 @@ def test_index_with_all_probes_is_exact(spark):
     assert exact == probed
 
 
+def test_lists_are_skipped_and_results_stay_exact(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 8)) * 4
+    m = np.concatenate([middle[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.2, rng.normal(size=(60, 8)), np.zeros((2, 8))])
+    m[100:400] = m[100]  # a third of all rows are one vector
+    data = [(int(i), [float(x) for x in v]) for i, v in enumerate(m)]
+    corpus = spark.createDataFrame(data + [(5000, None)], "id long, embedding array<double>")
+    queries = corpus.withColumnRenamed("id", "query_id")
+    size = np.linalg.norm(m, axis=1)
+    unit = m / np.where(size > 0, size, 1)[:, None]
+    s = np.round(unit @ unit.T, 9)
+    for k, floor in ((5, 0.3), (1, -1.0), (40, 0.9)):
+        got = {}
+        for r in vector.topk_cosine(queries, corpus, k, floor, 9, block_values=400, lists=20).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+        for i in range(960):
+            best = sorted((-s[i, j], j) for j in range(960) if s[i, j] > floor)[:k]
+            assert sorted(got.get(i, [])) == [(n + 1, j) for n, (_, j) in enumerate(best)], (k, i)
+        assert set(got) <= set(range(960))
+    centres = unit[:20]
+    table = vector._listed(corpus.filter("id < 960"), centres)
+    parts, angle = vector._sizes(table, 20, 8, 400)
+    assert max(parts) >= 6 and sum(p > 0 for p in parts) > 5 and angle.max() > 0.1
+
+
+def test_stored_index_reads_only_its_lists(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)] + [(300, [0.0] * 4), (301, None)]
+    corpus = spark.createDataFrame(data, "id long, embedding array<float>")
+    vector.CoarseIndex(corpus, lists=8, path=str(tmp_path / "index"))
+    index = vector.CoarseIndex.open(spark, str(tmp_path / "index"))
+    assert index.table.count() == 300 and len(index.parts) == len(index.centres) == 8
+    one = spark.createDataFrame([(7, data[7][1])], "query_id long, embedding array<float>")
+    out = index.search(one, 3, probes=1)
+    assert out.first()["id"] == 7
+    plan = out._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+    few = vector.CoarseIndex(corpus.limit(0), lists=8)
+    assert few.search(one).count() == 0 and vector.topk_cosine(one, corpus.limit(0)).count() == 0
+    assert vector.topk_cosine(one.limit(0), corpus).count() == 0
+
+
+def test_knn_far_from_zero(spark):
+    df = spark.createDataFrame([(1, 1e9, None), (2, 1e9 + 3, 20.0), (3, 1e9 + 0.5, 10.0), (None, 1e9, None)], "id long, a double, b double")
+    for block in (1, 10**6):
+        got = sorted(tuple(r) for r in vector.knn_impute(df, "id", ["a", "b"], k=1, block_values=block).select("b", "a").collect())
+        assert got == [(10.0, 1e9), (10.0, 1e9 + 0.5), (15.0, 1e9), (20.0, 1e9 + 3)]
+
+
 def test_knn_blocks_and_hopeless_column(spark):
     rows = [(i, None if i % 4 == 0 else float(i % 7), float(i % 5), None) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")

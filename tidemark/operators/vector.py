@@ -1,41 +1,35 @@
-"""Top-k similarity search and nearest-donor imputation.
+"""Top-k similarity search, a stored coarse index, and nearest-donor imputation.
 
-The table that is searched never moves: each task scans its part in Arrow batches against a bounded block
-of queries with one matrix product per batch, and keeps k rows per query. Only these partial winners are
-shuffled. The query block is sized by a count; a larger query table is worked off block by block, each
-block's winners being written before the next one is loaded.
+Nothing that grows passes through the driver: the searched rows are dealt to parts of bounded size, queries are shuffled to
+the parts that can hold an answer, and a task holds one part while its queries stream past. Only each part's ``k`` best rows
+of a query go on to the final ranking.
+
+Exact search skips lists by the triangle inequality on the sphere. ``LISTS`` rows of the corpus, chosen by hash, are centres;
+every row joins the list of its nearest centre, and a list keeps its widest angle. A query is compared with the centres: the
+k-th best of them is a floor of its k-th best similarity, and a list whose angle to the query, less its width, falls below
+that floor is never sent the query. A list larger than a part is cut into several.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
-from tidemark.session import cut_lineage
-
-BLOCK_VALUES = 4_000_000  # numbers of one query block (32 MB as doubles)
-BLOCK_QUERIES = 8_192  # rows of one query block
-SLICE_VALUES = 4_000_000  # scores held at once by a task
-
+from tidemark.session import cut_lineage, scratch_path
 
-def _blocks(queries: DataFrame, key: str, width: int, block_values: int):
-    """Query blocks of bounded size; one block when the table is small."""
-    n = queries.count()
-    per = max(1, min(BLOCK_QUERIES, block_values // max(1, width)))
-    parts = max(1, math.ceil(n / per))
-    if parts == 1:
-        yield queries
-        return
-    # twice the parts leaves room for uneven hashing
-    for i in range(2 * parts):
-        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(2 * parts)) == i)
+BLOCK_VALUES = 1_000_000  # numbers of one part (8 MB as doubles)
+SLICE_VALUES = 2_000_000  # scores held at once by a task
+LISTS = 1024  # at most; centres are the only vectors that every task sees
+SAMPLE_ROWS = 100_000  # rows that the centres of the stored index are learned from
+SLACK = 1e-6  # radians, far above the error of an angle
 
 
 def _top(rows: DataFrame, k: int, score: str, best_first) -> DataFrame:
@@ -43,122 +37,208 @@ def _top(rows: DataFrame, k: int, score: str, best_first) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _matrix(column) -> np.ndarray:
+    return np.array([[np.nan if x is None else x for x in row] for row in column.tolist()], dtype=np.float64)
+
+
+def _units(column) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a column and which rows have one."""
+    m = np.array(column.tolist(), dtype=np.float64)
+    size = np.linalg.norm(m, axis=1)
+    return m / np.where(size > 0, size, 1.0)[:, None], size > 0
+
+
+def _meet(held: DataFrame, asked: DataFrame, search: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``search(held rows, asked rows)`` for every ``list, part`` that both have; asked rows come some at a time.
+
+    Both sides have the same columns. One shuffle brings them together; held rows of a place come first.
+    """
+    both = held.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    rows = both.repartition("list", "part").sortWithinPartitions("list", "part", "asks")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, kept = None, []
+        for pdf in batches:
+            key = pdf[["list", "part", "asks"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(pdf)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if tuple(key[lo, :2]) != place:
+                    place, kept = tuple(key[lo, :2]), []
+                rows = pdf.iloc[lo:hi]
+                if not key[lo, 2]:
+                    kept.append(rows)
+                elif kept:
+                    if len(kept) > 1:
+                        kept = [pd.concat(kept)]
+                    step = max(1, SLICE_VALUES // len(kept[0]))
+                    for at in range(0, len(rows), step):
+                        yield from search(kept[0], rows.iloc[at : at + step])
+
+    return rows.mapInPandas(work, schema)
+
+
+def _best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, hit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``k`` largest scores among the hits, ties by the column's key."""
+    if scores.shape[1] > k:
+        hit = hit & (scores >= np.partition(np.where(hit, scores, -np.inf), -k, axis=1)[:, -k][:, None])
+    row, col = np.nonzero(hit)
+    order = np.lexsort((keys[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(ids)))[row] < k
+    return row[keep], col[keep]
+
+
+def _cosine_search(k: int, floor: float, digits: int):
+    def search(kept: pd.DataFrame, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        v, ids = _units(kept["embedding"])[0], kept["id"].to_numpy()
+        q, asked = _units(rows["embedding"])[0], rows["id"].to_numpy()
+        s = np.round(q @ v.T, digits)
+        row, col = _best(asked, ids, s, s > floor, k)
+        yield pd.DataFrame({"query_id": asked[row], "id": ids[col], "similarity": s[row, col]})
+
+    return search
+
+
+def _listed(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``id, embedding, list`` and the cosine to the list's centre; vectors without a direction fall out."""
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                unit, usable = _units(pdf["embedding"])
+                near = unit @ shared.value.T
+                yield pdf.assign(list=near.argmax(axis=1).astype(np.int32), near=near.max(axis=1))[usable]
+
+    kind = corpus.schema["embedding"].dataType.simpleString()
+    return corpus.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInPandas(work, f"id long, embedding {kind}, list int, near double")
+
+
+def _part(key: Column, lists: Column, parts: list[int]) -> Column:
+    """Part of a row in its list."""
+    return F.pmod(F.xxhash64(key), F.get(F.array(*[F.lit(p).cast("bigint") for p in parts]), lists)).cast("int")
+
+
+def _asked(queries: DataFrame, centres: np.ndarray, parts: list[int], choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A row for every ``list, part`` that a query is sent to; ``choose(cosines to the centres)`` tells which lists."""
+    shared = queries.sparkSession.sparkContext.broadcast((centres, np.array(parts)))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, parts = shared.value
+        for pdf in batches:
+            if len(pdf):
+                unit, usable = _units(pdf["embedding"])
+                row, of = np.nonzero(choose(unit @ centres.T) & usable[:, None] & (parts > 0))
+                n = parts[of]
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, of = np.repeat(row, n), np.repeat(of, n)
+                yield pdf.iloc[row].assign(list=of.astype(np.int32), part=part.astype(np.int32))
+
+    kind = queries.schema["embedding"].dataType.simpleString()
+    rows = queries.select(F.col("query_id").cast("bigint").alias("id"), "embedding")
+    return rows.mapInPandas(work, f"id long, embedding {kind}, list int, part int")
+
+
+def _sizes(table: DataFrame, lists: int, width: int, block_values: int) -> tuple[list[int], np.ndarray]:
+    """Parts of each list, and its widest angle to the centre."""
+    per = max(1, block_values // max(1, width))
+    parts, angle = [0] * lists, np.zeros(lists)
+    for r in table.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).collect():  # one row a list
+        parts[r["list"]], angle[r["list"]] = math.ceil(r["n"] / per), math.acos(min(1.0, max(-1.0, r["near"])))
+    return parts, angle
+
+
 def topk_cosine(
-    queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarity: float = 0.3, digits: int = 12, block_values: int = BLOCK_VALUES
+    queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarity: float = 0.3, digits: int = 12, block_values: int = BLOCK_VALUES, lists: int = LISTS
 ) -> DataFrame:
     """``(query_id, id, similarity, rank)`` with similarity above the floor; ties by id.
 
     ``queries`` has ``query_id, embedding``, ``corpus`` has ``id, embedding``; both ids are integers.
     """
-    queries, corpus = queries.filter("embedding IS NOT NULL"), corpus.filter("embedding IS NOT NULL")
-    first = queries.select(F.size("embedding").alias("n")).first()
-    width = first["n"] if first else 1
-    parts = []
-    blocks = list(_blocks(queries, "query_id", width, block_values))
-    for block in blocks:
-        rows = block.select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        part = _scan(corpus, ids, matrix, k, min_similarity, digits)
-        parts.append(part if len(blocks) == 1 else cut_lineage(_top(part, k, "similarity", F.desc).drop("rank")))
-    if not parts:
-        empty = "query_id long, id long, similarity double, rank int"
-        return queries.sparkSession.createDataFrame([], empty)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _top(out, k, "similarity", F.desc)
-
-
-def _merge(kept: tuple, found: tuple, k: int, queries: int) -> tuple[tuple, np.ndarray]:
-    """The k best of both per query, highest score first, then smallest id; and each query's k-th score.
-
-    Rows are flat arrays ``(query position, score, id, ...)``.
-    """
-    cols = [np.concatenate([a, b]) for a, b in zip(kept, found)]
-    order = np.lexsort((cols[2], -cols[1], cols[0]))
-    cols = [c[order] for c in cols]
-    starts = np.searchsorted(cols[0], np.arange(queries))
-    rank = np.arange(len(cols[0])) - starts[cols[0]]
-    kth = np.full(queries, -np.inf)
-    last = rank == k - 1
-    kth[cols[0][last]] = cols[1][last]
-    return tuple(c[rank < k] for c in cols), kth
-
-
-def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, floor: float, digits: int, probes: np.ndarray | None = None) -> DataFrame:
-    """Partial winners per task. ``probes`` (query x list, bool) limits a row to the queries that probe its list."""
-    lengths = np.linalg.norm(matrix, axis=1)
-    usable = lengths > 0
-    unit = np.zeros_like(matrix)
-    unit[usable] = matrix[usable] / lengths[usable, None]
-    shared = corpus.sparkSession.sparkContext.broadcast((ids[usable], unit[usable], None if probes is None else probes[usable]))
-
-    def search(batches):
-        qids, q, probe = shared.value
-        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        floors = np.full(len(qids), floor)  # rises to a query's k-th best score once it has k hits
-        step = max(1, SLICE_VALUES // max(1, len(qids)))
-        for pdf in batches:
-            if not len(pdf) or not len(qids):
-                continue
-            v = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-            size = np.linalg.norm(v, axis=1)
-            ok = size > 0
-            v, row_ids = v[ok] / size[ok, None], pdf["id"].to_numpy()[ok]
-            lists = None if probe is None else pdf["list"].to_numpy()[ok]
-            for lo in range(0, len(v), step):
-                s = np.round(q @ v[lo : lo + step].T, digits)
-                if probe is not None:
-                    s[~probe[:, lists[lo : lo + step]]] = -np.inf
-                # equal scores still compete by id, so the raised floor keeps them
-                hit = (s > floor) & (s >= floors[:, None])
-                if s.shape[1] > k:
-                    hit &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
-                qi, ci = np.nonzero(hit)
-                best, kth = _merge(best, (qi, s[qi, ci], row_ids[lo + ci]), k, len(qids))
-                floors = np.maximum(floors, kth)
-        yield pd.DataFrame({"query_id": qids[best[0]], "id": best[2], "similarity": best[1]})
-
-    cols = ["id", "embedding"] + (["list"] if probes is not None else [])
-    return corpus.select(*cols).mapInPandas(search, "query_id long, id long, similarity double")
+    spark = queries.sparkSession
+    queries, corpus = queries.filter("embedding IS NOT NULL"), corpus.filter("embedding IS NOT NULL").select("id", "embedding")
+    usable = corpus.filter(vectors.norm(F.col("embedding")) > 0)
+    wanted = min(lists, math.ceil(math.sqrt(corpus.count())))
+    first = usable.orderBy(F.xxhash64(F.lit("centre"), "id"), "id").limit(wanted).collect()  # at most ``lists`` rows
+    if not first:
+        return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    centres = _units(pd.Series([r["embedding"] for r in first]))[0]
+    table = cut_lineage(_listed(usable, centres))
+    parts, angle = _sizes(table, len(centres), centres.shape[1], block_values)
+
+    def choose(near: np.ndarray) -> np.ndarray:
+        least = np.full(len(near), min_similarity)
+        if near.shape[1] >= k:  # the centres are rows of the corpus
+            least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+        apart = np.arccos(np.clip(near, -1, 1)) - angle[None, :]
+        return apart <= np.arccos(np.clip(least, -1, 1))[:, None] + SLACK
+
+    held = table.select("id", "embedding", "list", _part(F.col("id"), F.col("list"), parts).alias("part"))
+    found = _meet(held, _asked(queries, centres, parts, choose), _cosine_search(k, min_similarity, digits), "query_id long, id long, similarity double")
+    return _top(found, k, "similarity", F.desc)
 
 
 class CoarseIndex:
-    """Vectors sorted into lists around centres; a search visits only the nearest lists (approximate)."""
-
-    def __init__(self, corpus: DataFrame, lists: int = 50, seed: int = 42):
-        size = vectors.norm(F.col("embedding"))
-        unit = corpus.withColumn("__size", size).filter("__size > 0").withColumn(
-            "features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-        )
-        few = unit.limit(lists).count()
-        model = KMeans(k=max(2, min(lists, few)), seed=seed, distanceMeasure="cosine", predictionCol="list", maxIter=10).fit(unit.select("features"))
-        self.centers = np.array(model.clusterCenters())
-        self.table = model.transform(unit).select("id", "embedding", "list")
+    """Vectors stored by list; a search reads only the lists nearest to its queries (approximate).
+
+    ``build`` learns centres from at most ``SAMPLE_ROWS`` rows, chosen by hash, assigns every row once and writes the lists as
+    folders of a table; ``open`` takes such a table up again.
+    """
+
+    def __init__(self, corpus: DataFrame, lists: int = 50, seed: int = 42, path: str | None = None):
+        spark = corpus.sparkSession
+        self.path = path or scratch_path(spark, "index")
+        usable = corpus.filter("embedding IS NOT NULL").select("id", "embedding").filter(vectors.norm(F.col("embedding")) > 0)
+        n = usable.count()
+        share = min(1.0, SAMPLE_ROWS / max(1, n))
+        sample = usable.filter(F.pmod(F.xxhash64(F.lit("index"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else usable
+        features = sample.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+        if n:
+            model = KMeans(k=max(2, min(lists, n)), seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
+            centres = np.array(model.clusterCenters())
+            centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+            rows = cut_lineage(_listed(usable, centres))
+            width = centres.shape[1]
+            parts, _ = _sizes(rows, len(centres), width, BLOCK_VALUES)
+            out = rows.select("id", "embedding", "list", _part(F.col("id"), F.col("list"), parts).alias("part"))
+            out.repartition("list", "part").write.partitionBy("list").parquet(f"{self.path}/rows")
+        else:
+            centres, parts = np.zeros((0, 0)), []
+            usable.withColumns({"part": F.lit(0), "list": F.lit(0)}).write.parquet(f"{self.path}/rows")
+        listed = [(i, p, c.tolist()) for i, (p, c) in enumerate(zip(parts, centres))]
+        spark.createDataFrame(listed, "list int, parts int, centre array<double>").coalesce(1).write.parquet(f"{self.path}/lists")
+        self._read(spark, usable.schema["embedding"].dataType.simpleString())
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, kind: str = "array<float>") -> CoarseIndex:
+        index = cls.__new__(cls)
+        index.path = path
+        index._read(spark, kind)
+        return index
+
+    def _read(self, spark: SparkSession, kind: str) -> None:
+        known = spark.read.parquet(f"{self.path}/lists").orderBy("list").collect()  # one row a list
+        self.parts = [r["parts"] for r in known]
+        self.centres = np.array([r["centre"] for r in known], dtype=np.float64)
+        self.table = spark.read.schema(f"id long, embedding {kind}, part int, list int").parquet(f"{self.path}/rows")
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 5, min_similarity: float = 0.3, digits: int = 12) -> DataFrame:
-        parts = []
-        width = self.centers.shape[1]
-        for block in _blocks(queries.filter("embedding IS NOT NULL"), "query_id", width, BLOCK_VALUES):
-            rows = block.select("query_id", "embedding").collect()
-            if not rows:
-                continue
-            ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-            matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
-            centers = self.centers / np.linalg.norm(self.centers, axis=1, keepdims=True)
-            near = np.argsort(-(matrix @ centers.T), axis=1)[:, :probes]
-            mask = np.zeros((len(ids), len(centers)), dtype=bool)
-            np.put_along_axis(mask, near, True, axis=1)
-            # lists nobody probes are pruned before the scan's Python part
-            wanted = [int(i) for i in np.nonzero(mask.any(axis=0))[0]]
-            parts.append(_scan(self.table.filter(F.col("list").isin(wanted)), ids, matrix, k, min_similarity, digits, mask))
-        out = queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-        for p in parts:
-            out = out.unionByName(p)
-        return _top(out, k, "similarity", F.desc)
+        """``(query_id, id, similarity, rank)`` from the ``probes`` lists nearest to each query."""
+        if not self.parts:
+            return queries.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+
+        def choose(near: np.ndarray) -> np.ndarray:
+            mask = np.zeros(near.shape, bool)
+            np.put_along_axis(mask, np.argsort(-near, axis=1)[:, :probes], True, axis=1)
+            return mask
+
+        asked = cut_lineage(_asked(queries.filter("embedding IS NOT NULL"), self.centres, self.parts, choose))
+        wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # at most one row a list
+        held = self.table.filter(F.col("list").isin(wanted)).select("id", "embedding", "list", "part")
+        found = _meet(held, asked, _cosine_search(k, min_similarity, digits), "query_id long, id long, similarity double")
+        return _top(found, k, "similarity", F.desc)
 
 
 def knn_impute(
@@ -167,79 +247,45 @@ def knn_impute(
     """Gaps filled with the mean of the k nearest donors that know the column.
 
     Distance is Euclidean over the columns both rows know, scaled up for the unknown ones; ties go to the
-    smaller key. A column without any usable donor gets the column mean. ``key`` is an integer column.
+    smaller key. A column without any usable donor gets the column mean. ``key`` is an integer column. Differences are
+    squared one by one, so close rows far from zero keep their digits.
     """
     donors = rows if donors is None else donors
     gap = F.lit(False)
     for c in cols:
         gap = gap | F.col(c).isNull()
-    needy = rows.filter(gap).select(F.col(key).alias("query_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("embedding"))
-    pool = donors.select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("embedding"))
-    means = donors.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    fills = []
-    blocks = list(_blocks(needy, "query_id", len(cols) * 16, block_values))
-    for block in blocks:
-        found = block.collect()
-        if not found:
-            continue
-        ids = np.array([r["query_id"] for r in found], dtype=np.int64)
-        matrix = np.array([[np.nan if x is None else x for x in r["embedding"]] for r in found], dtype=np.float64)
-        part = _donors(pool, ids, matrix, k)
-        fills.append(part if len(blocks) == 1 else cut_lineage(part))
-    if not fills:
-        return rows
-    out = fills[0]
-    for p in fills[1:]:
-        out = out.unionByName(p)
+    packed = F.array(*[F.col(c).cast("double") for c in cols]).alias("embedding")
+    pool = donors.select(F.col(key).cast("bigint").alias("id"), packed)
+    known = donors.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    parts = max(1, math.ceil(known["n"] / max(1, block_values // max(1, 8 * len(cols)))))
+    needy = rows.filter(gap & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), packed)
+    held = pool.select("id", "embedding", F.lit(0).alias("list"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    asked = needy.select("id", "embedding", F.lit(0).alias("list"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    out = _meet(held, asked, _donor_search(k), "query_id long, col int, id long, distance double, value double")
     w = Window.partitionBy("query_id", "col").orderBy("distance", "id")
     near = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     per = near.groupBy("query_id").agg(*[F.avg(F.when(F.col("col") == i, F.col("value"))).alias(f"__f{i}") for i in range(len(cols))])
     joined = rows.join(per.withColumnRenamed("query_id", key), key, "left")
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__f{i}"), F.lit(means[i])) for i, c in enumerate(cols)}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__f{i}"), F.lit(known[f"m{i}"])) for i, c in enumerate(cols)}
     return joined.withColumns(filled).select(*rows.columns)
 
 
-def _donors(pool: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
-    shared = pool.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def search(batches):
-        qids, q = shared.value
+def _donor_search(k: int):
+    def search(kept: pd.DataFrame, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        v, ids = _matrix(kept["embedding"]), kept["id"].to_numpy()
+        q, asked = _matrix(rows["embedding"]), rows["id"].to_numpy()
         width = q.shape[1]
-        known = ~np.isnan(q)
-        filled = np.where(known, q, 0.0)
-        targets = [np.nonzero(~known[:, c])[0] for c in range(width)]
-        empty = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-        best = [empty] * width
-        floors = [np.full(len(t), -np.inf) for t in targets]
-        step = max(1, SLICE_VALUES // max(1, len(qids)))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array([[np.nan if x is None else x for x in row] for row in pdf["embedding"].tolist()], dtype=np.float64)
-            row_ids = pdf["id"].to_numpy()
-            for lo in range(0, len(v), step):
-                part, part_ids = v[lo : lo + step], row_ids[lo : lo + step]
-                kv = ~np.isnan(part)
-                fv = np.where(kv, part, 0.0)
-                both = known.astype(float) @ kv.T.astype(float)
-                sq = (filled**2) @ kv.T + known @ (fv**2).T - 2 * filled @ fv.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    near = -np.sqrt(np.maximum(np.round(sq, 9), 0.0) * width / both)
-                near[both == 0] = -np.inf
-                near[qids[:, None] == part_ids[None, :]] = -np.inf
-                for c in range(width):
-                    use = np.nonzero(kv[:, c])[0]
-                    if not len(targets[c]) or not len(use):
-                        continue
-                    s = near[np.ix_(targets[c], use)]
-                    hit = np.isfinite(s) & (s >= floors[c][:, None])
-                    if s.shape[1] > k:
-                        hit &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
-                    qi, ci = np.nonzero(hit)
-                    best[c], kth = _merge(best[c], (qi, s[qi, ci], part_ids[use[ci]], part[use[ci], c]), k, len(targets[c]))
-                    floors[c] = np.maximum(floors[c], kth)
+        square, both = np.zeros((len(q), len(v))), np.zeros((len(q), len(v)))
+        for c in range(width):
+            apart = q[:, c][:, None] - v[:, c][None, :]
+            shared = ~np.isnan(apart)
+            square += np.where(shared, apart, 0.0) ** 2
+            both += shared
+        usable = (both > 0) & (asked[:, None] != ids[None, :])
+        near = -np.sqrt(np.round(square, 9) * width / np.maximum(both, 1))
         for c in range(width):
-            at, score, ids_, value = best[c]
-            yield pd.DataFrame({"query_id": qids[targets[c][at]], "col": np.int32(c), "id": ids_, "distance": -score, "value": value})
+            needs = np.flatnonzero(np.isnan(q[:, c]))
+            row, col = _best(needs, ids, near[needs], usable[needs] & ~np.isnan(v[:, c]), k)
+            yield pd.DataFrame({"query_id": asked[needs[row]], "col": np.int32(c), "id": ids[col], "distance": -near[needs[row], col], "value": v[col, c]})
 
-    return pool.mapInPandas(search, "query_id long, col int, id long, distance double, value double")
+    return search

@@ -53,6 +53,42 @@ def vector_ivf(t):
     return vector.CoarseIndex(corpus, lists=20).search(queries, k=5, probes=6)
 
 
+@query(
+    "vector_ivf_recall",
+    "V2",
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS.format(a='a.embedding', b='b.embedding')}, 9) AS similarity FROM embeddings a, embeddings b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM s WHERE similarity > 0.3)
+    SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, CAST(count(*) FILTER (query_id = id) AS BIGINT) AS themselves, count(*) > 0 AS reached FROM r WHERE rn <= 5""",
+)
+def vector_ivf_recall(t):
+    """Whether the stored lists give at least nine in ten of the exact neighbours, with the exact ones counted."""
+    queries, corpus = _search_inputs(t)
+    index = vector.CoarseIndex.open(t.spark, vector.CoarseIndex(corpus, lists=20).path)
+    found = index.search(queries, k=5, probes=12, digits=9).select("query_id", "id", F.lit(1).alias("hit"))
+    both = vector.topk_cosine(queries, corpus, k=5, min_similarity=0.3, digits=9).join(found, ["query_id", "id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        F.count_if(F.col("query_id") == F.col("id")).alias("themselves"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"),
+    )
+
+
+@query(
+    "knn_impute_far",
+    "M10",
+    """WITH d AS (SELECT p_partkey AS id, 1e9 + p_retailprice / 10 AS a, CASE WHEN p_partkey % 8 = 3 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS b FROM part),
+    p AS (SELECT q.id AS qid, v.b, row_number() OVER (PARTITION BY q.id ORDER BY sqrt(round(pow(q.a - v.a, 2), 9) * 2), v.id) AS rn
+      FROM d q JOIN d v ON q.id <> v.id WHERE q.b IS NULL AND v.b IS NOT NULL)
+    SELECT id, round(coalesce(d.b, avg(p.b)), 4) AS b FROM d LEFT JOIN p ON qid = id AND rn <= 3 GROUP BY id, d.b""",
+)
+def knn_impute_far(t):
+    """Gaps filled from the three nearest parts, whose values lie close together and far from zero."""
+    df = t.part.select(
+        F.col("p_partkey").alias("id"), (F.lit(1e9) + F.col("p_retailprice") / 10).alias("a"),
+        F.when(F.col("p_partkey") % 8 != 3, F.col("p_size").cast("double")).alias("b"),
+    )
+    return vector.knn_impute(df, "id", ["a", "b"], k=3).select("id", F.round("b", 4).alias("b"))
+
+
 @query(
     "knn_impute",
     "M10",
