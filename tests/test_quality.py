@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,9 +91,23 @@ def test_selected_quantiles_equal_direct_ones(spark, shape):
     direct = quantiles.exact_quantiles(df, ["x", "y"], probs)
     builtin = df.agg(*[F.percentile(c, F.lit(probs)) for c in ("x", "y")]).first()
     assert direct["x"] == pytest.approx(builtin[0], rel=1e-12) and direct["y"] == pytest.approx(builtin[1], rel=1e-12)
-    picked = quantiles.exact_quantiles(df, ["x", "y"], probs, direct_limit=0, gather_limit=10)
-    for c in ("x", "y"):
-        assert picked[c] == pytest.approx(direct[c], rel=1e-12)
+    for few in (0, 10, 3000):
+        picked = quantiles.exact_quantiles(df, ["x", "y"], probs, few=few)
+        for c in ("x", "y"):
+            assert picked[c] == pytest.approx(direct[c], rel=1e-12)
+
+
+def test_quantiles_of_odd_numbers(spark):
+    inf = float("inf")
+    values = [-inf, -1e300, -3.0, -1e-310, -0.0, 0.0, 5e-324, 2.0, 2.0, 1e300, inf]
+    rows = [(v, None, float("nan") if i else 7.0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    for few in (0, 100):
+        got = quantiles.exact_quantiles(df, ["x", "y", "z"], [i / 10 for i in range(11)], few)
+        assert got["x"] == values and got["y"] == [None] * 11 and got["z"] == [7.0] * 11
+    assert quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]} and quantiles.exact_quantiles(df, [], [0.5]) == {}
+    numbers = [quantiles._number(int(t)) for t in quantiles._turned(np.array(values))]
+    assert numbers == values
 
 
 def test_encoders(spark):

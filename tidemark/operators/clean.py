@@ -9,6 +9,7 @@ from tidemark.operators.columns import as_double, datetime_columns, numeric_colu
 from tidemark.operators.profile import clean_score
 from tidemark.operators.quantiles import iqr_fences
 from tidemark.operators.stages import FillMissing, LabelEncode, Scale
+from tidemark.session import cut_lineage
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -38,9 +39,8 @@ def remove_outliers(df: DataFrame, sequential: bool = True) -> DataFrame:
         for c in cols:
             df = df.filter(_within(df, c, fences[c]))
         return df
-    rows = df.count()
     for c in cols:
-        df = df.filter(_within(df, c, iqr_fences(df, [c], at_most=rows)[c]))
+        df = df.filter(_within(df, c, iqr_fences(df, [c])[c]))
     return df
 
 
@@ -59,9 +59,14 @@ CLEAN = {"remove_duplicates": remove_duplicates, "fill_missing": fill_missing, "
 
 
 def clean(df: DataFrame, operations: list[str]) -> DataFrame:
-    """Apply cleaning operations in order; the order matters because columns are re-read for each."""
-    for name in operations:
+    """Apply cleaning operations in order; the order matters because columns are re-read for each.
+
+    Rows without duplicates are written once, so that what is fitted on them does not repeat the shuffle.
+    """
+    for k, name in enumerate(operations):
         df = CLEAN[name](df)
+        if name == "remove_duplicates" and k + 1 < len(operations):
+            df = cut_lineage(df)
     return df
 
 

@@ -1,74 +1,51 @@
-"""Exact quantiles of many columns, without holding a column in one task.
-
-Up to ``direct_limit`` values in all are sorted in one aggregate. Beyond that no task may hold a column,
-so the order statistics are selected: each round takes a bounded sketch of the open interval that still holds the wanted ranks,
-counts the rows below, at and between the sketch's two bracket values, and keeps the sub-interval
-that holds the rank. A round shrinks an interval about 1000-fold; all columns and ranks share one
-scan per round, and ranks close to each other share a bracket. The last, counted, intervals (at most
-``gather_limit`` values each) are sorted exactly.
+"""Exact quantiles of many columns by radix selection, without holding a column in one task.
+
+A double's bits, turned so that larger numbers have larger bits, are read from the top, ``BITS`` at a time. A scan counts, on
+the map side, how many values fall into each cell of the bits read next, for all columns and wanted ranks at once; the cell
+that holds a rank is where the next scan goes on. A cell of at most ``few`` values is read to its last bit. So at most four
+scans give every order statistic, usually two or three, by the same path at every size; what a scan returns is bounded by
+the number of cells, whatever the data.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.columns import as_double
 
-DIRECT_LIMIT = 100_000
-GATHER_LIMIT = 20_000
-ACCURACY = 4000
-
+BITS = 16
+FEW = 1 << BITS
+SIGN = np.uint64(1 << 63)
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    direct_limit: int = DIRECT_LIMIT,
-    gather_limit: int = GATHER_LIMIT,
-    at_most: int | None = None,
-) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}`` with linear interpolation; ``None`` for a column without values.
 
-    ``at_most`` is a known bound of the row count, which saves counting first.
-    """
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], few: int = FEW) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}`` with linear interpolation; ``None`` for a column without values."""
     if not cols:
         return {}
-    exprs = {c: as_double(df, c) for c in cols}
-    if at_most is not None and at_most * len(cols) <= direct_limit:
-        return _sorted_quantiles(df, exprs, probs)
-    counts = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first()
-    n = {c: counts[i] for i, c in enumerate(cols)}
-    if sum(n.values()) <= direct_limit:
-        return _sorted_quantiles(df, exprs, probs)
-    ranks = {c: sorted({r for p in probs for r in _bounds(p, n[c])}) for c in cols if n[c]}
-    found = _select(df, exprs, n, ranks, gather_limit)
+    rows = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    whole = [(i, 0, 0, BITS) for i in range(len(cols))]
+    first = _histograms(rows, whole)
+    n = [int(counts.sum()) for _, counts in first]
+    found = _select(rows, first, n, {i: sorted({r for p in probs for r in _bounds(p, n[i])}) for i in range(len(cols)) if n[i]}, few)
     out: dict[str, list[float | None]] = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         out[c] = [None] * len(probs)
-        for i, p in enumerate(probs if n[c] else []):
-            lo, hi = _bounds(p, n[c])
-            out[c][i] = _between(found[c, lo], found[c, hi], p * (n[c] - 1) - lo)
+        for k, p in enumerate(probs if n[i] else []):
+            lo, hi = _bounds(p, n[i])
+            out[c][k] = _between(found[i, lo], found[i, hi], p * (n[i] - 1) - lo)
     return out
 
 
-def _sorted_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles from the sorted values of a small input, the picking done before anything reaches the driver."""
-    held = df.agg(*[F.sort_array(F.collect_list(e)).alias(f"v{i}") for i, e in enumerate(exprs.values())])
-    picks = []
-    for i in range(len(exprs)):
-        values, n = F.col(f"v{i}"), F.size(f"v{i}")
-        pos = [(n - 1) * F.lit(float(p)) for p in probs]
-        ends = [F.struct(F.get(values, F.floor(x).cast("int")), F.get(values, F.ceil(x).cast("int")), x - F.floor(x)) for x in pos]
-        picks.append(F.array(*ends).alias(f"q{i}"))
-    row = held.select(*picks).first()
-    return {c: [None if a is None else _between(a, b, t) for a, b, t in row[i]] for i, c in enumerate(exprs)}
-
-
 def _between(a: float, b: float, t: float) -> float:
     """Linear interpolation from the nearer end."""
+    if a == b:
+        return a
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1.0 - t)
 
 
@@ -77,101 +54,75 @@ def _bounds(p: float, n: int) -> tuple[int, int]:
     return math.floor(pos), math.ceil(pos)
 
 
-def _inside(e: Column, lo: float | None, hi: float | None) -> Column:
-    cond = e.isNotNull()
-    if lo is not None:
-        cond = cond & (e > F.lit(lo))
-    if hi is not None:
-        cond = cond & (e < F.lit(hi))
-    return cond
-
-
-def _select(df, exprs, n, ranks, gather_limit):
+def _turned(values: np.ndarray) -> np.ndarray:
+    """Bits of doubles in the order of the numbers; both zeros are one."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & SIGN, ~bits, bits | SIGN)
+
+
+def _number(turned: int) -> float:
+    bits = np.uint64(turned)
+    return float((bits ^ SIGN if bits & SIGN else ~bits).view(np.float64))
+
+
+def _histograms(rows: DataFrame, slots: list[tuple[int, int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells in use and their counts for each ``(column, bits read, their value, bits to read)``."""
+    columns = sorted({s[0] for s in slots})
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = {k: np.zeros(1 << s[3], np.int64) for k, s in enumerate(slots) if s[3] <= BITS}
+        sparse: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            for at, i in enumerate(columns):
+                turned = _turned(batch.column(at).drop_null().to_numpy(zero_copy_only=False))
+                for k, (c, depth, prefix, width) in enumerate(slots):
+                    if c == i:
+                        inside = turned[(turned >> np.uint64(64 - depth)) == np.uint64(prefix)] if depth else turned
+                        cells = (inside << np.uint64(depth)) >> np.uint64(64 - width)
+                        if k in dense:
+                            dense[k] += np.bincount(cells.astype(np.int64), minlength=1 << width)
+                        else:
+                            sparse.append((k, cells.astype(np.int64)))
+        for k, counts in dense.items():
+            held = np.flatnonzero(counts)
+            yield _counted(k, held, counts[held])
+        for k in {k for k, _ in sparse}:
+            yield _counted(k, *np.unique(np.concatenate([cells for j, cells in sparse if j == k]), return_counts=True))
+
+    def _counted(k: int, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), k, np.int32)), pa.array(cells), pa.array(counts)], ["slot", "cell", "n"])
+
+    found = rows.select(*[f"c{i}" for i in columns]).mapInArrow(work, "slot int, cell long, n long").groupBy("slot", "cell").agg(F.sum("n").alias("n"))
+    got = found.toPandas().sort_values(["slot", "cell"])  # at most 2 ** BITS or ``few`` rows a slot
+    cuts = np.searchsorted(got["slot"], np.arange(len(slots) + 1))
+    cells, counts = got["cell"].to_numpy(), got["n"].to_numpy()
+    return [(cells[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _select(rows: DataFrame, first: list, n: list[int], ranks: dict[int, list[int]], few: int) -> dict[tuple[int, int], float]:
     """Order statistics ``{(column, zero-based rank): value}``."""
-    # state per target: open interval (lo, hi), rows at or below lo, rows inside
-    state = {(c, r): (None, None, 0, n[c]) for c in ranks for r in ranks[c]}
-    found: dict[tuple[str, int], float] = {}
-    while True:
-        clusters = _clusters({t: v for t, v in state.items() if t not in found and v[3] > gather_limit})
-        if not clusters:
-            break
-        brackets = _brackets(df, exprs, clusters)
-        counts = []
-        for i, ((c, lo, hi, _, _), _) in enumerate(clusters):
-            (a, b), e = brackets[i], exprs[c]
-            parts = {"u": _inside(e, lo, a), "a": e == F.lit(a), "m": _inside(e, a, b), "b": e == F.lit(b)}
-            counts += [F.count_if(cond).alias(f"{k}{i}") for k, cond in parts.items()]
-        row = df.agg(*counts).first()
-        for i, ((c, lo, hi, below, inside), wanted) in enumerate(clusters):
-            a, b = brackets[i]
-            under, at_a, mid, at_b = (row[f"{k}{i}"] for k in "uamb")
-            if a == b:
-                mid, at_b = 0, 0
-            for r in wanted:
-                k = r - below
-                if k < under:
-                    state[c, r] = (lo, a, below, under)
-                elif k < under + at_a:
-                    found[c, r] = a
-                elif k < under + at_a + mid:
-                    state[c, r] = (a, b, below + under + at_a, mid)
-                elif k < under + at_a + mid + at_b:
-                    found[c, r] = b
-                else:
-                    taken = under + at_a + mid + at_b
-                    state[c, r] = (b, hi, below + taken, inside - taken)
-    rest = [t for t in state if t not in found]
-    if rest:
-        spans = sorted({(c, *state[c, r][:2]) for c, r in rest}, key=str)
-        sorts = [F.sort_array(F.collect_list(F.when(_inside(exprs[c], lo, hi), exprs[c]))) for c, lo, hi in spans]
-        place = {span: i for i, span in enumerate(spans)}
-        held = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(sorts)])
-        picks = [F.element_at(f"v{place[(c, *state[c, r][:2])]}", r - state[c, r][2] + 1) for c, r in rest]
-        row = held.select(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()
-        found.update({t: row[i] for i, t in enumerate(rest)})
+    state = {(i, r): (0, 0, 0, BITS) for i in ranks for r in ranks[i]}  # bits read, their value, values below, bits to read
+    found: dict[tuple[int, int], float] = {}
+    held = {(i, 0, 0, BITS): h for i, h in enumerate(first)}
+    while state:
+        for (i, r), (depth, prefix, below, width) in list(state.items()):
+            cells, counts = held[i, depth, prefix, width]
+            upto = below + np.cumsum(counts)
+            at = int(np.searchsorted(upto, r, side="right"))
+            depth, prefix, below = depth + width, (prefix << width) | int(cells[at]), int(upto[at] - counts[at])
+            if depth == 64:
+                found[i, r] = _number(prefix)
+                del state[i, r]
+            else:
+                state[i, r] = depth, prefix, below, 64 - depth if counts[at] <= few else min(BITS, 64 - depth)
+        slots = sorted({(i, depth, prefix, width) for (i, _), (depth, prefix, _, width) in state.items()})
+        held = dict(zip(slots, _histograms(rows, slots))) if slots else {}
     return found
 
 
-def _clusters(wide):
-    """Targets grouped by interval and, inside one, by closeness: ``[((column, lo, hi, below, inside), [rank, ...])]``."""
-    by_interval: dict[tuple, list[int]] = {}
-    for (c, r), interval in wide.items():
-        by_interval.setdefault((c, *interval), []).append(r)
-    out = []
-    for key, wanted in by_interval.items():
-        group: list[int] = []
-        for r in sorted(wanted):
-            if group and (r - group[0]) * ACCURACY > key[4]:
-                out.append((key, group))
-                group = []
-            group.append(r)
-        out.append((key, group))
-    return out
-
-
-def _brackets(df, exprs, clusters):
-    """Two values around the ranks of each cluster; one sketch per interval serves all its clusters."""
-    probs: dict[tuple, list[float]] = {}
-    for key, wanted in clusters:
-        below, inside = key[3], key[4]
-        lo, hi = (wanted[0] - below + 0.5) / inside, (wanted[-1] - below + 0.5) / inside
-        probs.setdefault(key, []).extend([max(0.0, lo - 2.0 / ACCURACY), min(1.0, hi + 2.0 / ACCURACY)])
-    sketches = [
-        F.percentile_approx(F.when(_inside(exprs[c], lo, hi), exprs[c]), ps, ACCURACY).alias(f"s{i}")
-        for i, ((c, lo, hi, _, _), ps) in enumerate(probs.items())
-    ]
-    values = dict(zip(probs, df.agg(*sketches).first()))
-    out, used = [], dict.fromkeys(probs, 0)
-    for key, _ in clusters:
-        at = used[key]
-        out.append((values[key][at], values[key][at + 1]))
-        used[key] = at + 2
-    return out
-
-
-def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5, at_most: int | None = None) -> dict[str, tuple[float, float] | None]:
+def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5) -> dict[str, tuple[float, float] | None]:
     """Inclusive inlier range ``(q1 - k*iqr, q3 + k*iqr)`` per column."""
     out: dict[str, tuple[float, float] | None] = {}
-    for c, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75], at_most=at_most).items():
+    for c, (q1, q3) in exact_quantiles(df, cols, [0.25, 0.75]).items():
         out[c] = None if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
