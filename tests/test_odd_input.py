@@ -129,3 +129,22 @@ def test_streams_do_not_depend_on_their_cuts(spark):
         out = st.settled(seen, lambda e: limiter.sliding_log(e, "key", "event_id", "ts", 2, 3600))
         results.append((totals, {(r["event_id"], r["allowed"]) for r in out.collect()}))
     assert results[0] == results[1] and sum(n for _, n in results[0][0]) == 240 and len(results[0][1]) == 240
+
+
+def test_failed_or_self_reading_overwrite_keeps_the_data(spark, tmp_path):
+    path = str(tmp_path / "own.feather")
+    files.write_table(spark.range(10), path)
+    files.write_table(files.read_table(spark, path).filter("id > 3"), path)
+    assert files.read_table(spark, path).count() == 6
+    with pytest.raises(Exception, match="no such row"):
+        files.write_table(spark.range(5).withColumn("x", F.when(F.col("id") == 4, F.raise_error(F.lit("no such row")))), path)
+    assert files.read_table(spark, path).count() == 6 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["own.feather"]
+
+
+def test_updates_with_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "id int, name string")
+    with pytest.raises(ValueError, match="more than once"):
+        relational.update_by_key(df, twice, "id")
+    nulls = spark.createDataFrame([(None, "x"), (None, "y")], "id int, name string")
+    assert relational.update_by_key(df, nulls, "id").count() == 2

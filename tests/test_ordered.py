@@ -159,3 +159,19 @@ def test_unmeasured_metric_blocks_promotion(spark):
     gates = spark.createDataFrame([("production", "accuracy", 0.9), ("production", "auc", 0.8)], "stage string, metric string, minimum double")
     got = {r["model"]: r["passed"] for r in monitor.promotion(metrics, gates).collect()}
     assert got == {"a": False, "b": True}
+
+
+def test_text_orders_are_split(spark):
+    rows = [(i % 3 > 0, f"2024-0{i:05d}", "same" if i % 3 else f"t{i}", float(i) if i % 7 == 0 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k boolean, at string, hot string, v double").repartition(7)
+    for order in (["at"], ["hot", "at"]):
+        sizes = [r["count"] for r in windows.with_order_buckets(df, order, 100).groupBy(windows.BUCKET).count().collect()]
+        assert 15 <= len(sizes) <= 20 and max(sizes) < 300
+    for forward in (True, False):
+        got = {r["at"]: r["v"] for r in windows.fill(df, ["k"], ["at"], ["v"], forward, target_rows=100).collect()}
+        for k in (True, False):
+            own = sorted((r for r in rows if r[0] is k), key=lambda r: r[1], reverse=not forward)
+            last = None
+            for r in own:
+                last = last if r[3] is None else r[3]
+                assert got[r[1]] == last

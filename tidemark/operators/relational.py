@@ -187,8 +187,11 @@ def execution_tree(runs: DataFrame) -> DataFrame:
 def update_by_key(df: DataFrame, updates: DataFrame, key: str, fields: list[str] | None = None, keep_on_null: bool = False) -> DataFrame:
     """Overwrite the named fields of matched rows; unknown fields are ignored.
 
-    ``keep_on_null`` keeps the stored value where the update holds null.
+    ``keep_on_null`` keeps the stored value where the update holds null. A key that the updates hold twice is an error.
     """
+    twice = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(key).first()
+    if twice is not None:
+        raise ValueError(f"the updates hold {key} {twice[0]!r} more than once")
     fields = [c for c in (fields or updates.columns) if c in df.columns and c in updates.columns and c != key]
     new = updates.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in fields])
     out = df.join(new, key, "left")

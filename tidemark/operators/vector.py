@@ -26,7 +26,8 @@ from tidemark.functions import vectors
 from tidemark.session import cut_lineage, scratch_path
 
 BLOCK_VALUES = 1_000_000  # numbers of one part (8 MB as doubles)
-SLICE_VALUES = 2_000_000  # scores held at once by a task
+PART_ROWS = 1_000  # donors that are worth a part of their own while cores are idle
+SLICE_VALUES = 500_000  # scores held at once by a task
 LISTS = 1024  # at most; centres are the only vectors that every task sees
 SAMPLE_ROWS = 100_000  # rows that the centres of the stored index are learned from
 SLACK = 1e-6  # radians, far above the error of an angle
@@ -257,7 +258,8 @@ def knn_impute(
     packed = F.array(*[F.col(c).cast("double") for c in cols]).alias("embedding")
     pool = donors.select(F.col(key).cast("bigint").alias("id"), packed)
     known = donors.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    parts = max(1, math.ceil(known["n"] / max(1, block_values // max(1, 8 * len(cols)))))
+    busy = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(known["n"] / PART_ROWS))
+    parts = max(1, busy, math.ceil(known["n"] / max(1, block_values // max(1, 8 * len(cols)))))
     needy = rows.filter(gap & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), packed)
     held = pool.select("id", "embedding", F.lit(0).alias("list"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
     asked = needy.select("id", "embedding", F.lit(0).alias("list"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

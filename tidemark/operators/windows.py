@@ -33,10 +33,6 @@ def order_value(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
-    if isinstance(dt, T.StringType):
-        # the first six bytes as a number: never out of order, equal for texts that start alike
-        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
@@ -45,17 +41,22 @@ def with_order_buckets(df: DataFrame, order: list[str], target_rows: int = TARGE
 
     One bounded sketch of the first order column gives the borders. A value so frequent that it fills
     several buckets shows up as a repeated border; its rows are split again by the next order column.
+    Where a text comes first, or second after such a value, rows are dealt by range of the whole order instead and written,
+    since the borders of another evaluation might differ.
     """
-    first = order_value(df, order[0])
     buckets = min(MAX_BUCKETS, math.ceil(df.count() / target_rows))
     if buckets <= 1:
         return df.withColumn(BUCKET, F.lit(0.0))
+    text = [isinstance(df.schema[o].dataType, T.StringType) for o in order[:2]]
+    if any(text):
+        return cut_lineage(df.repartitionByRange(buckets, *order).withColumn(BUCKET, F.spark_partition_id().cast("double")))
+    first = order_value(df, order[0])
     borders = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 5 * buckets)).first()[0]
     edges = [-math.inf, *sorted(set(borders)), math.inf]
     cut = Bucketizer(splits=edges, inputCol="__order_value", outputCol=BUCKET, handleInvalid="keep")
     out = cut.transform(df.withColumn("__order_value", first))
     heavy = {v: k for v, k in Counter(borders).items() if k > 1}
-    if heavy and len(order) > 1 and not isinstance(df.schema[order[0]].dataType, T.StringType):
+    if heavy and len(order) > 1:
         out = _split_heavy(out, order[1], heavy)
     return out.drop("__order_value")
 

@@ -246,7 +246,11 @@ def answer_questions(t):
 @query(
     "profile_advice",
     "A7 A19",
-    """SELECT 'encode categorical' AS advice FROM (SELECT count(*) AS n FROM part) WHERE n > 0""",
+    """WITH k AS (SELECT column_name AS name, column_type AS kind FROM (DESCRIBE part)),
+    f AS (SELECT (SELECT sum(len(list_filter([p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR], lambda x: x IS NULL))) FROM part) AS gaps,
+      (SELECT count(*) FROM part) - (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) AS copies, (SELECT count(*) FROM k WHERE kind = 'VARCHAR') AS texts)
+    SELECT 'handle missing values' AS advice FROM f WHERE gaps > 0 UNION ALL SELECT 'remove duplicate rows' FROM f WHERE copies > 0
+    UNION ALL SELECT 'encode categorical' FROM f WHERE texts > 0""",
 )
 def profile_advice(t):
     """Advice rows from the overview of the parts table."""

@@ -80,7 +80,7 @@ _ADVICE = """CASE WHEN "check" = 'missing_values' AND status = 'failed' THEN 'Mi
     "validate_rollup",
     "A13 A14",
     f"""SELECT count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed,
-      count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) AS total_checks, FALSE AS validation_passed,
+      count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) AS total_checks, count(*) FILTER (WHERE status = 'failed') = 0 AS validation_passed,
       string_agg({_ADVICE}, '; ' ORDER BY {_ADVICE}) AS recommendations
     FROM ({_report_sql()} UNION ALL SELECT 'dtypes', '*', 1, 0.0, 'failed') WHERE "column" = '*'""",
     ("lineitem_dirty",),

@@ -327,11 +327,13 @@ def drift_psi(t):
 @query(
     "retrain_trigger",
     "L13",
-    """WITH d AS (SELECT model_id, CAST(created_at AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE predicted_value = actual_value) AS ok FROM predictions GROUP BY 1, 2),
+    f"""WITH d AS (SELECT model_id, CAST(created_at AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE predicted_value = actual_value) AS ok FROM predictions GROUP BY 1, 2),
+    shift AS (SELECT coalesce(bool_or(drifted), FALSE) AS drifted FROM ({_psi_sql()})),
     a AS (SELECT model_id, sum(ok) OVER w / sum(n) OVER w < 0.85 AS low FROM d WINDOW w AS (PARTITION BY model_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)),
     m AS (SELECT id AS model_id, CAST(DATE '2024-01-01' + CAST(id % 60 AS INTEGER) AS DATE) AS tr FROM models)
-    SELECT m.model_id, tr + INTERVAL 1 MONTH <= DATE '2024-02-15' AS calendar_due, coalesce(bool_or(low), FALSE) AS accuracy_low, TRUE AS drifted, TRUE AS retrain
-    FROM m LEFT JOIN a USING (model_id) GROUP BY m.model_id, tr""",
+    SELECT m.model_id, tr + INTERVAL 1 MONTH <= DATE '2024-02-15' AS calendar_due, coalesce(bool_or(low), FALSE) AS accuracy_low, drifted,
+      tr + INTERVAL 1 MONTH <= DATE '2024-02-15' OR coalesce(bool_or(low), FALSE) OR drifted AS retrain
+    FROM m CROSS JOIN shift LEFT JOIN a USING (model_id) GROUP BY m.model_id, tr, drifted""",
     ("predictions", "models"),
 )
 def retrain_trigger(t):

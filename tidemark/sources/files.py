@@ -98,7 +98,8 @@ def _open_fs(path: str):
 def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One Arrow file per partition in a shared folder; a retried task overwrites its own file.
 
-    ``overwrite`` removes what is there, ``append`` adds files, ``ignore`` and ``error`` leave an existing folder alone. A table
+    ``overwrite`` writes a folder beside the old one and puts it in its place when the job is done, so a job that fails or that
+    reads the old folder loses nothing; ``append`` adds files, ``ignore`` and ``error`` leave an existing folder alone. A table
     without rows leaves one file that holds the schema.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -111,10 +112,10 @@ def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             return
         if mode != "overwrite":
             raise FileExistsError(path)
-        hadoop.delete(folder, True)
-    path = hadoop.makeQualified(folder).toString()
-    plain = path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
     run = os.urandom(6).hex()
+    target = folder if mode == "append" else folder.suffix(f".new-{run}")
+    path = hadoop.makeQualified(target).toString()
+    plain = path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
 
     def store(batches):
         import pyarrow as pa
@@ -141,12 +142,21 @@ def write_feather(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             system.move(f"{name}.tmp-{TaskContext.get().taskAttemptId()}", f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
 
-    rows = df.mapInArrow(store, "rows long").agg(F.sum("rows")).first()[0]
-    if not rows:
-        system, root = _open_fs(path)
-        system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/part-empty-{run}.arrow") as sink, pa.ipc.new_file(sink, to_arrow_schema(df.schema)):
-            pass
+    try:
+        rows = df.mapInArrow(store, "rows long").agg(F.sum("rows")).first()[0]
+        if not rows:
+            system, root = _open_fs(path)
+            system.create_dir(root, recursive=True)
+            with system.open_output_stream(f"{root}/part-empty-{run}.arrow") as sink, pa.ipc.new_file(sink, to_arrow_schema(df.schema)):
+                pass
+    except Exception:
+        if target is not folder:
+            hadoop.delete(target, True)
+        raise
+    if target is not folder:
+        hadoop.delete(folder, True)
+        if not hadoop.rename(target, folder):
+            raise OSError(f"{target} could not be renamed")
 
 
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
