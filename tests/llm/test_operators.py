@@ -228,10 +228,72 @@ def test_mixing(odd, docs, spark):  # noqa: F811
     assert mixing.repeated(odd.limit(0)).count() == 0 and set(mixing.repeated(odd).columns) == set(odd.columns)
 
 
+def _licenses_plainly(text, templates=licenses.TEMPLATES):
+    """All windows of all templates, none pruned."""
+    grams = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    doc, found = grams(licenses.template_words(text or "")), []
+    for name, said in templates:
+        kept, span = set(licenses.template_bigrams(said)), len(licenses.template_words(said)) - 1
+        for start in range(max(len(doc) - span, 0) + 1):
+            window = set(doc[start : start + span])
+            shared = len(window & kept)
+            found.append((shared, 2.0 * shared / (len(window) + len(kept)), start, name))
+    found = [f for f in found if f[1] >= 0.8]
+    best = [f for f in found if f[:2] == max(found)[:2]]
+    names = sorted({f[3] for f in best})
+    return names[0] if len(names) == 1 else None, best[0][1] if best else 0.0, ",".join(names), min((f[2] for f in best), default=None)
+
+
 def test_licenses(spark):  # noqa: F811
-    rows = [(1, "some prose comes first here\nReleased under the MIT license!\nand more of it after"), (2, None), (3, ""), (4, "Released under the BSD thing"), (5, "\n\nLicensed under the\nApache License, Version 2.0.\n\nz"), (6, LONG)]
-    got = {r["doc_id"]: (r["license"], r["n_units"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert got == {1: ("MIT", 1), 2: (None, 0), 3: (None, 0), 4: (None, 0), 5: ("Apache-2.0", 1), 6: (None, 0)}
+    gnu = licenses.GNU_NOTICE.format
+    said = {
+        "some prose comes first here\nReleased under the MIT license!\nand more of it after": ("MIT", "MIT", 5),
+        "This project is licensed under the MIT License.": ("MIT", "MIT", 3),
+        "a line of prose that was released under the\nMIT license long ago": ("MIT", "MIT", 6),
+        "\n\nLicensed under the\nApache License, Version 2.0.\n\nz": ("Apache-2.0", "Apache-2.0", 0),
+        "This work is licensed under the GNU General Public License, version 2.": ("GPL-2.0", "GPL-2.0", 0),
+        "This work is licensed under the GNU General Public License, version 3.": ("GPL-3.0", "GPL-3.0", 0),
+        gnu("This program", "Affero General Public License", "3"): ("AGPL-3.0", "AGPL-3.0", 0),
+        gnu("Mill", "Lesser General Public License", "2.1"): ("LGPL-2.1", "LGPL-2.1", 0),
+        "by us: " + licenses.BSD_GRANT: (None, "BSD-2-Clause,BSD-3-Clause", 2),
+        "x y " + licenses.BSD_TWO + licenses.BSD_WARRANTY: ("BSD-2-Clause", "BSD-2-Clause", 2),
+        "x " + licenses.BSD_TWO + licenses.BSD_NAMES + licenses.BSD_WARRANTY + " z": ("BSD-3-Clause", "BSD-3-Clause", 1),
+        "Copyright us\n\n" + licenses.MIT_TEXT.replace(" ", "\n  "): ("MIT", "MIT", 2),
+        licenses.ISC_GRANT + licenses.ISC_WARRANTY: ("ISC", "ISC", 0),
+        "Released under the BSD thing": (None, "", None),
+        "one": (None, "", None), "": (None, "", None), "  \n": (None, "", None), LONG: (None, "", None),
+        LONG + " licensed under the MIT License " + LONG: ("MIT", "MIT", len(licenses.template_words(LONG))),
+    }
+    texts = [*said, None, "licensed under the MIT License"]
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)] + [(4, texts[4], "x", 0), (None, texts[1], None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, license string, __found int")  # noqa: F811
+    got = licenses.scan(docs).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 4 for r in got) == 2
+    of = {r["doc_id"]: tuple(r)[1:] for r in got}
+    for i, (text, (name, names, start)) in enumerate(said.items()):
+        assert (of[i][0], of[i][2], of[i][3]) == (name, names, start), text[:60]
+    assert of[None] == of[1] and of[len(said)] == (None, 0.0, "", None)
+    empty = licenses.scan(docs.limit(0))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "license", "dice", "candidates", "start"]
+
+
+def test_licenses_against_all_windows(spark):  # noqa: F811
+    draw = random.Random(5)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(draw.randint(1, 3)):
+            w = licenses.template_words(draw.choice(licenses.TEMPLATES)[1])
+            w = w[draw.randint(0, len(w) // 4) : len(w) - draw.randint(0, len(w) // 4)]
+            w = [x for x in w if draw.random() > 0.04]
+            w = [draw.choice(("the", "license", "odd")) if draw.random() < 0.04 else x for x in w]
+            parts += w + ["and", "so", "on"][: draw.randint(0, 3)]
+        texts.append(" ".join(parts))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {i: _licenses_plainly(t) for i, t in enumerate(texts)}
+
+
+def test_license_bounds():
     for b in range(1, 40):
         lo, hi = licenses.size_bounds(b, 0.8)
         assert all((2 * min(a, b) / (a + b) >= 0.8 - 1e-12) == (lo <= a <= hi) for a in range(1, 100))

@@ -148,21 +148,23 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + least(size, greate
 
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(
-        f"({-i}, {quoted(name)}, [{', '.join(map(quoted, licenses.template_bigrams(text)))}])" for i, (name, text) in enumerate(licenses.TEMPLATES)
-    )
-    normal = "string_split(lower(trim(regexp_replace(u, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(' '.join(licenses.template_words(text)))})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    pairs = lambda w: f"[{w}[i] || ' ' || {w}[i + 1] FOR i IN range(1, len({w}))]"
     return rf"""
-WITH known(rank, name, grams) AS (VALUES {rows}),
-units AS (
-  SELECT row_number() OVER () AS r, doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
-    list_filter(string_split_regex(coalesce(text, ''), '\n[\x20\t\r]*\n'), lambda x: contains(x, chr(10)))) AS us FROM documents
-), w AS (SELECT r, {normal} AS w FROM (SELECT r, unnest(us) AS u FROM units)),
-g AS (SELECT r, row_number() OVER () AS k, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
-m AS (SELECT r, k, name, rank, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, known),
-f AS (SELECT r, k, max(struct_pack(dice := dice, rank := rank, name := name)) AS b FROM m WHERE dice >= {licenses.DICE} GROUP BY r, k),
-d AS (SELECT r, max(b) AS b, count(*) AS n FROM f GROUP BY r)
-SELECT doc_id, d.b.name AS license, coalesce(d.b.dice, 0.0::DOUBLE) AS dice, CAST(coalesce(d.n, 0) AS BIGINT) AS n_units FROM units LEFT JOIN d USING (r)
+WITH known AS (SELECT t, name, len(w) - 1 AS span, list_distinct({pairs("w")}) AS grams FROM (SELECT t, name, string_split(said, ' ') AS w FROM (VALUES {rows}) v(t, name, said))),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(lower(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM documents),
+g AS MATERIALIZED (SELECT r, {pairs("w")} AS g FROM d),
+x AS (SELECT DISTINCT r, unnest(g) AS x FROM g),
+y AS (SELECT t, len(grams) AS b, unnest(grams) AS x FROM known),
+near AS (SELECT r, t FROM x JOIN y USING (x) GROUP BY r, t, b HAVING 3 * count(*) >= 2 * b),
+s AS (SELECT r, t, name, grams, span, unnest(range(greatest(len(g) - span, 0) + 1)) AS start FROM near JOIN known USING (t) JOIN g USING (r)),
+m AS (SELECT r, name, start, len(grams) AS b, list_distinct(g[start + 1 : start + span]) AS win, grams FROM s JOIN g USING (r)),
+c AS (SELECT r, name, start, len(list_intersect(win, grams)) AS shared, len(win) + b AS sizes FROM m),
+f AS (SELECT *, 2.0::DOUBLE * shared / sizes AS dice FROM c WHERE 20 * shared >= 8 * sizes),
+best AS (SELECT * FROM f QUALIFY rank() OVER (PARTITION BY r ORDER BY shared DESC, dice DESC) = 1),
+said AS (SELECT r, max(dice) AS dice, min(start) AS start, min(name) AS low, max(name) AS high, string_agg(DISTINCT name, ',' ORDER BY name) AS candidates FROM best GROUP BY r)
+SELECT doc_id, CASE WHEN low = high THEN low END AS license, coalesce(dice, 0.0::DOUBLE) AS dice, coalesce(candidates, '') AS candidates, CAST(start AS BIGINT) AS start
+FROM d LEFT JOIN said USING (r)
 """
 
 
