@@ -177,3 +177,45 @@ def test_geocode_and_centroid_keep_zero(spark):
     pts = spark.createDataFrame([(0.0, 0.0), (2.0, 4.0), (None, 1.0)], "latitude double, longitude double")
     row = spatial.centroid(pts).first()
     assert (row["latitude"], row["longitude"], row["points"]) == (1.0, 2.0, 2)
+
+
+@pytest.mark.parametrize("radius,method,leaf", [(500.0, "haversine", 1), (500.0, "haversine", 64), (0.05, "haversine", 1), (9000.0, "geodesic", 2), (20_000.0, "haversine", 4)])
+def test_counts_within_equal_listed_pairs(spark, radius, method, leaf):
+    points, centers = scattered(600, 3), scattered(90, 4)
+    p = spark.createDataFrame([*points, (9001, None, 1.0), (9002, 1.0, None)], "id long, latitude double, longitude double")
+    c = spark.createDataFrame([*centers, (7, 12.97, 77.59), (None, 50.0, 8.0), (500, None, 1.0)], "center_id long, latitude double, longitude double")
+    listed = spatial.within_radius(p, c, radius, method).groupBy("center_id")
+    listed = listed.agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first_id"), F.max("distance_km").alias("farthest_km")).collect()
+    got = spatial.count_within(p, c, radius, method, leaf_sites=leaf, hot_rows=20).collect()
+    assert {r["center_id"]: (r["hits"], r["first_id"]) for r in got} == {r["center_id"]: (r["hits"], r["first_id"]) for r in listed}
+    assert {r["center_id"]: round(r["farthest_km"], 6) for r in got} == {r["center_id"]: round(r["farthest_km"], 6) for r in listed}
+    for empty in (spatial.count_within(p.limit(0), c, radius, method), spatial.count_within(p, c.limit(0), radius, method)):
+        assert empty.count() == 0
+
+
+def test_counts_within_meet_the_border_only(spark):
+    """Forty thousand points on a square, one ball: the last join meets a small share of the pairs."""
+    p = spark.range(40_000).select("id", (F.col("id") % 200 / 100.0).alias("latitude"), (F.floor(F.col("id") / 200) / 100.0).alias("longitude"))
+    c = spark.createDataFrame([(1, 1.0, 1.0)], "center_id int, latitude double, longitude double")
+    met, real = [], spatial.salted_join
+    spatial.salted_join = lambda *a, **k: met.append(out := real(*a, **k)) or out
+    try:
+        hits = spatial.count_within(p, c, 80.0, leaf_sites=4).first()["hits"]
+    finally:
+        spatial.salted_join = real
+    assert hits == sum(hav((1.0, 1.0), (i % 200 / 100.0, i // 200 / 100.0)) <= 80.0 for i in range(40_000)) and hits > 15_000
+    assert met[0].count() < hits / 4
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_with_salted_spot(spark, k):
+    rnd = random.Random(9)
+    points = [(i, 12.97 + rnd.random() * 1e-5, 77.59 + rnd.random() * 1e-5) if i % 3 == 0 else (i, rnd.uniform(-60, 60), rnd.uniform(-180, 180)) for i in range(300)]
+    queries = [(0, 12.970004, 77.590005), (1, 12.97, 77.6), (2, -10.0, 20.0)]
+    got = spatial.nearest(
+        spark.createDataFrame(queries, "query_id int, latitude double, longitude double"),
+        spark.createDataFrame(points, "id int, latitude double, longitude double"), k, leaf_sites=8, hot_rows=10,
+    ).collect()
+    for q, *at in queries:
+        want = sorted((round(hav(at, p[1:]), 8), p[0]) for p in points)[:k]
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators.skew import salted_join
+from tidemark.operators.skew import HOT_ROWS, salted_join
 from tidemark.operators.windows import neighbour, running_sum
 from tidemark.session import cut_lineage
 
 MAX_RADIUS_KM = 10_000.0
+CENTER = ["center_id", "center_lat", "center_lon", "qx", "qy", "qz"]
 
 
 def _distance(method: str):
@@ -62,14 +63,8 @@ def _bits_for(size: float) -> int:
     return max(0, min(geo.CELL_BITS - 1, math.floor(math.log2(2.0 / size)))) if size > 0 else geo.CELL_BITS - 1
 
 
-def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, method: str = "haversine") -> DataFrame:
-    """All (center, point) pairs within a radius: grid equi join on the unit sphere, then the exact test.
-
-    A centre visits the cells its ball can touch; a point has one cell, so no pair shows up twice. Hot
-    cells are split by ``salted_join``. For the k nearest only, ``nearest`` avoids listing the pairs.
-    """
-    reach = geo.chord(radius_km * geo.ELLIPSOID_MARGIN)
-    bits = _bits_for(reach)
+def _touched(centers: DataFrame, reach: float, bits: int) -> DataFrame:
+    """Centres with their unit vectors ``qx, qy, qz``, one row for every ``cell`` that a ball of radius ``reach`` can touch."""
     step = 2.0 / (1 << bits)
     top = (1 << bits) - 1
 
@@ -80,17 +75,26 @@ def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, metho
 
     c = centers.select(F.col("center_id"), F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon"))
     c = c.filter("center_lat IS NOT NULL AND center_lon IS NOT NULL")
-    c = c.withColumns(geo.unit_vector(F.col("center_lat"), F.col("center_lon")))
-    c = c.withColumn("__ix", F.explode(slices("x"))).withColumn("__iy", F.explode(slices("y"))).withColumn("__iz", F.explode(slices("z")))
+    c = c.withColumns({f"q{v}": e for v, e in geo.unit_vector(F.col("center_lat"), F.col("center_lon")).items()})
+    c = c.withColumn("__ix", F.explode(slices("qx"))).withColumn("__iy", F.explode(slices("qy"))).withColumn("__iz", F.explode(slices("qz")))
 
     def gap(v: str, i: str) -> Column:
         lo = F.col(i) * step - 1
         return F.greatest(F.lit(0.0), lo - F.col(v), F.col(v) - (lo + step))
 
-    d2 = gap("x", "__ix") * gap("x", "__ix") + gap("y", "__iy") * gap("y", "__iy") + gap("z", "__iz") * gap("z", "__iz")
-    c = c.filter(d2 <= reach * reach * (1 + 1e-9)).select(
-        "center_id", "center_lat", "center_lon", geo.pack(F.col("__ix"), F.col("__iy"), F.col("__iz")).alias("__cell")
-    )
+    d2 = sum((gap(f"q{v}", f"__i{v}") * gap(f"q{v}", f"__i{v}") for v in "xyz"), F.lit(0.0))
+    return c.filter(d2 <= reach * reach * (1 + 1e-9)).select(*CENTER, geo.pack(F.col("__ix"), F.col("__iy"), F.col("__iz")).alias("cell"))
+
+
+def within_radius(points: DataFrame, centers: DataFrame, radius_km: float, method: str = "haversine") -> DataFrame:
+    """All (center, point) pairs within a radius: grid equi join on the unit sphere, then the exact test.
+
+    A centre visits the cells its ball can touch; a point has one cell, so no pair shows up twice. Hot
+    cells are split by ``salted_join``. For the k nearest only, ``nearest`` avoids listing the pairs.
+    """
+    reach = geo.chord(radius_km * geo.ELLIPSOID_MARGIN)
+    bits = _bits_for(reach)
+    c = _touched(centers, reach, bits).select("center_id", "center_lat", "center_lon", F.col("cell").alias("__cell"))
     p = points.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
     p = p.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
     p = p.withColumn("__cell", geo.pack(*[geo.axis_index(F.col(v), bits) for v in "xyz"])).drop("x", "y", "z")
@@ -106,7 +110,7 @@ LEAF_SITES = 64
 
 
 def nearest(
-    queries: DataFrame, points: DataFrame, k: int = 1, radius_km: float | None = None, leaf_sites: int = LEAF_SITES
+    queries: DataFrame, points: DataFrame, k: int = 1, radius_km: float | None = None, leaf_sites: int = LEAF_SITES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact k nearest points per query (great circle), for any distribution of either side.
 
@@ -155,7 +159,8 @@ def nearest(
         cand = _keep(cand.join(children, "cell").drop("cell").withColumnRenamed("child", "cell"), q_cols, k, reach)
     # straight-line distance ranks like surface distance and is cheaper; the latter is worked out for the winners
     gaps = [(F.col(v) - F.col(f"q{v}")) * (F.col(v) - F.col(f"q{v}")) for v in "xyz"]
-    pairs = cand.select(*q_cols, "cell").join(sites.select(_cell(last).alias("cell"), "id", "latitude", "longitude", *"xyz"), "cell")
+    spots = sites.select(_cell(last).alias("cell"), "id", "latitude", "longitude", *"xyz")
+    pairs = salted_join(spots, cand.select(*q_cols, "cell"), ["cell"], "id", hot_rows)  # each part gives its own k best before the shuffle
     # positions less than a hundredth of a millimetre apart count as one; the smaller id wins
     pairs = pairs.withColumn("__gap", F.round(F.sqrt(gaps[0] + gaps[1] + gaps[2]), 12))
     if k == 1:
@@ -214,6 +219,73 @@ def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame
     return rows.filter(F.col("__lb") <= F.col("__bound") + SLACK).select(*q_cols, "__bound", "cell")
 
 
+def count_within(
+    points: DataFrame, centers: DataFrame, radius_km: float, method: str = "haversine", leaf_sites: int = LEAF_SITES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``center_id, hits, first_id, farthest_km`` of every centre with a point within a radius, without listing the pairs.
+
+    Cells wholly inside a ball answer by their stored count and smallest id. Cells on its border are refined until an
+    occupied cell holds ``leaf_sites`` points on average; only their points are met one by one. A cell inside stays in
+    play for the farthest point alone, while its tight box can still reach beyond what another cell is sure to hold.
+    So the rows shuffled grow with the length of the border, not with the points inside it.
+
+    Rows of one ``center_id`` are counted together; points and centres without a position take no part.
+    """
+    margin = 1.0 if method == "haversine" else geo.ELLIPSOID_MARGIN
+    outer, inner = geo.chord(radius_km * margin) + SLACK, geo.chord(radius_km / margin) - SLACK
+    sites = points.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude")
+    sites = sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
+    sites = cut_lineage(sites.withColumns({f"i{v}": geo.axis_index(F.col(v), FINEST) for v in "xyz"}))
+    sides = [f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
+    boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
+    merged = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
+    finest = cut_lineage(sites.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), *boxes))
+    top = min(FINEST, _bits_for(outer))
+    levels = list(range(top, _usual_bits(finest, top, leaf_sites) + 1, LEVEL_STEP))
+
+    def occupancy(bits: int, above: int) -> DataFrame:
+        totals = [F.sum("n").alias("n"), F.min("first").alias("first")]
+        return finest.groupBy(_cell(bits).alias("cell")).agg(F.min(_cell(above)).alias("parent"), *totals, *merged)
+
+    def surface(chord: Column) -> Column:
+        return F.lit(2 * geo.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), chord / 2))
+
+    per_center = Window.partitionBy("center_id")
+    rows = _touched(centers, outer, top).withColumn("counted", F.lit(False)).join(occupancy(top, top), "cell")
+    parts: list[DataFrame] = []
+    for i, bits in enumerate(levels):
+        near, far = _bounds(F.col)
+        judged = rows.select(*CENTER, "cell", "n", "first", "counted", near.alias("near"), far.alias("far")).filter(F.col("counted") | (F.col("near") <= outer))
+        judged = judged.withColumn("inside", F.col("counted") | (F.col("far") <= inner))
+        sure = F.max(F.when(F.col("inside"), surface(F.col("near")) / margin)).over(per_center)
+        judged = cut_lineage(judged.withColumn("sure", sure))
+        whole = judged.filter("inside AND NOT counted").groupBy("center_id").agg(F.sum("n").alias("hits"), F.min("first").alias("first_id"))
+        parts.append(whole.withColumn("farthest_km", F.lit(None).cast("double")))
+        in_play = ~F.col("inside") | (surface(F.col("far")) * margin + SLACK * geo.EARTH_RADIUS_KM >= F.col("sure"))
+        rest = judged.filter(in_play).select(*CENTER, "cell", F.col("inside").alias("counted"))
+        if i + 1 < len(levels):
+            children = occupancy(levels[i + 1], bits).withColumnsRenamed({"cell": "child", "parent": "cell"})
+            rows = rest.join(children, "cell").drop("cell").withColumnRenamed("child", "cell")
+    spots = sites.select(_cell(levels[-1]).alias("cell"), "id", "latitude", "longitude")
+    pairs = salted_join(spots, rest, ["cell"], "id", hot_rows)
+    km = _distance(method)(F.col("latitude"), F.col("longitude"), F.col("center_lat"), F.col("center_lon"))
+    pairs = pairs.withColumn("km", km).filter(F.col("counted") | (F.col("km") <= radius_km))
+    new = ~F.col("counted")
+    parts.append(pairs.groupBy("center_id").agg(F.count_if(new).alias("hits"), F.min(F.when(new, F.col("id"))).alias("first_id"), F.max("km").alias("farthest_km")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("center_id").agg(F.sum("hits").alias("hits"), F.min("first_id").alias("first_id"), F.max("farthest_km").alias("farthest_km"))
+
+
+def _usual_bits(finest: DataFrame, top: int, leaf_sites: int) -> int:
+    """The coarsest grid level from ``top`` on at which an occupied cell holds no more than ``leaf_sites`` points on average."""
+    options = list(range(top, FINEST + 1, LEVEL_STEP))
+    cells = finest.select("n", *[_cell(bits).alias(f"c{bits}") for bits in options])
+    used = cells.agg(F.sum("n").alias("n"), *[F.approx_count_distinct(f"c{bits}").alias(f"c{bits}") for bits in options]).first()
+    return next((bits for bits in options if (used["n"] or 0) <= leaf_sites * used[f"c{bits}"]), options[-1])
+
+
 # --- polygons and boxes ---------------------------------------------------------------------------
 
 
