@@ -235,7 +235,7 @@ def count_within(
     outer, inner = geo.chord(radius_km * margin) + SLACK, geo.chord(radius_km / margin) - SLACK
     sites = points.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude")
     sites = sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
-    sites = cut_lineage(sites.withColumns({f"i{v}": geo.axis_index(F.col(v), FINEST) for v in "xyz"}))
+    sites = sites.withColumns({f"i{v}": geo.axis_index(F.col(v), FINEST) for v in "xyz"})
     sides = [f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
     boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
     merged = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
@@ -279,11 +279,11 @@ def count_within(
 
 
 def _usual_bits(finest: DataFrame, top: int, leaf_sites: int) -> int:
-    """The coarsest grid level from ``top`` on at which an occupied cell holds no more than ``leaf_sites`` points on average."""
-    options = list(range(top, FINEST + 1, LEVEL_STEP))
-    cells = finest.select("n", *[_cell(bits).alias(f"c{bits}") for bits in options])
-    used = cells.agg(F.sum("n").alias("n"), *[F.approx_count_distinct(f"c{bits}").alias(f"c{bits}") for bits in options]).first()
-    return next((bits for bits in options if (used["n"] or 0) <= leaf_sites * used[f"c{bits}"]), options[-1])
+    """A level from ``top`` on at which an occupied cell holds about ``leaf_sites`` points; on a surface, a bit quarters a cell's points."""
+    cells = finest.groupBy(_cell(top)).agg(F.sum("n").alias("n"))
+    usual = cells.agg(F.avg("n")).first()[0] or 1.0
+    steps = math.ceil(max(0.0, math.log(usual / leaf_sites, 4)) / LEVEL_STEP)
+    return min(top + LEVEL_STEP * steps, FINEST)
 
 
 # --- polygons and boxes ---------------------------------------------------------------------------
