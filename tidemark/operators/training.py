@@ -57,10 +57,37 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, see
 
 
 def fold_of(key: str, folds: int, seed: int = 42) -> Column:
-    """Fold number from the key's hash; classes spread evenly over folds."""
+    """Fold number from the key's hash: no pass over the data, sizes even on average."""
     return F.pmod(F.conv(F.substring(_digest(key, seed), 9, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
 
 
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """The rows with a column ``fold``; within each class, null included, fold sizes differ by at most one.
+
+    A class is dealt by hash of the key: counts per (class, hash bucket) place the borders between folds, and only the rows of
+    the buckets that hold a border, at most ``folds - 1`` a class, are ranked.
+    """
+    rows = df.withColumn("__digest", _digest(key, seed))
+    rows = rows.withColumn("__bucket", F.conv(F.substring(F.col("__digest"), 1, 4), 16, 10).cast("int"))
+    counts = rows.groupBy(F.col(label).alias("__class"), "__bucket").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("__class")
+    below = F.sum("n").over(w.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    counts = counts.select("__class", "__bucket", "n", below.alias("below"), F.sum("n").over(w).alias("total"))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(max(1, folds - 1))), lambda j: F.ceil(j * F.col("total") / F.lit(folds)))
+    inside = F.filter(starts, lambda at: (at >= F.col("below")) & (at < F.col("below") + F.col("n")) & F.lit(folds > 1))
+    marks = counts.select("__class", F.explode(F.transform(inside, lambda at: F.struct(F.col("__bucket").alias("b"), (at - F.col("below")).alias("first")))).alias("mark"))
+    marks = cut_lineage(marks.groupBy("__class").agg(F.collect_list("mark").alias("__marks")))  # one row per class
+    if marks.count() <= BROADCAST_CLASSES:
+        marks = F.broadcast(marks)
+    placed = rows.join(marks, F.col(label).eqNullSafe(F.col("__class")), "left").withColumn("__marks", F.coalesce("__marks", F.array()))
+    passed = F.size(F.filter("__marks", lambda m: m["b"] < F.col("__bucket")))
+    cut = F.exists("__marks", lambda m: m["b"] == F.col("__bucket"))
+    ranked = placed.filter(cut).withColumn("__rank", F.row_number().over(Window.partitionBy(label, "__bucket").orderBy("__digest", key)) - 1)
+    within = F.size(F.filter("__marks", lambda m: (m["b"] == F.col("__bucket")) & (m["first"] <= F.col("__rank"))))
+    out = placed.filter(~cut).withColumn("fold", passed).select(*df.columns, "fold")
+    return out.unionByName(ranked.withColumn("fold", passed + within).select(*df.columns, "fold"))
+
+
 def time_folds(df: DataFrame, ts: str, cuts: list[str]) -> list[tuple[DataFrame, DataFrame]]:
     """Expanding windows: train before each cut, test from it to the next."""
     out = []
@@ -139,7 +166,7 @@ def importances(model: Model, names: list[str]) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, est, key: str, folds: int = 5, grid: list | None = None, parallelism: int = 4) -> CrossValidatorModel:
-    """K-fold accuracy with hashed folds; ``avgMetrics`` and population ``stdMetrics`` per parameter set."""
+    """K-fold accuracy, folds stratified by label; ``avgMetrics`` and population ``stdMetrics`` per parameter set."""
     scorer = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     cv = CrossValidator(
         estimator=est,
@@ -149,7 +176,7 @@ def cross_validate(df: DataFrame, est, key: str, folds: int = 5, grid: list | No
         foldCol="fold",
         parallelism=parallelism,
     )
-    return cv.fit(vectors(df).withColumn("fold", fold_of(key, folds)))
+    return cv.fit(vectors(cut_lineage(stratified_folds(df, key, "label", folds))))
 
 
 def grid(est, **choices: list):

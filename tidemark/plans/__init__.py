@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("quality", "relational", "features", "geospatial", "sky_text", "vector_graph", "models", "storage")
+AREAS = ("quality", "relational", "features", "geospatial", "sky_text", "vector_graph", "models", "evaluation", "storage")
 
 
 def load_all() -> None:

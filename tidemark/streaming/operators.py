@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -156,11 +157,12 @@ class SlidingLog(StatefulProcessor):
         self.last = handle.getValueState("last", "us long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = [r[0] for r in self.log.get()] if self.log.exists() else []
+        log = deque(r[0] for r in self.log.get()) if self.log.exists() else deque()
         batch, late = _in_time(rows, tuple(self.last.get()) if self.last.exists() else None)
         timely, allowed = batch[~late], []
         for us in timely["us"].tolist():
-            log = [x for x in log if x > us - self.width]
+            while log and log[0] <= us - self.width:
+                log.popleft()
             ok = len(log) < self.limit
             if ok:
                 log.append(us)
