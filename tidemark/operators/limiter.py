@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, travels
+
+travels(__name__)
 
 MICROS = 1_000_000
 LONG_RUN = 100_000  # calls; only the way of computing changes beyond it

@@ -123,6 +123,28 @@ def partitioned_write(t):
     return back.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_type(t, suffix):
+    path = scratch_path(t.spark, "typed") + suffix
+    files.write_table(t.events.select("event_id", "event_type", (F.col("user_id") % 8).cast("int").alias("shard")), path, partition_by=["event_type", "shard"])
+    back = files.read_table(t.spark, path)
+    return back.groupBy("event_type", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").cast("bigint").alias("ids"))
+
+
+_TYPED_SQL = "SELECT event_type, CAST(user_id % 8 AS INTEGER) AS shard, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2"
+
+
+@query("partitioned_arrow", "S6 S8", _TYPED_SQL)
+def partitioned_arrow(t):
+    """Events written as Arrow files by type and shard of users, read back with the folders as columns."""
+    return _by_type(t, ".feather")
+
+
+@query("partitioned_json", "S4 S8", _TYPED_SQL)
+def partitioned_json(t):
+    """The same as JSON arrays, one or more whole arrays in each folder."""
+    return _by_type(t, ".json")
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 

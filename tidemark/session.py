@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -18,6 +20,11 @@ DEFAULTS = {
 }
 
 
+def travels(module: str) -> None:
+    """What tasks use of a module is sent with them, so workers need not be able to import it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def build_session(app: str = "tidemark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators were tuned for; cluster sizing stays with spark-submit."""
     builder = SparkSession.builder.appName(app)

@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.stages import Stage
 from tidemark.operators.validate import Validation
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, travels
+
+travels(__name__)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
