@@ -190,10 +190,23 @@ def _case(key, table):
 _SOURCES_JSON = {k: "[" + ",".join(f'"{s}"' for s in v) + "]" for k, v in text.DOMAIN_SOURCES.items()}
 
 
-@query(
-    "answer_questions",
-    "G4",
-    f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+def asked_and_documents(t):
+    """User turns as questions with an embedding, and the documents of the vector tables."""
+    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    tail = F.get(F.array(*[F.lit(s) for s in (" drought ahead?", " any asteroid?", " forest loss?", " chandrayaan?", "")]), (F.col("conv_id") % 5).cast("int"))
+    asked = t.conversations.filter("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        F.concat("text", tail).alias("query"),
+        ((F.col("conv_id") * 13 + F.col("turn") * 7) % n).alias("vec_id"),
+    )
+    vectors = t.embeddings.select("vec_id", "embedding")
+    docs = vectors.select(
+        F.col("vec_id").alias("id"), "embedding", F.get(F.array(*[F.lit(x) for x in _TABLES]), (F.col("vec_id") % len(_TABLES)).cast("int")).alias("vector_table")
+    )
+    return asked.join(vectors, "vec_id").drop("vec_id"), docs
+
+
+_FOUND_SQL = f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
     q0 AS (SELECT c.conv_id * 1000 + c.turn AS query_id, c.text || CASE c.conv_id % 5 WHEN 0 THEN ' drought ahead?' WHEN 1 THEN ' any asteroid?' WHEN 2 THEN ' forest loss?' WHEN 3 THEN ' chandrayaan?' ELSE '' END AS query,
         (c.conv_id * 13 + c.turn * 7) % n.n AS vid FROM conversations c, n WHERE role = 'user'),
     q AS (SELECT query_id, query, embedding, {_DOMAIN} AS domain FROM q0 JOIN embeddings ON vid = vec_id),
@@ -201,7 +214,13 @@ _SOURCES_JSON = {k: "[" + ",".join(f'"{s}"' for s in v) + "]" for k, v in text.D
     d AS (SELECT vec_id AS id, embedding, ['{"', '".join(_TABLES)}'][1 + vec_id % {len(_TABLES)}] AS tb FROM embeddings),
     s AS (SELECT query_id, round(list_cosine_similarity(r.embedding::DOUBLE[], d.embedding::DOUBLE[]), 12) AS sim, row_number() OVER (PARTITION BY query_id
         ORDER BY round(list_cosine_similarity(r.embedding::DOUBLE[], d.embedding::DOUBLE[]), 12) DESC, id) AS rn FROM r JOIN d ON r.tb = d.tb),
-    h AS (SELECT query_id, count(*) AS records, round(max(sim), 3) AS best FROM s WHERE sim > 0.3 AND rn <= 5 GROUP BY query_id),
+    h AS (SELECT query_id, count(*) AS records, round(max(sim), 3) AS best FROM s WHERE sim > 0.3 AND rn <= 5 GROUP BY query_id)"""
+
+
+@query(
+    "answer_questions",
+    "G4",
+    f"""{_FOUND_SQL},
     p AS (SELECT r.query_id, domain, {_case('domain', text.DOMAIN_AGENT)} AS agent, coalesce(records, 0) AS records, best,
         CASE WHEN coalesce(records, 0) > 1 THEN 'likely' ELSE 'unlikely' END AS label, CAST(r.query_id % 101 AS INTEGER) AS pc, CAST(r.query_id % 51 AS INTEGER) AS sv FROM r LEFT JOIN h USING (query_id)),
     x AS (SELECT *, CASE WHEN records > 0 THEN ' Analysis backed by ' || records || ' historical records.' ELSE '' END AS note,
@@ -216,17 +235,7 @@ _SOURCES_JSON = {k: "[" + ",".join(f'"{s}"' for s in v) + "]" for k, v in text.D
 )
 def answer_questions(t):
     """Every user turn as a question: domain, retrieved records, evidence hash and answer."""
-    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
-    tail = F.get(F.array(*[F.lit(s) for s in (" drought ahead?", " any asteroid?", " forest loss?", " chandrayaan?", "")]), (F.col("conv_id") % 5).cast("int"))
-    asked = t.conversations.filter("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.concat("text", tail).alias("query"),
-        ((F.col("conv_id") * 13 + F.col("turn") * 7) % n).alias("vec_id"),
-    )
-    vectors = t.embeddings.select("vec_id", "embedding")
-    docs = vectors.select(
-        F.col("vec_id").alias("id"), "embedding", F.get(F.array(*[F.lit(x) for x in _TABLES]), (F.col("vec_id") % len(_TABLES)).cast("int")).alias("vector_table")
-    )
+    asked, docs = asked_and_documents(t)
 
     def predict(rows):
         k = F.col("query_id")
@@ -240,7 +249,7 @@ def answer_questions(t):
             }
         )
 
-    return questions.answer(asked.join(vectors, "vec_id").drop("vec_id"), docs, predict)
+    return questions.answer(asked, docs, predict)
 
 
 @query(
