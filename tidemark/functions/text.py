@@ -116,6 +116,7 @@ def spaced(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 
 
+# The sentence texts.
 def attribution_sentence(top: Column) -> Column:
     """``x increased the prediction. y decreased the prediction.`` from the first two entries."""
     parts = F.transform(
@@ -125,6 +126,7 @@ def attribution_sentence(top: Column) -> Column:
     return F.when(F.size(top) > 0, F.concat(F.array_join(parts, ". "), F.lit("."))).otherwise("No feature attribution available.")
 
 
+# The sentence texts.
 def key_factors(top: Column) -> Column:
     """`` Key factors: x (positive impact), ...`` from the first three entries, or nothing."""
     parts = F.transform(
@@ -138,6 +140,7 @@ def percent0(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
+# The sentence texts.
 def answer(dom: Column, label: Column, confidence: Column, severity: Column, top: Column, records: Column) -> Column:
     """The answer sentence of each domain."""
     factors = key_factors(top)

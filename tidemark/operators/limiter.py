@@ -27,7 +27,7 @@ from tidemark.session import cut_lineage, travels
 travels(__name__)
 
 MICROS = 1_000_000
-LONG_RUN = 100_000  # calls; only the way of computing changes beyond it
+LONG_RUN = 5_000_000  # calls, some ten seconds of one task; only the way of computing changes beyond it
 
 
 def _micros(df: DataFrame, ts: str):
