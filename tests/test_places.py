@@ -98,3 +98,17 @@ def test_boxes_leave_few_cells():
     for i in range(0, 4000, 97):
         square = ((v[i] - v) ** 2).sum(axis=1)
         assert set(leaf[np.argsort(square)[:6]]) <= set(np.flatnonzero(hit[i])) and np.sort(square)[5] <= bound[i]
+
+
+def test_ellipsoid_steps_stop_once_settled_with_the_same_distance(spark):
+    from tidemark.functions import geo
+
+    rng = np.random.default_rng(10)
+    rows = [tuple(map(float, r)) for r in np.stack([rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)], axis=1)]
+    rows += [(10.0, 20.0, -10.0, -160.0), (0.0, 0.0, 0.0, 179.9), (5.0, 5.0, 5.0, 5.0), (90.0, 0.0, -90.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    km = [F.col(c) for c in "abcd"]
+    out = df.select(geo.geodesic_km(*km).alias("few"), geo.geodesic_km(*km, steps=40).alias("many"))
+    # where the steps settle, further ones change nothing; where they do not, the great circle stands in both times
+    assert all(r["few"] == r["many"] for r in out.collect())
+    assert "move = 0.0" in out._jdf.queryExecution().toString() or "move#" in out._jdf.queryExecution().toString()

@@ -94,9 +94,12 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, steps: i
         end = F.aggregate(
             F.array_repeat(F.lit(0), steps),
             start,
-            lambda st, _: _let(
-                F.struct(st["lam"].alias("old"), next_lambda(k, st["lam"]).alias("new")),
-                lambda p: F.struct(p["new"].alias("lam"), F.abs(p["new"] - p["old"]).alias("move")),
+            # a longitude that gives itself again stays, so the steps left have nothing to do
+            lambda st, _: F.when(st["move"] == 0.0, st).otherwise(
+                _let(
+                    F.struct(st["lam"].alias("old"), next_lambda(k, st["lam"]).alias("new")),
+                    lambda p: F.struct(p["new"].alias("lam"), F.abs(p["new"] - p["old"]).alias("move")),
+                )
             ),
         )
         return _let(end, lambda e: F.when(e["move"] < 1e-9, distance(k, e["lam"])))
