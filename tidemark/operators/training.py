@@ -166,7 +166,10 @@ def importances(model: Model, names: list[str]) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, est, key: str, folds: int = 5, grid: list | None = None, parallelism: int = 4) -> CrossValidatorModel:
-    """K-fold accuracy, folds stratified by label; ``avgMetrics`` and population ``stdMetrics`` per parameter set."""
+    """K-fold accuracy, folds stratified by label; ``avgMetrics`` and population ``stdMetrics`` per parameter set.
+
+    The rows are written before they are dealt, because dealing them reads them three times.
+    """
     scorer = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     cv = CrossValidator(
         estimator=est,
@@ -176,7 +179,7 @@ def cross_validate(df: DataFrame, est, key: str, folds: int = 5, grid: list | No
         foldCol="fold",
         parallelism=parallelism,
     )
-    return cv.fit(vectors(cut_lineage(stratified_folds(df, key, "label", folds))))
+    return cv.fit(vectors(cut_lineage(stratified_folds(cut_lineage(df), key, "label", folds))))
 
 
 def grid(est, **choices: list):

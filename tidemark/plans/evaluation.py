@@ -6,7 +6,7 @@ from tidemark.functions import labels, text
 from tidemark.operators import cluster, monitor, questions, tools, training
 from tidemark.plans import models
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import synth
 
 
@@ -107,7 +107,7 @@ def regression_baseline(t):
 )
 def grid_folds(t):
     """A grid of a stump and a tree: fold sizes, accuracy against the commonest class, and the setting chosen."""
-    rows = models._land(t)
+    rows = cut_lineage(models._land(t))  # read for the folds, their sizes and the commonest class
     est = training.estimator("random_forest", 4, seed=42, numTrees=10)
     grid = training.grid(est, maxDepth=[1, 6])
     cv = training.cross_validate(rows, est, "id", 5, grid)
