@@ -172,6 +172,18 @@ def test_large_clusters_become_groups(spark, monkeypatch):  # noqa: F811
     assert ngram_join._visits(active, 85).count() < ngram_join._visits(active.withColumn("group", F.col("block")), 85).count() / 3
 
 
+def test_a_common_passage_makes_few_visits(spark, monkeypatch):  # noqa: F811
+    """Most of every text is one passage, the rest is shared by few texts: groups of the passage are not all visited."""
+    made, tasks = [], ngram_join._tasks
+    monkeypatch.setattr(ngram_join, "_tasks", lambda active, visits, alone: made.append(visits.count()) or tasks(active, visits, alone))
+    passage, parts = [f"p{i}" for i in range(70)], [[f"q{k}_{i}" for i in range(10)] for k in range(163)]
+    texts = {i: " ".join(passage + sum(parts[i : i + 4], [])) for i in range(160)} | {160 + i: " ".join(passage + sum(parts[i : i + 4], []) + [f"x{i}"]) for i in range(8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(df, block=8).collect()}
+    assert got == {i: x[:2] for i, x in _components(texts).items()}
+    assert made[0] <= 4 * len(texts)
+
+
 def test_one_of_each_goes_by_text(spark):  # noqa: F811
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a, 0), (1, b, 1), (2, a, 2), (None, c, 3), (None, c + " end", 4), (None, c, 5), (3, None, 6), (3, None, 7), (None, " ", 8), (4, b + " z", 9), (4, b + " z", 10)]

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Texts become sets of hashed word shingles. Equal sets are one node. Similar nodes are partitioned into
-groups, the matrix keeps which tokens occur in any member of a group, the overlap of a query with a group's
-token union bounds its overlap with every member, and only groups that pass the bound are opened.
+groups, the matrix keeps which tokens occur in any member of a group, what a query shares with a group's
+tokens bounds its overlap with every member, and only groups that pass the bound are opened.
 
 1. Screen. Tokens are ordered by hash. A set of ``n`` tokens that must share ``need = ceil(t n)`` of them with a
    partner shares at least ``1 + r * need`` of its first ``n - need + 1 + r * n`` tokens with the same head of the
@@ -12,8 +12,11 @@ token union bounds its overlap with every member, and only groups that pass the
    into blocks of about ``BLOCK`` sets, so no group has to fit a task. Members of a block meet each other. Parts of
    at least ``PIECE`` connected sets send one set each to further blocks of their group, until one block holds all that
    are sent. A component that spans several blocks then becomes a group of its own; what is in it needs no more meeting.
-3. Bound. Head tokens are joined with the matrix rows ``(token, group)``; a set visits the groups of lower number in
-   whose union it finds enough of its tokens. Every pair of similar sets that is not connected yet is met exactly once.
+3. Bound. A set goes on if enough of its head tokens, then ``need`` tokens of the whole set, occur in other groups. In the order
+   of how many sets hold them, the first token that two similar sets share is among the ``s - need + 1`` rarest of the ``s``
+   tokens that each has left. Only these are joined with the matrix rows ``(token, group)``, so what very many sets hold, as
+   a passage does, is not met by all of them; a set visits the groups of lower number with such a token in a set of fitting
+   size. Every pair of similar sets that is not connected yet is met exactly once.
    Where tokens are counted, the rows of one that is hot in a sample of the sets are dealt to many tasks; no result depends
    on the sample.
 4. Open. The members of a group, a block at a time, meet its visitors: a last bound on whole sets, then exact
@@ -99,8 +102,9 @@ def _head(n: int, percent: int, r: int) -> int:
 
 
 def _enough(n: Column, percent: int, r: int) -> Column:
-    """Tokens of its head that a set of ``n`` must share with any partner."""
-    return 1 + F.floor(F.ceil(n * percent / 100) / r)
+    """Tokens of its head that a set of ``n`` must share with any partner; with an ``r`` of 1, tokens of the whole set."""
+    need = F.ceil(n * percent / 100)
+    return F.least(need, 1 + F.floor(need / r))
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -163,14 +167,14 @@ def _screen(heads: DataFrame, sample: DataFrame, percent: int, r: int) -> DataFr
     return found.filter(F.col("s") >= _enough(F.col("n"), percent, r)).drop("s")
 
 
-def _wide_heads(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, n, head`` of the texts."""
+def _heads(texts: DataFrame, width: int, percent: int, r: int) -> DataFrame:
+    """``node, n, head`` of the texts; with an ``r`` of 1 the head is the whole set."""
 
     def work(batches):
         hashes = _Hashes()
         for pdf in batches:
             found = [shingles(t, width, hashes) for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "n": [len(s) for s in found], "head": [s[: _head(len(s), percent, WIDE)].view(np.int64) for s in found]})
+            yield pd.DataFrame({"node": pdf["node"], "n": [len(s) for s in found], "head": [s[: _head(len(s), percent, r)].view(np.int64) for s in found]})
 
     return texts.select("node", "text").mapInPandas(work, "node long, n long, head array<long>")
 
@@ -297,7 +301,7 @@ def _blocks(docs: DataFrame, nodes: DataFrame, width: int, percent: int, block:
     rows = docs.select(F.col("doc_id").alias("id"), text.alias("text"), *(k.alias(f"own_{k_}") for k, k_ in zip(_text_key(text), ("t1", "t2"))))
     own = F.col("id").eqNullSafe(F.col("rep")) & (F.col("own_t1") == F.col("t1")) & (F.col("own_t2") == F.col("t2"))
     texts = cut_lineage(rows.join(first, own).select("node", "copies", "text").dropDuplicates(["node"]))
-    wide = lambda rows: _wide_heads(rows, width, percent).select("node", "n", F.explode("head").alias("t"))
+    wide = lambda rows: _heads(rows, width, percent, WIDE).select("node", "n", F.explode("head").alias("t"))
     active = cut_lineage(_screen(wide(texts), wide(_sampled(texts)), percent, WIDE))
     return cut_lineage(_dealt_blocks(active, block)), texts
 
@@ -335,16 +339,36 @@ def _contracted(active: DataFrame, texts: DataFrame, width: int, percent: int, b
     return cut_lineage(rows.join(spread, "component", "left").withColumn("group", group).drop("component", "wide")), found
 
 
-def _visits(active: DataFrame, percent: int) -> DataFrame:
-    """``node, host``: the groups of lower number whose token union a set overlaps enough."""
+def _spread(active: DataFrame, percent: int, r: int) -> DataFrame:
+    """The sets with enough ``shared`` tokens that occur in several groups; only these tokens, rarest first.
+
+    A token that is hot in the sample is taken to be in several, and how often it was seen there stands for its count.
+    """
     columns = lambda rows: rows.select("node", "n", "group", F.explode("shared").alias("t"))
     rows, by_token = _dealt(columns(active), _hot(columns(_sampled(active))))
-    rows = rows.withColumns({"lo": F.min("group").over(by_token), "hi": F.max("group").over(by_token)})
-    spread = cut_lineage(rows.filter("deal IS NOT NULL OR lo < hi").select("node", "n", "group", "t"))
-    matrix = spread.select("t", F.col("group").alias("host")).distinct()
-    hits = spread.join(matrix, "t").filter("host < group").groupBy("node", "n", "group", "host").count()
-    passed = hits.filter(F.col("count") >= _enough(F.col("n"), percent, WIDE))
-    return cut_lineage(passed.select("node", "host"))
+    df = F.coalesce(F.floor(F.col("deal") / SALTS) * SAMPLE, F.count(F.lit(1)).over(by_token))
+    rows = rows.withColumns({"df": df, "lo": F.min("group").over(by_token), "hi": F.max("group").over(by_token)})
+    found = rows.filter("deal IS NOT NULL OR lo < hi").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("group").alias("group"), F.sort_array(F.collect_list(F.struct("df", "t")))["t"].alias("shared")
+    )
+    return cut_lineage(found.filter(F.size("shared") >= _enough(F.col("n"), percent, r)))
+
+
+def _whole(active: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The sets whose heads share enough with other groups, ``shared`` being all of their tokens."""
+    near = _spread(active, percent, WIDE).select("node", "group")
+    sets_ = _heads(texts.join(near, "node", "left_semi"), width, percent, 1).withColumnRenamed("head", "shared")
+    return cut_lineage(sets_.join(near, "node"))
+
+
+def _visits(active: DataFrame, percent: int, r: int = WIDE) -> DataFrame:
+    """``node, host``: the groups of lower number in which a set of fitting size shares one of a set's rarest tokens."""
+    n, enough = F.col("n"), _enough(F.col("n"), percent, r)
+    rare = F.slice("shared", F.lit(1), (F.size("shared") - enough + 1).cast("int"))
+    rows = _spread(active, percent, r).select("node", "n", "group", F.explode(rare).alias("t"))
+    matrix = rows.groupBy("t", F.col("group").alias("host")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least"))
+    return cut_lineage(rows.join(matrix, "t").filter((F.col("host") < F.col("group")) & fits).select("node", "host").distinct())
 
 
 def _tasks(active: DataFrame, visits: DataFrame, alone: bool) -> DataFrame:
@@ -368,7 +392,7 @@ def _found(active: DataFrame, texts: DataFrame, width: int, percent: int, block:
         active, found = active.withColumn("group", F.col("block")), None
     else:
         active, found = _contracted(active, texts, width, percent, block)
-    tasks = _tasks(active, _visits(active, percent), count_links)
+    tasks = _tasks(active, _visits(_whole(active, texts, width, percent), percent, 1), count_links)
     more = cut_lineage(_open(tasks, texts, width, percent, block, count_links))
     return more if found is None else found.unionByName(more)
 
