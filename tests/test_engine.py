@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import astro, hashing, text, vectors
-from tidemark.operators import graph, relational, vector
+from tidemark.operators import graph, limiter, relational, vector
 from tidemark.plans import registry
 from tidemark.session import scratch_path
 from tidemark.sources import files
@@ -224,6 +224,32 @@ def test_stream_replays_equal_batch(spark):
     assert got == want
 
 
+def test_stream_keys_share_calls_and_states(spark, monkeypatch):
+    """Many keys, one of them null, pass a state machine in few calls, over several micro-batches, with the batch answer."""
+    import datetime as dt
+
+    class Counting(st.SlidingLog):
+        def handleInputRows(self, key, rows, timerValues):
+            for out in super().handleInputRows(key, rows, timerValues):
+                yield out.assign(us=out["key"].nunique(dropna=False))
+
+    monkeypatch.setattr(st, "BUCKETS", 2, raising=False)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(None if i % 30 == 0 else i % 30, i, start + dt.timedelta(minutes=7 * i)) for i in range(360)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    base = scratch_path(spark, "keys")
+    for part in range(3):
+        df.filter(F.col("event_id").between(part * 120, part * 120 + 119)).coalesce(1).write.mode("append").parquet(base)
+    stream = lambda: st.read_stream(spark, base, df.schema, "ts", files_per_trigger=1)
+    with st.with_rocksdb(spark):
+        seen = st.run_available(st.limited(stream(), "ts", st.SlidingLog(2, 8 * 3_600_000_000)), "shared")
+        together = st.run_available(st.limited(stream(), "ts", Counting(2, 8 * 3_600_000_000)), "counted")
+    out = st.settled(seen, lambda e: limiter.sliding_log(e, "key", "event_id", "ts", 2, 8 * 3600))
+    want = limiter.sliding_log(df, "user_id", "event_id", "ts", 2, 8 * 3600)
+    assert {(r["event_id"], r["allowed"]) for r in out.collect()} == {(r["event"], r["allowed"]) for r in want.collect()}
+    assert together.count() == 360 and together.agg(F.min("us")).first()[0] > 5
+
+
 def test_late_rows_are_dropped(spark):
     import datetime as dt
 

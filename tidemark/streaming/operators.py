@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tidemark.session import scratch_path, travels
 
 travels(__name__)
 
+BUCKETS = 2048  # groups that the keys of a state machine are dealt to by hash; fixed, as a restarted stream must find its states
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -135,85 +137,91 @@ def scored(stream: DataFrame, stage: Stage, expression: Column, name: str = "sco
     return stage.transform(stream).withColumn(name, expression)
 
 
-def _in_time(rows: Iterator[pd.DataFrame], last: tuple[int, int] | None) -> tuple[pd.DataFrame, pd.Series]:
-    """One key's rows of one micro-batch (whose size the trigger bounds) in time order, and which come after ``last``."""
-    batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-    late = [last is not None and at < last for at in zip(batch["us"].tolist(), batch["event_id"].tolist())]
-    return batch, pd.Series(late, index=batch.index, dtype=bool)
+class Limiter(StatefulProcessor):
+    """A state machine a key. The keys of a bucket keep their states in one list, which a micro-batch reads and writes once.
 
+    A state is ``[us, event_id, ...]``: the last call and what the limiter remembers (``MEMORY``).
+    """
+
+    MEMORY: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", f"key string, us long, event_id long, {self.MEMORY}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """The rows of one micro-batch (whose size the trigger bounds), those of each key in time order."""
+        batch = pd.concat(list(rows))
+        code = pd.factorize(batch["key"], use_na_sentinel=False)[0]
+        batch = batch.iloc[np.lexsort((batch["event_id"], batch["us"], code))]
+        states = {r[0]: list(r[1:]) for r in self.kept.get()} if self.kept.exists() else {}
+        names = [k if isinstance(k, str) else None for k in batch["key"].tolist()]
+        allowed, late = [], []
+        for name, us, event in zip(names, batch["us"].tolist(), batch["event_id"].tolist()):
+            state = states.get(name)
+            if state is None:
+                state = states[name] = self.start()
+            late.append(state[0] is not None and (us, event) < (state[0], state[1]))
+            allowed.append(None if late[-1] else self.decide(state, us))
+            if not late[-1]:
+                state[0], state[1] = int(us), int(event)
+        self.kept.put([(name, *state) for name, state in states.items()])
+        yield pd.DataFrame({"key": names, "event_id": batch["event_id"].to_numpy(), "us": batch["us"].to_numpy(), "allowed": pd.Series(allowed, dtype=object), "late": late})
+
+    def close(self) -> None:
+        pass
 
-def _decided(key, batch: pd.DataFrame, late: pd.Series, allowed: list[bool]) -> pd.DataFrame:
-    out = pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "us": batch["us"], "allowed": None, "late": late})
-    out.loc[~late, "allowed"] = allowed
-    return out
 
+class SlidingLog(Limiter):
+    """Allowed while fewer than ``limit`` allowed calls lie in the window; a key remembers those instants."""
 
-class SlidingLog(StatefulProcessor):
-    """Allowed while fewer than ``limit`` allowed calls lie in the window; the state is those instants and the last call."""
+    MEMORY = "log array<long>"
 
     def __init__(self, limit: int, window_micros: int):
         self.limit, self.width = limit, window_micros
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("log", "us long")
-        self.last = handle.getValueState("last", "us long, event_id long")
+    def start(self) -> list:
+        return [None, None, []]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = deque(r[0] for r in self.log.get()) if self.log.exists() else deque()
-        batch, late = _in_time(rows, tuple(self.last.get()) if self.last.exists() else None)
-        timely, allowed = batch[~late], []
-        for us in timely["us"].tolist():
-            while log and log[0] <= us - self.width:
-                log.popleft()
-            ok = len(log) < self.limit
-            if ok:
-                log.append(us)
-            allowed.append(ok)
-        if len(timely):
-            self.log.put([(int(x),) for x in log])
-            self.last.update((int(timely["us"].iloc[-1]), int(timely["event_id"].iloc[-1])))
-        yield _decided(key, batch, late, allowed)
+    def decide(self, state: list, us: int) -> bool:
+        log = state[2]
+        gone = bisect_right(log, us - self.width)
+        if gone:
+            log = state[2] = log[gone:]
+        ok = len(log) < self.limit
+        if ok:
+            log.append(int(us))
+        return ok
 
-    def close(self) -> None:
-        pass
 
+class TokenBucket(Limiter):
+    """Refill by rate up to the burst, one token per call; a key remembers its level."""
 
-class TokenBucket(StatefulProcessor):
-    """Refill by rate up to the burst, one token per call; the state is the level and the last call."""
+    MEMORY = "tokens double"
 
     def __init__(self, per_minute: float, burst: int):
         self.rate, self.burst = per_minute / 60.0, float(burst)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, us long, event_id long")
+    def start(self) -> list:
+        return [None, None, self.burst]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tokens, last, event = self.bucket.get() if self.bucket.exists() else (self.burst, None, None)
-        batch, late = _in_time(rows, None if last is None else (last, event))
-        timely, allowed = batch[~late], []
-        for us, event in zip(timely["us"].tolist(), timely["event_id"].tolist()):
-            if last is not None:
-                tokens = min(self.burst, tokens + (us - last) / 1e6 * self.rate)
-            last = us
-            ok = tokens >= 1
-            tokens -= 1 if ok else 0
-            allowed.append(ok)
-        if len(timely):
-            self.bucket.update((float(tokens), int(last), int(event)))
-        yield _decided(key, batch, late, allowed)
-
-    def close(self) -> None:
-        pass
+    def decide(self, state: list, us: int) -> bool:
+        tokens = state[2]
+        if state[0] is not None:
+            tokens = min(self.burst, tokens + (us - state[0]) / 1e6 * self.rate)
+        ok = tokens >= 1
+        state[2] = float(tokens - (1 if ok else 0))
+        return ok
 
 
 def limited(stream: DataFrame, ts: str, processor: StatefulProcessor, key: str = "user_id", event: str = "event_id") -> DataFrame:
     """``(key, event_id, us, allowed, late)`` by a keyed state machine.
 
+    Keys are handed to it in ``BUCKETS`` groups, since a call, its frames and its state cost milliseconds however little they hold.
     A row older than what its key has already seen in an earlier micro-batch comes back as late and undecided, so every
     input row comes back; ``settled`` decides it.
     """
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(event).cast("bigint").alias("event_id"), F.unix_micros(ts).alias("us"))
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType="key string, event_id long, us long, allowed boolean, late boolean",
         outputMode="Append",
