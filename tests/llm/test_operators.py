@@ -197,6 +197,19 @@ def test_one_of_each_goes_by_text(spark):  # noqa: F811
     assert all((r["doc_id"], r["text"], r["t1"]) in rows for r in out)
 
 
+def test_one_of_each_moves_its_texts_once(spark):  # noqa: F811
+    broad = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.one_of_each(spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string"))
+        assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d e"), (2, None)]
+        plan = kept._jdf.queryExecution().sparkPlan().toString(), kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broad)
+    assert "SortMergeJoin" in plan[0]
+    assert plan[1].count("Exchange hashpartitioning") == 5  # two for the labels, one for the first rows, one a side of the join
+
+
 def test_join_odd_rows(odd):
     rows = [(r["doc_id"], r["component_id"]) for r in ngram_join.link(odd).collect()]
     assert len(rows) == len(ODD) and set(rows) >= {(1, 1), (5, 5), (6, 5), (7, 3), (None, None)}

@@ -438,10 +438,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, blo
     columns, (id_, t1, t2, row) = docs.columns, free_names(docs.columns, "id", "t1", "t2", "row")
     _, rows = _classes(docs, width, percent, block, False, False)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t1", "t2")).alias("f"))
-    first = first.select(F.col("f.rep").alias(id_), F.col("f.t1").alias(t1), F.col("f.t2").alias(t2))
+    first = first.select(F.struct(F.col("f.rep").alias("id")).alias(id_), F.col("f.t1").alias(t1), F.col("f.t2").alias(t2))
     text = F.col("text").cast("string")
     k1, k2 = _text_key(text)
     none = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.filter(~none).join(first, F.col("doc_id").eqNullSafe(F.col(id_)) & (k1 == F.col(t1)) & (k2 == F.col(t2)))
-    once = kept.groupBy(id_, t1, t2).agg(F.first(F.struct(*columns)).alias(row)).select(f"{row}.*")
+    # an id in a struct equals a null one, too; rows that repeat an id and a text are one before the shuffle, which serves the join as well
+    keyed = docs.filter(~none).groupBy(F.struct(F.col("doc_id").alias("id")).alias(id_), k1.alias(t1), k2.alias(t2))
+    once = keyed.agg(F.first(F.struct(*columns)).alias(row)).join(first, [id_, t1, t2]).select(f"{row}.*")
     return once.unionByName(docs.filter(none))
