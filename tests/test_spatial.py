@@ -207,6 +207,37 @@ def test_counts_within_meet_the_border_only(spark):
     assert met[0].count() < hits / 4
 
 
+def test_counts_within_meet_bags_for_many_centres_at_once(spark, monkeypatch):
+    """Two thousand centres among two thousand points: the last join has rows of bags and areas, not of centres."""
+    rnd = random.Random(11)
+    at = lambda n: [(i, rnd.uniform(0, 5), rnd.uniform(0, 5)) for i in range(n)]
+    points, centers = at(2000), at(2000)
+    met, real = [], spatial.salted_join
+    monkeypatch.setattr(spatial, "salted_join", lambda *a, **k: met.append(out := real(*a, **k)) or out)
+    p, c = spark.createDataFrame(points, "id long, latitude double, longitude double"), spark.createDataFrame(centers, "center_id long, latitude double, longitude double")
+    got = {r["center_id"]: (r["hits"], r["first_id"]) for r in spatial.count_within(p, c, 100.0).collect()}
+    for i, *spot in centers[:50]:
+        hits = [j for j, *q in points if hav(spot, q) <= 100.0]
+        assert got.get(i) == ((len(hits), min(hits)) if hits else None)
+    assert met[0].count() < len(centers)
+
+
+@pytest.mark.parametrize("radius,method", [(0.05, "haversine"), (700.0, "haversine"), (700.0, "geodesic")])
+def test_counts_within_in_small_areas_with_text_ids(spark, monkeypatch, radius, method):
+    monkeypatch.setattr(spatial, "AREA", 8)
+    monkeypatch.setattr(spatial, "TASK_BAGS", 2)
+    points, centers = scattered(300, 6), scattered(60, 7)
+    rows = [(f"p{i}" if i % 9 else None, x, y) for i, x, y in points] + [("a", float("nan"), 1.0), ("b", 1.0, math.inf)]
+    p = spark.createDataFrame(rows, "id string, latitude double, longitude double")
+    c = spark.createDataFrame([*centers, (99, float("nan"), 0.0)], "center_id long, latitude double, longitude double")
+    listed = spatial.within_radius(p.fillna({"id": "~"}).filter("latitude < 91 AND longitude < 181"), c.filter("latitude < 91"), radius, method).groupBy("center_id")
+    listed = listed.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id") != "~", F.col("id"))).alias("first"), F.max("distance_km").alias("km")).collect()
+    got = spatial.count_within(p, c, radius, method, leaf_sites=5, hot_rows=4)
+    assert got.schema["first_id"].dataType.simpleString() == "string"
+    got = {r["center_id"]: (r["hits"], r["first_id"], round(r["farthest_km"], 6)) for r in got.collect()}
+    assert got == {r["center_id"]: (r["n"], r["first"], round(r["km"], 6)) for r in listed}
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_with_salted_spot(spark, k):
     rnd = random.Random(9)

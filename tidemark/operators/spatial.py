@@ -8,8 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.functions import geo
+from tidemark.operators import balls
 from tidemark.operators.skew import HOT_ROWS, salted_join
 from tidemark.operators.windows import neighbour, running_sum
 from tidemark.session import cut_lineage
@@ -219,71 +221,113 @@ def _keep(cand: DataFrame, q_cols: list[str], k: int, reach: float) -> DataFrame
     return rows.filter(F.col("__lb") <= F.col("__bound") + SLACK).select(*q_cols, "__bound", "cell")
 
 
+AREA = 4096  # distinct centres that meet points together
+BAG = 256  # distinct points that are met together
+TASK_BAGS = 4096
+Z_STEPS = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def _in_z_order(spots: DataFrame) -> DataFrame:
+    """Distinct positions dealt by range and sorted along the finest grid, neighbours in space mostly side by side."""
+
+    def apart(v: str) -> Column:
+        x = geo.axis_index(F.col(v), FINEST)
+        for by, mask in Z_STEPS:
+            x = F.transform(F.array(x), lambda y: F.shiftleft(y, by).bitwiseOR(y).bitwiseAND(F.lit(mask)))[0]
+        return x
+
+    units = spots.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
+    z = F.shiftleft(apart("x"), 2).bitwiseOR(F.shiftleft(apart("y"), 1)).bitwiseOR(apart("z"))
+    order = ["__z", "latitude", "longitude"]
+    return units.withColumn("__z", z).select("__z", *spots.columns).repartitionByRange(*order).sortWithinPartitions(*order).drop("__z")
+
+
+def _spots(rows: DataFrame, *totals: Column) -> DataFrame:
+    """Distinct positions of the rows that have one, as doubles."""
+    placed = rows.withColumns({v: F.col(v).cast("double") for v in ("latitude", "longitude")})
+    return placed.filter((F.abs("latitude") < math.inf) & (F.abs("longitude") < math.inf)).groupBy("latitude", "longitude").agg(*totals)
+
+
+def _coded(spots: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``first`` as a long in the order of the ids, ``NO_ID`` for null, and the ids by that number where they are no whole numbers."""
+    code, ids = F.col("first").cast("long"), None
+    if not isinstance(spots.schema["first"].dataType, IntegralType):
+        spots = cut_lineage(spots.orderBy("first").withColumn("code", F.monotonically_increasing_id()))
+        code, ids = F.when(F.col("first").isNotNull(), F.col("code")), spots.select("code", F.col("first").alias("first_id"))
+    return spots.select("latitude", "longitude", "n", F.coalesce(code, F.lit(balls.NO_ID)).alias("first")), ids
+
+
 def count_within(
-    points: DataFrame, centers: DataFrame, radius_km: float, method: str = "haversine", leaf_sites: int = LEAF_SITES, hot_rows: int = HOT_ROWS
+    points: DataFrame, centers: DataFrame, radius_km: float, method: str = "haversine", leaf_sites: int = BAG, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``center_id, hits, first_id, farthest_km`` of every centre with a point within a radius, without listing the pairs.
 
-    Cells wholly inside a ball answer by their stored count and smallest id. Cells on its border are refined until an
-    occupied cell holds ``leaf_sites`` points on average; only their points are met one by one. A cell inside stays in
-    play for the farthest point alone, while its tight box can still reach beyond what another cell is sure to hold.
-    So the rows shuffled grow with the length of the border, not with the points inside it.
+    Distinct points are cut into bags of at most ``leaf_sites`` neighbours, distinct centres into areas of at most ``AREA``, so
+    no spot is too dense for a task. Bags wholly inside the ball of every centre of an area answer by their stored count
+    and smallest id; they stay in play for the farthest point alone, while their box can reach beyond what another bag is sure to hold.
+    A task holds one area and meets its bags one by one, far ones first: blocks of 64 centres count a bag that is wholly inside by
+    its total, and centres measure, in arrays, only what their border cuts or what can be farther than what they have. Straight
+    lines decide all but pairs so near to the radius that rounding, or the ellipsoid, matters; these are listed for the exact distance.
 
-    Rows of one ``center_id`` are counted together; points and centres without a position take no part.
+    Rows shuffled are bags, areas and undecided pairs. Rows of one ``center_id`` are counted together; points and centres without
+    a position take no part.
     """
     margin = 1.0 if method == "haversine" else geo.ELLIPSOID_MARGIN
     outer, inner = geo.chord(radius_km * margin) + SLACK, geo.chord(radius_km / margin) - SLACK
-    sites = points.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude")
-    sites = sites.withColumns(geo.unit_vector(F.col("latitude"), F.col("longitude")))
-    sites = sites.withColumns({f"i{v}": geo.axis_index(F.col(v), FINEST) for v in "xyz"})
-    sides = [f"{e}_{v}" for e in ("lo", "hi") for v in "xyz"]
-    boxes = [F.min(v).alias(f"lo_{v}") for v in "xyz"] + [F.max(v).alias(f"hi_{v}") for v in "xyz"]
-    merged = [F.min(f"lo_{v}").alias(f"lo_{v}") for v in "xyz"] + [F.max(f"hi_{v}").alias(f"hi_{v}") for v in "xyz"]
-    finest = cut_lineage(sites.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), *boxes))
-    top = min(FINEST, _bits_for(outer))
-    levels = list(range(top, _usual_bits(finest, top, leaf_sites) + 1, LEVEL_STEP))
-
-    def occupancy(bits: int, above: int) -> DataFrame:
-        totals = [F.sum("n").alias("n"), F.min("first").alias("first")]
-        return finest.groupBy(_cell(bits).alias("cell")).agg(F.min(_cell(above)).alias("parent"), *totals, *merged)
+    bits = min(FINEST, _bits_for(outer))
+    box = ", ".join(f"{s} double" for s in balls.SIDES)
+    shape = f"bag long, {box}, cells array<long>, n long, first long, lat array<double>, lon array<double>, ns array<long>, firsts array<long>"
+    sites, ids = _coded(_spots(points, F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
+    bags = cut_lineage(_in_z_order(sites).mapInPandas(balls.bags(leaf_sites, bits, None), shape))
+    asked = _spots(centers, F.lit(0).cast("long").alias("n")).withColumn("first", F.lit(balls.NO_ID))
+    areas = cut_lineage(_in_z_order(asked).mapInPandas(balls.bags(AREA, bits, outer), shape).withColumnsRenamed({"bag": "area", **{s: f"area_{s}" for s in balls.SIDES}}))
 
     def surface(chord: Column) -> Column:
         return F.lit(2 * geo.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), chord / 2))
 
-    per_center = Window.partitionBy("center_id")
-    rows = _touched(centers, outer, top).withColumn("counted", F.lit(False)).join(occupancy(top, top), "cell")
-    parts: list[DataFrame] = []
-    for i, bits in enumerate(levels):
-        near, far = _bounds(F.col)
-        judged = rows.select(*CENTER, "cell", "n", "first", "counted", near.alias("near"), far.alias("far")).filter(F.col("counted") | (F.col("near") <= outer))
-        judged = judged.withColumn("inside", F.col("counted") | (F.col("far") <= inner))
-        sure = F.max(F.when(F.col("inside"), surface(F.col("near")) / margin)).over(per_center)
-        judged = cut_lineage(judged.withColumn("sure", sure))
-        whole = judged.filter("inside AND NOT counted").groupBy("center_id").agg(F.sum("n").alias("hits"), F.min("first").alias("first_id"))
-        parts.append(whole.withColumn("farthest_km", F.lit(None).cast("double")))
-        in_play = ~F.col("inside") | (surface(F.col("far")) * margin + SLACK * geo.EARTH_RADIUS_KM >= F.col("sure"))
-        rest = judged.filter(in_play).select(*CENTER, "cell", F.col("inside").alias("counted"))
-        if i + 1 < len(levels):
-            children = occupancy(levels[i + 1], bits).withColumnsRenamed({"cell": "child", "parent": "cell"})
-            rows = rest.join(children, "cell").drop("cell").withColumnRenamed("child", "cell")
-    spots = sites.select(_cell(levels[-1]).alias("cell"), "id", "latitude", "longitude")
-    pairs = salted_join(spots, rest, ["cell"], "id", hot_rows)
-    km = _distance(method)(F.col("latitude"), F.col("longitude"), F.col("center_lat"), F.col("center_lon"))
-    pairs = pairs.withColumn("km", km).filter(F.col("counted") | (F.col("km") <= radius_km))
-    new = ~F.col("counted")
-    parts.append(pairs.groupBy("center_id").agg(F.count_if(new).alias("hits"), F.min(F.when(new, F.col("id"))).alias("first_id"), F.max("km").alias("farthest_km")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("center_id").agg(F.sum("hits").alias("hits"), F.min("first_id").alias("first_id"), F.max("farthest_km").alias("farthest_km"))
-
-
-def _usual_bits(finest: DataFrame, top: int, leaf_sites: int) -> int:
-    """A level from ``top`` on at which an occupied cell holds about ``leaf_sites`` points; on a surface, a bit quarters a cell's points."""
-    cells = finest.groupBy(_cell(top)).agg(F.sum("n").alias("n"))
-    usual = cells.agg(F.avg("n")).first()[0] or 1.0
-    steps = math.ceil(max(0.0, math.log(usual / leaf_sites, 4)) / LEVEL_STEP)
-    return min(top + LEVEL_STEP * steps, FINEST)
+    sides = [f"area_{s}" for s in balls.SIDES]
+    met = areas.select("area", *sides, F.explode("cells").alias("cell")).join(bags.select("bag", *balls.SIDES, "n", "first", F.explode("cells").alias("cell")), "cell")
+    near, far = _box_bounds()
+    judged = met.drop("cell").distinct().select("area", "bag", "n", "first", near.alias("near"), far.alias("far")).filter(F.col("near") <= outer)
+    judged = cut_lineage(judged.withColumn("counted", F.col("far") <= inner))
+    whole = judged.filter("counted").groupBy("area").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max(surface(F.col("near")) / margin).alias("sure"))
+    in_play = ~F.col("counted") | (surface(F.col("far")) * margin + SLACK * geo.EARTH_RADIUS_KM >= F.col("sure"))
+    rest = cut_lineage(judged.drop("n", "first").join(whole.select("area", "sure"), "area", "left").filter(in_play).select("area", "bag", "far", "counted"))
+    parts = rest.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / TASK_BAGS).cast("int").alias("parts"))
+    calls = salted_join(rest.join(parts, "area"), bags.select("bag", "lat", "lon", "ns", "firsts"), ["bag"], "area", hot_rows)
+    part = F.pmod(F.xxhash64("bag"), F.col("parts")).cast("int").alias("part")
+    calls = calls.select("area", part, F.lit(1).alias("side"), "far", "counted", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("first"), "lat", "lon", "ns", "firsts")
+    hosts = areas.select("area", "lat", "lon").join(parts, "area").join(whole, "area", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def own(c: str, none: int) -> Column:
+        """Totals of the whole area go to its first part."""
+        return F.coalesce(F.when(F.col("part") == 0, F.col(c)), F.lit(none)).alias(c)
+
+    nothing = F.array().cast("array<long>")
+    hosts = hosts.select(
+        "area", "part", F.lit(0).alias("side"), F.lit(0.0).alias("far"), F.lit(False).alias("counted"), own("n", 0), own("first", balls.NO_ID), "lat", "lon", nothing.alias("ns"), nothing.alias("firsts")
+    )
+    rows = hosts.unionByName(calls).repartition("area", "part").sortWithinPartitions("area", "part", "side", F.col("far").desc())
+    found = rows.mapInPandas(balls.meetings(outer, inner, margin), balls.FOUND)
+    km = F.when(~F.isnan("lat"), _distance(method)(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")))
+    found = found.withColumn("km", km).filter((F.col("kind") != balls.OPEN) | (F.col("km") <= radius_km))
+    first = F.min(F.when(F.col("first") < balls.NO_ID, F.col("first"))).alias("first")
+    per_spot = found.groupBy("q_lat", "q_lon").agg(F.sum("n").alias("hits"), first, F.max("km").alias("km")).filter("hits > 0")
+    named = centers.select("center_id", F.col("latitude").cast("double").alias("q_lat"), F.col("longitude").cast("double").alias("q_lon"))
+    out = named.join(per_spot, ["q_lat", "q_lon"]).groupBy("center_id").agg(F.sum("hits").alias("hits"), F.min("first").alias("first"), F.max("km").alias("farthest_km"))
+    if ids is None:
+        return out.select("center_id", "hits", F.col("first").cast(points.schema["id"].dataType).alias("first_id"), "farthest_km")
+    return out.join(ids.withColumnRenamed("code", "first"), "first", "left").select("center_id", "hits", "first_id", "farthest_km")
+
+
+def _box_bounds() -> tuple[Column, Column]:
+    """Least and greatest straight-line distance between a bag's box and its area's."""
+    lows, highs = [], []
+    for v in "xyz":
+        below, above = F.col(f"lo_{v}") - F.col(f"area_hi_{v}"), F.col(f"area_lo_{v}") - F.col(f"hi_{v}")
+        lows.append(F.greatest(F.lit(0.0), below, above))
+        highs.append(F.greatest(F.col(f"hi_{v}") - F.col(f"area_lo_{v}"), F.col(f"area_hi_{v}") - F.col(f"lo_{v}")))
+    return tuple(F.sqrt(x * x + y * y + z * z) for x, y, z in (lows, highs))
 
 
 # --- polygons and boxes ---------------------------------------------------------------------------
