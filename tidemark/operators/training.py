@@ -16,11 +16,14 @@ from tidemark.operators.relational import feature_vector
 from tidemark.session import cut_lineage
 
 BROADCAST_CLASSES = 100_000
+PART_ROWS = 10_000, 1_000_000
 
 # Configured forest and boosting parameters, in Spark ML's names.
 FOREST = {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 42}
 BOOSTING = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
 BOOSTING_SAMPLED = {**BOOSTING, "featureSubsetStrategy": "0.8"}
+LOGISTIC = {"maxIter": 1000}
+SUPPORT = {"maxIter": 2**31 - 1}  # no limit: until the loss settles
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -116,6 +119,16 @@ def estimator(kind: str, classes: int = 2, **params):
     return est
 
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows, written in as many parts as there are cores, but with 10,000 to a million rows in each.
+
+    Learners that sample draw by part and place: rows go to parts by hash of the key and are sorted by it.
+    """
+    least, most = PART_ROWS
+    parts = max(1, -(-n // most), min(df.sparkSession.sparkContext.defaultParallelism, n // least))
+    return cut_lineage(df.repartition(parts, key).sortWithinPartitions(key))
+
+
 def vectors(df: DataFrame, features: str = "features") -> DataFrame:
     """Array of doubles to the vector column the estimators read."""
     return df.withColumn("vector", array_to_vector(features))
